@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     shards = max(1, -(-size // shard_bytes))
     dealt = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
-    def packed(key, table: pa.Table) -> pa.Table:
+    def packed(key, table):
         bpe = encoder(tokenizer)
         end = np.array([end_id], "<u2").tobytes()
         ids = [np.frombuffer(bpe.encode(t) + end, "<u2") for t in table.column("text").to_pylist()]
