@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from attrilake.llm import bpe, exact_dedup, packing
+from attrilake.llm import bpe, exact_dedup, jpeg, packing
 
 
 def queries():
-    return {"op2_byte_bpe": bpe.op2, "op4_exact_dedup": exact_dedup.op4, "op10_lexical_packing": packing.op10}
+    return {"op2_byte_bpe": bpe.op2, "op4_exact_dedup": exact_dedup.op4, "op6_jpeg_media": jpeg.op6, "op10_lexical_packing": packing.op10}
 
 
 def oracle_sql():
