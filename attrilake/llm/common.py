@@ -91,5 +91,67 @@ def join_keyed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return first.unionByName(rest)
 
 
+def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: str, part: int = HOT_ROWS) -> DataFrame:
+    """rows join groups on ``key``, where a row of ``groups`` may be large and a key have many rows.
+
+    The rows of a key are dealt by ``spread`` to parts of about ``part`` rows, and its group is
+    copied once for each part. Only keys and counts are broadcast, of hot keys alone.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_size"))
+    total = rows.count()
+    parts = F.ceil(F.col("_size") / part).cast("long")
+    dealt = join_keyed(rows, sizes, key, "_size", total).withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop("_size")
+    copies = groups.join(sizes, key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_size")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+#: Bits of a filter that says which rows may have one of many keys: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be one of ``keys``; none that is one is missing.
+
+    The keys' hash bits make a bitmap in slots of 4 KB: FILTER_BITS / 32768 rows at most, so a
+    broadcast of 4 MB at most. It keeps wide rows out of a shuffle in which they'd find no partner.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bitmap = keys.groupBy(F.shiftright(bit, 15).alias("_slot")).agg(F.bitmap_construct_agg(bit % 32768).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    found = rows.join(F.broadcast(bitmap), F.col("_slot") == F.shiftright(bit, 15))
+    return found.filter(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop("_slot", "_bits")
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, root of the connected components of ``edges`` (a, b); the root is the least node.
+
+    Every round hooks each root below the least root next to it and halves the paths; edges inside
+    a tree drop out. The number of rounds grows with the logarithm of the longest path. All of it
+    stays distributed; a round's tables are written, so lineage stays short.
+    """
+    live = scratch.keep(edges.select("a", "b"), f"{name}-edges-0")
+    roots = scratch.keep(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), f"{name}-roots-0")
+    step = 0
+    while not live.isEmpty():
+        step += 1
+        # least neighbouring root of each root: a sum over edges by key, combined before the shuffle
+        both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min("b").alias("to")).filter("to < a")
+        parent = scratch.keep(hook, f"{name}-hook-{step}")
+        while True:  # follow hooks to their ends by doubling
+            up = parent.select(F.col("a").alias("to"), F.col("to").alias("top"))
+            longer = parent.join(up, "to", "left")
+            if longer.filter("top IS NOT NULL").isEmpty():
+                break
+            step += 1
+            parent = scratch.keep(longer.select("a", F.coalesce("top", "to").alias("to")), f"{name}-hook-{step}")
+        ends = parent.select(F.col("a").alias("root"), "to")
+        roots = scratch.keep(roots.join(ends, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots-{step}")
+        for side in ("a", "b"):
+            live = live.join(ends.withColumnRenamed("root", side), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+        live = scratch.keep(live.filter("a <> b").distinct(), f"{name}-edges-{step}")
+    return roots
+
+
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)

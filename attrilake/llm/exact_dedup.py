@@ -17,10 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import BLANKS, Scratch, hot_rows, join_keyed, sha256_hex
-
-#: Bits of the filter that says which rows may be hits: at most this many, 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+from attrilake.llm.common import BLANKS, Scratch, hot_rows, join_keyed, likely, sha256_hex
 
 
 def normalised(text: Column) -> Column:
@@ -91,7 +88,7 @@ class LsmIndex:
         into salted parts of hot_rows rows, and the row that stays is copied once for each part.
         """
         part = hot_rows(rows)
-        bodies = self._likely(self.runs().select("row_id", "digest", "body"), hits)
+        bodies = likely(self.runs().select("row_id", "digest", "body"), hits, "digest")
         members = join_keyed(bodies, hits.select("digest", "group_size", "keep_row"), "digest", "group_size", rows)
         parts = F.ceil(F.col("group_size") / part).cast("long")
         members = self.scratch.keep(members.withColumn("salt", F.pmod(F.xxhash64("row_id"), parts)), "members")
@@ -111,23 +108,6 @@ class LsmIndex:
         )
         return out.join(wrong, "digest", "left_anti").unionByName(again)
 
-    # The filter over hit digests: a bitmap of FILTER_BITS bits in slots of 4 KB.
-    @staticmethod
-    def _bit() -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-
-    def _filter(self, hits: DataFrame) -> DataFrame:
-        """slot, bits: at most FILTER_BITS / 32768 rows of 4 KB, so a broadcast of 4 MB at most."""
-        bits = hits.groupBy(F.shiftright(self._bit(), 15).alias("slot")).agg(F.bitmap_construct_agg(self._bit() % 32768).alias("bits"))
-        return F.broadcast(bits)
-
-    def _likely(self, rows: DataFrame, hits: DataFrame) -> DataFrame:
-        """The rows whose digest may be a hit; none that is one is missing."""
-        bit = self._bit()
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(bit % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found = rows.join(self._filter(hits), F.col("slot") == F.shiftright(bit, 15))
-        return found.filter(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop("slot", "bits")
-
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with digest, group_size, keep_id and kept, through a fresh index."""
