@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pre-tokens that a worker remembers: two generations of so many; longer ones are never remembered.
-REMEMBERED, REMEMBERED_CHARS = 350_000, 48
+REMEMBERED, REMEMBERED_CHARS = 500_000, 48
 #: Rows that a worker encodes before it hands them on.
 ROWS = 256
 
@@ -89,43 +89,42 @@ class ByteBpe:
         self.decimal = [str(i) for i in range(size)]
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(size)
-        self.pairs: dict[int, int] = {}  # rank of a pair of tokens, -1 without one; as many as pairs seen, PAIRS at most
+        # rank of every pair of tokens that is a token itself
+        self.pairs = {ranks[t[:i]] * size + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.size = size
         self.limit, self.new, self.old = remembered, {}, {}
 
-    #: Pairs of tokens whose rank a worker remembers before it starts anew.
-    PAIRS = 1 << 20
-
-    def pair_rank(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return rank
-
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: always the least rank first, of equal ranks the leftmost pair."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return (whole,)
-        single, pair_rank, queue = self.single, self.pair_rank, self.queue
+        single, rank_of, size, queue = self.single, self.pairs.get, self.size, self.queue
         tokens = [single[b] for b in raw]
         n = len(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pending = [-1] * n  # rank of the pair that starts here, -1 if none or no longer a token
-        push = queue.push
-        for i in range(n - 1):
-            rank = pair_rank(tokens[i], tokens[i + 1])
+        # rank of the pair that starts at a position, -1 if none or no longer a token
+        pending = [rank_of(a * size + b, -1) for a, b in zip(tokens, tokens[1:])]
+        pending.append(-1)
+        buckets, low, mid, push = queue.buckets, queue.low, queue.mid, queue.push
+        for i, rank in enumerate(pending):
             if rank >= 0:
-                pending[i] = rank
-                push(rank, i)
-        buckets = queue.buckets
-        while (rank := queue.least()) >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    push(rank, i)
+        while top := queue.top:
+            i = (top & -top).bit_length() - 1
+            word = mid[i]
+            i = i << 6 | (word & -word).bit_length() - 1
+            word = low[i]
+            rank = i << 6 | (word & -word).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) == 1:
+                i = bucket[0]
                 queue.drop(rank)
+            else:
+                i = heappop(bucket)
             if pending[i] != rank:
                 continue
             j = after[i]
@@ -133,14 +132,14 @@ class ByteBpe:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pending[i] = pair_rank(rank, tokens[k])
+                new = pending[i] = rank_of(rank * size + tokens[k], -1)
                 if new >= 0:
                     push(new, i)
             else:
                 pending[i] = -1
             h = before[i]
             if h >= 0:
-                new = pending[h] = pair_rank(tokens[h], rank)
+                new = pending[h] = rank_of(tokens[h] * size + rank, -1)
                 if new >= 0:
                     push(new, h)
         out, i = [], 0
@@ -196,28 +195,39 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_column(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the decimal ids, and the decoded bytes' digest and length."""
+    """doc_id, raw: the bytes that each row's ids stand for."""
 
     def decoded(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            rows = []
-            for ids in batch.column("ids").to_pylist():
-                raw = bpe.decode(ids)
-                text = " ".join(map(bpe.decimal.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)))
-            n, a, b, size = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(size, pa.int64())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
-            )
+            raw = [bpe.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "raw"])
+
+    return tokens.mapInArrow(decoded, "doc_id long, raw binary")
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Encode every text and decode its ids, in one worker: their digests, and how many there are."""
+
+    def digests(batches):
+        bpe = codec(path, pattern)
+        for batch in batches:
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                rows = []
+                for text in part.column("text").to_pylist():
+                    ids = bpe.encode(text or "")
+                    raw, decimal = bpe.decode(ids), " ".join(map(bpe.decimal.__getitem__, ids))
+                    rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], [c.split()[0] for c in DIGESTS.split(", ")])
 
-    return tokens.mapInArrow(decoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(digests, DIGESTS)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as files
 
-    path = files.path("byte_bpe_50k.tiktoken")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode_column(encode_column(docs, path, files.PATTERN), path, files.PATTERN)
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
