@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing
+from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan
 
 
 def queries():
-    return {"op1_minhash_near_dedup": minhash.op1, "op2_byte_bpe": bpe.op2, "op4_exact_dedup": exact_dedup.op4, "op6_jpeg_media": jpeg.op6, "op10_lexical_packing": packing.op10}
+    return {"op1_minhash_near_dedup": minhash.op1, "op2_byte_bpe": bpe.op2, "op3_secret_scan": secret_scan.op3, "op4_exact_dedup": exact_dedup.op4, "op6_jpeg_media": jpeg.op6, "op10_lexical_packing": packing.op10}
 
 
 def oracle_sql():
