@@ -109,6 +109,21 @@ def train_markov(samples: DataFrame) -> list[float]:
     return out
 
 
+def scan(docs: DataFrame, least: float = MIN_RATIO) -> DataFrame:
+    """row_id, doc_id, base and spans: arrays of (start, no, kind, end) in order; a row a document."""
+    scratch = Scratch(docs.sparkSession, "secrets")
+    rows = scratch.keep(found_spans(docs), "spans")
+    labelled = rows.select(F.explode("tokens").alias("t"), *KINDS).select(F.col("t.value").alias("token"), F.expr(covered()).alias("random"))
+    model = train_markov(labelled)
+    scored = rows.withColumn("tokens", F.expr(f"filter(tokens, t -> NOT {covered()})"))
+    scored = scored.withColumn("tokens", F.filter("tokens", lambda t: _ratio_of(t["value"], model) >= least))
+    order = "named_struct('start', s.start, 'no', {}, 'kind', '{}', 'end', s.end)"
+    base = "concat(" + ", ".join(f"transform({k}, s -> {order.format(i, k)})" for i, k in enumerate(KINDS)) + ")"
+    scored = scored.withColumn("base", F.array_sort(F.expr(base)))
+    added = f"transform(tokens, s -> {order.format(len(KINDS), 'random')})"
+    return scored.withColumn("spans", F.array_sort(F.expr(f"concat(base, {added})")))
+
+
 def _ratio_of(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's pairs of characters under the model."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")
