@@ -34,7 +34,7 @@ ALPHABET = 66
 #: Mean log-likelihood ratio (nats a character) from which a token is a secret.
 MIN_RATIO = 1.0
 #: Weight, in counts, of the single characters' frequencies in a pair's.
-BACK_OFF = 20
+BACK_OFF = 500
 #: Lengths that one sum covers when offsets are added up.
 RUN = 256
 
