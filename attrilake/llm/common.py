@@ -122,36 +122,60 @@ def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return found.filter(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop("_slot", "_bits")
 
 
+#: Edges that one task of a round of ``components`` handles at least.
+EDGES_A_TASK = 1_000_000
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root of the connected components of ``edges`` (a, b); the root is the least node.
 
-    Every round hooks each root below the least root next to it and halves the paths; edges inside
-    a tree drop out. The number of rounds grows with the logarithm of the longest path. All of it
-    stays distributed; a round's tables are written, so lineage stays short.
+    In every round each root hooks to the least root next to it, hooks are followed to their ends by
+    doubling, and edges inside a tree drop out. The number of rounds grows with the logarithm of the
+    longest path. All of it stays distributed; a round's tables are written, so lineage stays short.
     """
     live = scratch.keep(edges.select("a", "b"), f"{name}-edges-0")
-    roots = scratch.keep(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), f"{name}-roots-0")
+    tasks = 1 + live.count() // EDGES_A_TASK
+    keep = lambda df, what: scratch.keep(df.coalesce(tasks), f"{name}-{what}")
+    roots = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     step = 0
     while not live.isEmpty():
         step += 1
-        # least neighbouring root of each root: a sum over edges by key, combined before the shuffle
-        both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("to")).filter("to < a")
-        parent = scratch.keep(hook, f"{name}-hook-{step}")
-        while True:  # follow hooks to their ends by doubling
-            up = parent.select(F.col("a").alias("to"), F.col("to").alias("top"))
-            longer = parent.join(up, "to", "left")
+        # the least root next to each root: a minimum by key, combined before the shuffle
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = keep(both.groupBy("a").agg(F.min("b").alias("to")).filter("to < a"), f"hook-{step}")
+        while True:
+            longer = parent.join(parent.select(F.col("a").alias("to"), F.col("to").alias("top")), "to", "left")
             if longer.filter("top IS NOT NULL").isEmpty():
                 break
             step += 1
-            parent = scratch.keep(longer.select("a", F.coalesce("top", "to").alias("to")), f"{name}-hook-{step}")
+            parent = keep(longer.select("a", F.coalesce("top", "to").alias("to")), f"hook-{step}")
         ends = parent.select(F.col("a").alias("root"), "to")
-        roots = scratch.keep(roots.join(ends, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots-{step}")
+        roots = keep(roots.join(ends, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"roots-{step}")
         for side in ("a", "b"):
             live = live.join(ends.withColumnRenamed("root", side), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
-        live = scratch.keep(live.filter("a <> b").distinct(), f"{name}-edges-{step}")
+        live = keep(live.filter("a <> b").select("a", "b").distinct(), f"edges-{step}")
     return roots
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a Spark application."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="attrilake-")) / "attrilake.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, Path(top.name) / f.relative_to(top))
+    context.addPyFile(str(at))
+    _SHIPPED.add(context.applicationId)
+
+
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)

@@ -186,8 +186,7 @@ def rest_candidates(members: DataFrame, roots: DataFrame, nodes: DataFrame, scra
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
-    mixed = scratch.keep(mixed, "mixed")
-    total = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total = members.count()
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("node"), blocks)
     rows = join_keyed(placed.select("bucket", "node", "root"), mixed, "bucket", "size", total).withColumn("mine", mine)
@@ -257,14 +256,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     nodes = scratch.keep(rows.join(classes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "text_key", "keys", "signature"), "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    shared = scratch.keep(shared, "shared")
-    total = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = scratch.keep(join_keyed(members, shared, "bucket", "size", total).select("bucket", "node", "first"), "members")
+    members = scratch.keep(join_keyed(members, shared, "bucket", "size", nodes.count() * BANDS).select("bucket", "node", "first"), "members")
     links = verified(first_candidates(members, nodes, need), nodes, docs, scratch, "first", percent)
     roots = components(links, scratch, "first")
     more = verified(rest_candidates(members, roots, nodes, scratch, need), nodes, docs, scratch, "rest", percent)
     if not more.isEmpty():
-        roots = components(links.unionByName(more), scratch, "rest")
+        # the new links join components: label them by roots, and follow what joins them
+        for side in ("a", "b"):
+            known = roots.select(F.col("node").alias(side), F.col("root").alias("known"))
+            more = more.join(known, side, "left").withColumn(side, F.coalesce("known", side)).drop("known")
+        tops = components(more.select("a", "b").distinct(), scratch, "rest").select(F.col("node").alias("under"), F.col("root").alias("above"))
+        every = roots.unionByName(tops.select(F.col("under").alias("node"), F.col("under").alias("root")).join(roots.select("node"), "node", "left_anti"))
+        roots = every.join(tops, F.col("root") == F.col("under"), "left").select("node", F.coalesce("above", "root").alias("root"))
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     count = classes.count()

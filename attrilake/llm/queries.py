@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan
+from attrilake.llm.common import ship
+
+OPERATORS = {
+    "op1_minhash_near_dedup": minhash.op1,
+    "op2_byte_bpe": bpe.op2,
+    "op3_secret_scan": secret_scan.op3,
+    "op4_exact_dedup": exact_dedup.op4,
+    "op6_jpeg_media": jpeg.op6,
+    "op10_lexical_packing": packing.op10,
+}
+
+
+def shipped(query):
+    """The query, with this package sent to the executors before it runs."""
+
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries():
-    return {"op1_minhash_near_dedup": minhash.op1, "op2_byte_bpe": bpe.op2, "op3_secret_scan": secret_scan.op3, "op4_exact_dedup": exact_dedup.op4, "op6_jpeg_media": jpeg.op6, "op10_lexical_packing": packing.op10}
+    return {name: shipped(query) for name, query in OPERATORS.items()}
 
 
 def oracle_sql():
