@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan
+from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan, unit_dedup
 from attrilake.llm.common import ship
 
 OPERATORS = {
@@ -11,6 +11,7 @@ OPERATORS = {
     "op3_secret_scan": secret_scan.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op6_jpeg_media": jpeg.op6,
+    "op7_unit_dedup": unit_dedup.op7,
     "op10_lexical_packing": packing.op10,
 }
 
