@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrilake.llm.common import Scratch, components, join_keyed, join_salted, likely
-from attrilake.llm.shingles import mix, shingle_sets
+from attrilake.llm.shingles import mix, shingle_sets, slices
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
@@ -109,7 +109,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+            for batch in slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), WORDS)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys, minima = [None] * len(sets), [None] * len(sets)
@@ -139,14 +139,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     both = join_salted(right, texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a", "b", 256)
 
     def check(batches):
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        known: dict[int, np.ndarray] = {}  # sets of recent a's
+        for batch in (part for whole in batches for part in slices(whole, "text_b")):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            fresh = [i for i, x in enumerate(a) if x not in known and (i == 0 or a[i - 1] != x)]
             if len(known) > 256:
                 known.clear()
-                fresh = list(dict.fromkeys(a)) and [a.index(x) for x in dict.fromkeys(a)]
-            known |= {a[i]: s for i, s in zip(fresh, shingle_sets(batch.column("text_a").take(pa.array(fresh, pa.int64())), WORDS), strict=True)}
+            fresh = list({x: i for i, x in enumerate(a) if x not in known}.values())
+            for one in slices(batch.take(pa.array(fresh, pa.int64())), "text_a"):
+                known.update(zip(one.column("a").to_pylist(), shingle_sets(one.column("text_a"), WORDS), strict=True))
             keep = []
             for i, s in enumerate(shingle_sets(batch.column("text_b"), WORDS)):
                 r = known[a[i]]

@@ -30,6 +30,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def slices(batch: pa.RecordBatch, name: str, most: int = 1 << 20):
+    """The batch in slices that hold about ``most`` bytes of column ``name``, or one row."""
+    column = batch.column(name).cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most)) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word ([^\\x20\\x09-\\x0D]+, A-Z as a-z) of a string column, and where each row's begin."""
     column = column.cast(pa.large_string())
