@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan, unit_dedup
+from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan, toxicity, unit_dedup
 from attrilake.llm.common import ship
 
 OPERATORS = {
@@ -12,6 +12,7 @@ OPERATORS = {
     "op4_exact_dedup": exact_dedup.op4,
     "op6_jpeg_media": jpeg.op6,
     "op7_unit_dedup": unit_dedup.op7,
+    "op8_toxicity": toxicity.op8,
     "op10_lexical_packing": packing.op10,
 }
 
