@@ -4,7 +4,7 @@
    each band of the signature. Texts of equal sets collapse to one node.
 2. Nodes that share a band key are candidates. First each node meets the first node of each of its
    buckets; what links collapses to components. Then only buckets that still hold several
-   components are compared in full, in blocks, inside a kernel that hands out survivors alone.
+   components are compared in full, in blocks, inside kernels that hand out no more than they read.
 3. A candidate's signatures are compared batch by batch. After n minima of which m agree, the
    posterior of the similarity (uniform prior) is Beta(m + 1, n - m + 1); a pair goes as soon as the
    probability that it reaches the threshold falls under ``miss``.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -87,13 +88,14 @@ def least_matches(percent: int, miss: float) -> dict[int, int]:
     return need
 
 
-def plausible(a: np.ndarray, b: np.ndarray, need: dict[int, int]) -> np.ndarray:
-    """Places of the pairs of signatures (rows of a and b) that the posterior doesn't rule out."""
+def plausible(sign: np.ndarray, a: np.ndarray, b: np.ndarray, need: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows (a, b) of the signatures the posterior doesn't rule out, and their matches."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for n, least in need.items():
-        matches[alive] += (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(1)
+        batch = slice(n - BATCH, n)
+        matches[alive] += (sign[a[alive], batch] == sign[b[alive], batch]).sum(1)
         alive = alive[matches[alive] >= least]
-    return alive
+    return alive, matches[alive]
 
 
 def as_matrix(column) -> np.ndarray:
@@ -126,15 +128,20 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, SIGNED)
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the nodes in ``wanted`` (node, text_key); a text that many rows have comes once."""
+    texts = docs.select(F.md5(docs["text"].cast("binary")).alias("text_key"), docs["text"].cast("string").alias("text"))
+    texts = likely(texts, wanted, "text_key").groupBy("text_key").agg(F.any_value("text").alias("text"))
+    return wanted.join(texts, "text_key").select("node", "text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are as similar as that."""
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-    texts = docs.select(F.md5(docs["text"].cast("binary")).alias("text_key"), docs["text"].cast("string").alias("text"))
-    texts = likely(texts, wanted, "text_key").groupBy("text_key").agg(F.any_value("text").alias("text"))
-    texts = scratch.keep(wanted.join(texts, "text_key").select("node", "text"), f"{name}-texts")
+    texts = scratch.keep(texts_of(wanted, docs), f"{name}-texts")
     right = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     both = join_salted(right, texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a", "b", 256)
 
@@ -172,78 +179,142 @@ def first_candidates(members: DataFrame, nodes: DataFrame, need: dict[int, int])
     def prune(batches):
         for batch in batches:
             if batch.num_rows:
-                at = pa.array(plausible(as_matrix(batch.column("sign_a")), as_matrix(batch.column("sign_b")), need))
+                both = np.concatenate([as_matrix(batch.column("sign_a")), as_matrix(batch.column("sign_b"))])
+                n = batch.num_rows
+                at = pa.array(plausible(both, np.arange(n), np.arange(n, 2 * n), need)[0])
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(prune, "a long, b long")
 
 
-def rest_candidates(members: DataFrame, roots: DataFrame, nodes: DataFrame, scratch: Scratch, need: dict[int, int]) -> DataFrame:
-    """Pairs of nodes of one bucket but of different components, if the signatures leave a chance.
-
-    A bucket of over BLOCK members is cut into blocks, each pair of which meets in the kernel; pairs
-    leave the kernel only if they survive.
+@dataclass
+class Block:
+    """Rows of one block, or of two that meet: ``right`` tells the second block's rows."""
+
+    node: np.ndarray
+    root: np.ndarray
+    right: np.ndarray
+    keys: np.ndarray
+    sign: np.ndarray
+    text: list | None
+    head: tuple
+
+    def pairs(self, need: dict[int, int]):
+        """(a, b, matches) of pairs of rows of different roots that the signatures leave a chance.
+
+        A pair meets in every bucket that it shares; it counts in that of the first band alone.
+        """
+        bucket, i, j = self.head
+        found, a, b = [], [], []
+        left = np.arange(len(self.node)) if i == j else np.flatnonzero(~self.right)
+        second = np.flatnonzero(self.right)
+
+        def flush():
+            x, y = np.concatenate(a), np.concatenate(b)
+            same = self.keys[x] == self.keys[y]
+            x, y = (z[self.keys[x, same.argmax(1)] == bucket] for z in (x, y))
+            alive, matches = plausible(self.sign, x, y, need)
+            found.append((x[alive], y[alive], matches))
+            a.clear(), b.clear()
+
+        for k in left:
+            others = np.arange(k + 1, len(self.node)) if i == j else second
+            others = others[self.root[others] != self.root[k]]
+            if len(others):
+                a.append(np.full(len(others), k))
+                b.append(others)
+                if sum(map(len, a)) > 1 << 15:
+                    flush()
+        if a:
+            flush()
+        return [np.concatenate(z) for z in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
+
+    def links(self, need: dict[int, int], percent: int):
+        """Verified links, likeliest pairs first; a pair whose rows are joined already is passed over."""
+        x, y, matches = self.pairs(need)
+        order = np.argsort(-matches, kind="stable")
+        sets: dict[int, np.ndarray] = {}
+        parent = {r: r for r in self.root.tolist()}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        def shingles(k):
+            if k not in sets:
+                sets[k] = shingle_sets(pa.array([self.text[k]], pa.large_string()), WORDS)[0]
+            return sets[k]
+
+        for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            r, s = top(int(self.root[a])), top(int(self.root[b]))
+            if r != s:
+                p, q = shingles(a), shingles(b)
+                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * shared >= percent * (len(p) + len(q) - shared):
+                        parent[max(r, s)] = min(r, s)
+                        yield int(self.node[a]), int(self.node[b])
+
+
+def in_blocks(batches, with_text: bool):
+    """Blocks of rows that come sorted by (bucket, i, j)."""
+    names = ["bucket", "i", "j", "right", "node", "root", "keys", "signature"] + ["text"] * with_text
+    held: list[tuple] = []
+
+    def block(rows):
+        column = dict(zip(names, zip(*rows, strict=True), strict=True))
+        return Block(np.array(column["node"]), np.array(column["root"]), np.array(column["right"]), np.array(column["keys"]), np.frombuffer(b"".join(column["signature"]), np.uint32).reshape(len(rows), -1), column.get("text"), rows[0][:3])
+
+    for batch in batches:
+        for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield block(held)
+                held = []
+            held.append(row)
+    if held:
+        yield block(held)
+
+
+def rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, need: dict[int, int], percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one bucket but of different components, as many as join them.
+
+    A bucket of over BLOCK members is cut into blocks, each pair of which meets in a kernel. The
+    first kernel tells which rows have a partner left after the signatures were compared; only
+    these get their texts, and the second kernel verifies, likeliest pairs first, and hands out a
+    link only where it joins components. So no kernel gives more rows than it reads.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
-    total = members.count()
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    rows = join_keyed(placed.select("bucket", "node", "root"), mixed, "bucket", "size", total).withColumn("mine", mine)
+    rows = join_keyed(placed.select("bucket", "node", "root"), mixed, "bucket", "size", members.count()).withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("right"), "node", "root")
-    rows = rows.join(nodes.select("node", "signature"), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def pairs_of(rows: list, sign: np.ndarray):
-        """rows: (bucket, i, j, right, node, root) of whole blocks, sorted; sign: their signatures."""
-        root = np.array([r[5] for r in rows])
-        a, b, at = [], [], 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end][:3] == rows[at][:3]:
-                end += 1
-            one = rows[at][1] == rows[at][2]
-            right = np.array([r[3] for r in rows[at:end]])
-            for k in range(at, end):
-                others = np.arange(k + 1, end) if one else at + np.flatnonzero(right) if not right[k - at] else ()
-                if len(others):
-                    others = others[root[others] != root[k]]
-                    if len(others):
-                        a.append(np.full(len(others), k))
-                        b.append(others)
-                        if sum(map(len, a)) > 1 << 16:
-                            yield from survivors(rows, sign, a, b)
-                            a, b = [], []
-            at = end
-        yield from survivors(rows, sign, a, b)
-
-    def survivors(rows, sign, a, b):
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            for k in plausible(sign[a], sign[b], need):
-                x, y = rows[a[k]][4], rows[b[k]][4]
-                yield (min(x, y), max(x, y))
-
-    def kernel(batches):
-        names = ["bucket", "i", "j", "right", "node", "root"]
-        held, minima = [], []
-        for batch in batches:
-            held += zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-            minima += batch.column("signature").to_pylist()
-            cut = len(held)
-            while cut and held[cut - 1][:3] == held[-1][:3]:
-                cut -= 1
-            if cut:
-                yield as_pairs(pairs_of(held[:cut], np.frombuffer(b"".join(minima[:cut]), np.uint32).reshape(cut, -1)))
-                held, minima = held[cut:], minima[cut:]
-        if held:
-            yield as_pairs(pairs_of(held, np.frombuffer(b"".join(minima), np.uint32).reshape(len(held), -1)))
+    signs = nodes.select("node", "keys", "signature")
+    met = rows.join(signs, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def partnered(batches):
+        for b in in_blocks(batches, False):
+            x, y, _ = b.pairs(need)
+            at = np.union1d(x, y).astype(np.int64)
+            if len(at):
+                bucket, i, j = b.head
+                columns = [pa.array(np.full(len(at), v), pa.int64()) for v in (bucket, i, j)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(b.right[at]), pa.array(b.node[at]), pa.array(b.root[at])], ["bucket", "i", "j", "right", "node", "root"])
+
+    left = scratch.keep(met.mapInArrow(partnered, "bucket long, i long, j long, right boolean, node long, root long"), "partnered")
+    wanted = left.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    texts = texts_of(wanted, docs)
+    again = left.join(signs, "node").join(texts, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def as_pairs(found):
-        found = list(dict.fromkeys(found))
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+    def verify(batches):
+        for b in in_blocks(batches, True):
+            found = list(b.links(need, percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(kernel, "a long, b long")
+    columns = ["bucket", "i", "j", "right", "node", "root", "keys", "signature", "text"]
+    return scratch.keep(again.select(*columns).mapInArrow(verify, "a long, b long").distinct(), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
@@ -259,7 +330,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     members = scratch.keep(join_keyed(members, shared, "bucket", "size", nodes.count() * BANDS).select("bucket", "node", "first"), "members")
     links = verified(first_candidates(members, nodes, need), nodes, docs, scratch, "first", percent)
     roots = components(links, scratch, "first")
-    more = verified(rest_candidates(members, roots, nodes, scratch, need), nodes, docs, scratch, "rest", percent)
+    more = rest_links(members, roots, nodes, docs, scratch, need, percent)
     if not more.isEmpty():
         # the new links join components: label them by roots, and follow what joins them
         for side in ("a", "b"):
