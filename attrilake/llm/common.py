@@ -66,6 +66,20 @@ class Scratch:
             pass
 
 
+#: Column that names a row where doc_ids may repeat or be null.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ROW, a number for each row that stays the same whenever the rows are read again."""
+    return scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def row_number(docs: DataFrame) -> Column:
+    """ROW where there is one, else numbers in scan order."""
+    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+
+
 #: A key is hot when it has more rows than this, and more than one in HOT_KEYS of all rows.
 HOT_ROWS, HOT_KEYS = 512, 20_000
 

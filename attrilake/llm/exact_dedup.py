@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import BLANKS, Scratch, hot_rows, join_keyed, likely, sha256_hex
+from attrilake.llm.common import BLANKS, Scratch, hot_rows, join_keyed, likely, row_number, sha256_hex
 
 
 def normalised(text: Column) -> Column:
@@ -34,9 +34,9 @@ class LsmIndex:
     def insert(self, docs: DataFrame) -> None:
         """Flush a batch: one sorted run a task, with row ids that never repeat across batches."""
         text = F.coalesce(docs["text"], F.lit(""))
-        rows = docs.select(docs["doc_id"], F.char_length(text).alias("n_points"), normalised(docs["text"]).alias("body"))
+        rows = docs.select(row_number(docs).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), normalised(docs["text"]).alias("body"))
         rows = rows.select(
-            (F.monotonically_increasing_id() + F.lit(self.batches << 56)).alias("row_id"), "doc_id", "n_points",
+            (F.col("row") + F.lit(self.batches << 56)).alias("row_id"), "doc_id", "n_points",
             sha256_hex(F.col("body")).alias("digest"), "body",
         )
         self.scratch.keep(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import Scratch, components, join_keyed, join_salted, likely
+from attrilake.llm.common import Scratch, components, join_keyed, join_salted, likely, row_number
 from attrilake.llm.shingles import mix, shingle_sets, slices
 
 WORDS, PERCENT = 5, 85
@@ -107,7 +107,7 @@ SIGNED = "row_id long, doc_id long, text_key string, n_shingles long, digest str
 
 def signed(docs: DataFrame) -> DataFrame:
     """Every row with its set's size and digest, band keys and signature (null for empty sets)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.md5(docs["text"].cast("binary")).alias("text_key"), docs["text"].cast("string").alias("text"))
+    rows = docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.md5(docs["text"].cast("binary")).alias("text_key"), docs["text"].cast("string").alias("text"))
 
     def sign(batches):
         for whole in batches:
@@ -318,12 +318,15 @@ def rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Dat
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """row_id, doc_id, n_shingles, component_id (smallest doc_id reachable) of every row of ``docs``."""
+    """row_id, doc_id, n_shingles, component_id (smallest doc_id reachable) and keep_row of every row of ``docs``.
+
+    keep_row is the row of its component that stays: the first by doc_id, then row.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     need = least_matches(percent, miss)
     rows = scratch.keep(signed(docs), "signed")
-    classes = scratch.keep(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    classes = scratch.keep(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("least"), F.count("*").alias("copies")), "classes")
     nodes = scratch.keep(rows.join(classes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "text_key", "keys", "signature"), "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
@@ -340,12 +343,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
         every = roots.unionByName(tops.select(F.col("under").alias("node"), F.col("under").alias("root")).join(roots.select("node"), "node", "left_anti"))
         roots = every.join(tops, F.col("root") == F.col("under"), "left").select("node", F.coalesce("above", "root").alias("root"))
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("stays"), F.count("*").alias("members"))
     count = classes.count()
-    known = scratch.keep(join_keyed(grouped, least, "root", "members", count).filter("members > 1 OR copies > 1").select("digest", "copies", "component_id"), "known")
+    known = join_keyed(grouped, least, "root", "members", count).filter("members > 1 OR copies > 1")
+    known = scratch.keep(known.select("digest", "copies", F.col("stays.doc_id").alias("component_id"), F.col("stays.row_id").alias("keep_row")), "known")
     out = join_keyed(rows.select("row_id", "doc_id", "n_shingles", "digest"), known, "digest", "copies", rows.count(), "left")
-    alone = F.col("copies").isNull()
-    return out.select("row_id", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("row_id", "doc_id", "n_shingles", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("keep_row", "row_id").alias("keep_row"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

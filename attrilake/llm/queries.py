@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attrilake.llm import bpe, exact_dedup, jpeg, minhash, packing, secret_scan, toxicity, unit_dedup
+from attrilake.llm import bpe, exact_dedup, html_extract, jpeg, language_id, minhash, packing, secret_scan, toxicity, unit_dedup
 from attrilake.llm.common import ship
 
 OPERATORS = {
@@ -10,9 +10,11 @@ OPERATORS = {
     "op2_byte_bpe": bpe.op2,
     "op3_secret_scan": secret_scan.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_language_id": language_id.op5,
     "op6_jpeg_media": jpeg.op6,
     "op7_unit_dedup": unit_dedup.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_html_extraction": html_extract.op9,
     "op10_lexical_packing": packing.op10,
 }
 
@@ -28,7 +30,10 @@ def shipped(query):
 
 
 def queries():
-    return {name: shipped(query) for name, query in OPERATORS.items()}
+    found = {name: shipped(query) for name, query in OPERATORS.items()}
+    import corpus_pipeline
+
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import Scratch, sha256_hex
+from attrilake.llm.common import ROW, Scratch, numbered, row_number, sha256_hex
 
 #: The patterns of the kinds, in their order, and what a match needs to stay.
 KINDS = {
@@ -65,7 +65,7 @@ def with_spans(rows: DataFrame, name: str, pattern: str, value_group: int = 0) -
 
 def found_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_id and the spans of each kind and of the candidate tokens."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = with_spans(rows, "assign", KINDS["assign"], 2)
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.char_length(s["value"]) >= LEAST_VALUE))
     rows = with_spans(rows, "access", KINDS["access"])
@@ -139,9 +139,8 @@ def joined(spans: str) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = MIN_RATIO) -> DataFrame:
     """``docs`` with every span replaced by ``mark``, overlapping spans by one; n_chars counts anew."""
-    scratch = Scratch(docs.sparkSession, "redact")
-    kept = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    spans = scan(kept.select(F.col("_row").alias("doc_id"), "text"), least).filter("size(spans) > 0").select(F.col("doc_id").alias("_row"), "spans")
+    kept = numbered(docs, Scratch(docs.sparkSession, "redact"))
+    spans = scan(kept, least).filter("size(spans) > 0").select(F.col("row_id").alias(ROW), "spans")
     # between spans: from the furthest end so far to the next start
     pieces = F.expr("""aggregate(spans, named_struct('to', 0L, 'out', cast(array() as array<string>)),
         (z, s) -> if(s.start >= z.to,
@@ -149,7 +148,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = MIN_RATIO)
             named_struct('to', greatest(z.to, s.end), 'out', z.out)),
         z -> concat(z.out, array(substring(text, cast(z.to as int) + 1))))""")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
-    out = kept.join(spans, "_row", "left").withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = kept.join(spans, ROW, "left").withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 

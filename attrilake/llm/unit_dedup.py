@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import Scratch, join_keyed, likely
+from attrilake.llm.common import ROW, Scratch, join_keyed, likely, numbered, row_number
 
 LEAST_UNIT, LEAST_RUN = 8, 20
 #: Where a unit ends.
@@ -41,8 +41,8 @@ def units_of(text: str):
     return out
 
 
-def units(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """A row a unit, in order; ``row`` names a column of row numbers, else they are made."""
+def units(docs: DataFrame) -> DataFrame:
+    """A row a unit, in order."""
 
     def cut(batches):
         for whole in batches:
@@ -61,17 +61,16 @@ def units(docs: DataFrame, row: str | None = None) -> DataFrame:
                     [c.split()[0] for c in UNITS.split(", ")],
                 )
 
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    return docs.select(number.alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(cut, UNITS)
+    return docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(cut, UNITS)
 
 
-def repeated_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN, row: str | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
     """A row a run to remove: row_id, doc_id, start, end, n_words, n_units, first_doc_id.
 
     first_doc_id is the document that keeps the run's longest unit.
     """
     scratch = Scratch(docs.sparkSession, "units")
-    every = scratch.keep(units(docs, row), "units")
+    every = scratch.keep(units(docs), "units")
     total = every.count()
     counted = every.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
     counted = scratch.keep(counted, "repeated")
@@ -93,16 +92,15 @@ def repeated_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int
 
 def without_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
     """``docs`` without its repeated runs, and ``segments``: where each piece that stays was (start, end)."""
-    scratch = Scratch(docs.sparkSession, "without")
-    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    spans = repeated_runs(rows, least_unit, least_run, row="_row").groupBy(F.col("row_id").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    rows = numbered(docs, Scratch(docs.sparkSession, "without"))
+    spans = repeated_runs(rows, least_unit, least_run).groupBy(F.col("row_id").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
     size = F.char_length(F.coalesce("text", F.lit("")))
-    joined = rows.join(spans, "_row", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))
+    joined = rows.join(spans, ROW, "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda g: g["end"]))
     starts = F.concat(F.transform("gone", lambda g: g["start"]), F.array(size.cast("long")))
     joined = joined.withColumn("segments", F.filter(F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda s: s["end"] > s["start"]))
     text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.expr("array_join(transform(segments, s -> substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int))), '')"))
-    return joined.withColumn("text", text).drop("_row", "gone")
+    return joined.withColumn("text", text).drop(ROW, "gone")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
