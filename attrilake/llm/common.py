@@ -89,20 +89,21 @@ def hot_rows(total: int) -> int:
     return max(HOT_ROWS, -(-total // HOT_KEYS))
 
 
-def join_keyed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def join_keyed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: str = "row_id", how: str = "inner") -> DataFrame:
     """rows join groups on ``key`` where ``groups`` has one row a key and its row count ``size``.
 
-    Keys with over hot_rows(total) rows are broadcast: there are fewer than total / hot_rows(total)
-    of them, HOT_KEYS at most. All others meet in a shuffle in which no key has more than that.
+    A key with over hot_rows(total) rows is cut into parts of about that many, dealt by the hash of
+    ``spread``, and its group is copied once for each part. Only the hot keys and their numbers of
+    parts are broadcast: there are fewer than total / hot_rows(total) of them, HOT_KEYS at most.
+    Rows without a key meet nobody and are dealt evenly.
     """
-    limit = hot_rows(total)
-    hot = groups.filter(F.col(size) > limit)
-    cold = groups.filter(F.col(size) <= limit)
-    is_hot = F.broadcast(hot.select(F.col(key).alias("_hot_key")))
-    marked = rows.join(is_hot, rows[key] == F.col("_hot_key"), "left")
-    first = marked.filter(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot), key)
-    rest = marked.filter(F.col("_hot_key").isNull()).drop("_hot_key").join(cold, key, how)
-    return first.unionByName(rest)
+    parts = F.ceil(F.col(size) / hot_rows(total)).cast("long")
+    hot = groups.filter(F.col(size) > hot_rows(total)).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    mixed = F.xxhash64(spread)
+    salt = F.when(F.col(key).isNull(), mixed).otherwise(F.pmod(mixed, F.coalesce("_parts", F.lit(1).cast("long"))))
+    dealt = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: str, part: int = HOT_ROWS) -> DataFrame:
@@ -114,7 +115,7 @@ def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: str, part:
     sizes = rows.groupBy(key).agg(F.count("*").alias("_size"))
     total = rows.count()
     parts = F.ceil(F.col("_size") / part).cast("long")
-    dealt = join_keyed(rows, sizes, key, "_size", total).withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop("_size")
+    dealt = join_keyed(rows, sizes, key, "_size", total, spread).withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop("_size")
     copies = groups.join(sizes, key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_size")
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 

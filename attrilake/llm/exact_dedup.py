@@ -73,7 +73,7 @@ class LsmIndex:
             return entries.select("row_id", "doc_id", "digest", F.lit(1).cast("long").alias("group_size"), F.col("row_id").alias("keep_row"), F.col("doc_id").alias("keep_id"), F.lit(True).alias("kept"))
         hits = level.filter("group_size > 1")
         wrong = self._unequal(hits, rows)
-        out = join_keyed(entries, hits, "digest", "group_size", rows, "left").select(
+        out = join_keyed(entries, hits, "digest", "group_size", rows, how="left").select(
             "row_id", "doc_id", "digest", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             F.coalesce("keep_row", "row_id").alias("keep_row"), F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         )

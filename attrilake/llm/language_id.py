@@ -153,9 +153,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
         every = f"array({', '.join(f'{x!r}D' for x in share)})"
         for key in ("host", "domain", "declared", "suffix"):
             tally = tallied(told, key, model.languages)
-            named = out.filter(F.col(key).isNotNull())
-            # nulls meet nobody; a hot value's tally is broadcast
-            out = join_keyed(named, tally, key, f"{key}_n", size, "left").unionByName(out.filter(F.col(key).isNull()), allowMissingColumns=True)
+            out = join_keyed(out, tally, key, f"{key}_n", size, how="left")  # rows without a value meet nobody
         own = "coalesce(p[i], 0D)"
         over_all = f"(({every})[i] - {own} + 1D) / ({size - 1 + n}D)"
         domain = f"if(domain_c IS NULL, {over_all}, (domain_c[i] - {own} + {HOST_WEIGHT}D * {over_all}) / (domain_n - 1 + {HOST_WEIGHT}D))"

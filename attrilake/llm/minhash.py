@@ -174,7 +174,7 @@ def first_candidates(members: DataFrame, nodes: DataFrame, need: dict[int, int])
     sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
     left = sizes.join(minima.withColumnsRenamed({"node": "a", "signature": "sign_a"}), "a")
     total = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    both = join_keyed(pairs.join(minima.withColumnsRenamed({"node": "b", "signature": "sign_b"}), "b"), left, "a", "pairs", total)
+    both = join_keyed(pairs.join(minima.withColumnsRenamed({"node": "b", "signature": "sign_b"}), "b"), left, "a", "pairs", total, "b")
 
     def prune(batches):
         for batch in batches:
@@ -287,7 +287,7 @@ def rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Dat
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rows = join_keyed(placed.select("bucket", "node", "root"), mixed, "bucket", "size", members.count()).withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+    rows = join_keyed(placed.select("bucket", "node", "root"), mixed, "bucket", "size", members.count(), "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("right"), "node", "root")
     signs = nodes.select("node", "keys", "signature")
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     nodes = scratch.keep(rows.join(classes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "text_key", "keys", "signature"), "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = scratch.keep(join_keyed(members, shared, "bucket", "size", nodes.count() * BANDS).select("bucket", "node", "first"), "members")
+    members = scratch.keep(join_keyed(members, shared, "bucket", "size", nodes.count() * BANDS, "node").select("bucket", "node", "first"), "members")
     links = verified(first_candidates(members, nodes, need), nodes, docs, scratch, "first", percent)
     roots = components(links, scratch, "first")
     more = rest_links(members, roots, nodes, docs, scratch, need, percent)
@@ -345,9 +345,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least").alias("stays"), F.count("*").alias("members"))
     count = classes.count()
-    known = join_keyed(grouped, least, "root", "members", count).filter("members > 1 OR copies > 1")
+    known = join_keyed(grouped, least, "root", "members", count, "node").filter("members > 1 OR copies > 1")
     known = scratch.keep(known.select("digest", "copies", F.col("stays.doc_id").alias("component_id"), F.col("stays.row_id").alias("keep_row")), "known")
-    out = join_keyed(rows.select("row_id", "doc_id", "n_shingles", "digest"), known, "digest", "copies", rows.count(), "left")
+    out = join_keyed(rows.select("row_id", "doc_id", "n_shingles", "digest"), known, "digest", "copies", rows.count(), how="left")
     return out.select("row_id", "doc_id", "n_shingles", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("keep_row", "row_id").alias("keep_row"))
 
 
