@@ -41,9 +41,13 @@ class Scratch:
     goes when the session ends.
     """
 
+    alive: dict[str, Scratch] = {}
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/attrilake/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
+        Scratch.alive[self.root] = self
         atexit.register(self._end)
 
     def path(self, name: str) -> str:
@@ -54,20 +58,42 @@ class Scratch:
         for k, v in options.items():
             writer = writer.option(k, v)
         writer.parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         drop_path(self.spark, self.path(name))
+        self.names.discard(name)
+
+    def drop_but(self, *needed: str) -> None:
+        """Delete all tables but these."""
+        for name in self.names - set(needed):
+            self.drop(name)
 
     def _end(self) -> None:
-        try:
-            drop_path(self.spark, self.root)
-        except Exception:  # the session is gone already
-            pass
+        if Scratch.alive.pop(self.root, None):
+            try:
+                drop_path(self.spark, self.root)
+            except Exception:  # the session is gone already
+                pass
+
+    @staticmethod
+    def mark() -> set[str]:
+        """The folders that are in use now, for ``sweep``."""
+        return set(Scratch.alive)
+
+    @staticmethod
+    def sweep(roots: set[str], needed: DataFrame) -> None:
+        """Delete these folders but for those that ``needed`` reads."""
+        read = needed.inputFiles() if roots else []
+        for root in roots:
+            name = root.rpartition("/")[2]
+            if root in Scratch.alive and not any(f"/{name}/" in f for f in read):
+                Scratch.alive[root]._end()
 
 
 #: Column that names a row where doc_ids may repeat or be null.
-ROW = "_row"
+ROW = "__attrilake_row__"
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:

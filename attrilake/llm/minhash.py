@@ -347,6 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     count = classes.count()
     known = join_keyed(grouped, least, "root", "members", count, "node").filter("members > 1 OR copies > 1")
     known = scratch.keep(known.select("digest", "copies", F.col("stays.doc_id").alias("component_id"), F.col("stays.row_id").alias("keep_row")), "known")
+    scratch.drop_but("signed", "known")
     out = join_keyed(rows.select("row_id", "doc_id", "n_shingles", "digest"), known, "digest", "copies", rows.count(), how="left")
     return out.select("row_id", "doc_id", "n_shingles", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("keep_row", "row_id").alias("keep_row"))
 

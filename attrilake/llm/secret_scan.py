@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import ROW, Scratch, numbered, row_number, sha256_hex
+from attrilake.llm.common import Scratch, row_number, sha256_hex
 
 #: The patterns of the kinds, in their order, and what a match needs to stay.
 KINDS = {
@@ -63,9 +63,10 @@ def with_spans(rows: DataFrame, name: str, pattern: str, value_group: int = 0) -
     return rows.withColumn(name, F.expr(spans)).drop("_m", "_v", "_p", "_l", "_s", "_b", "_at")
 
 
-def found_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row_id and the spans of each kind and of the candidate tokens."""
-    rows = docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+def found_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, row_id and the spans of each kind and of the candidate tokens; ``carry`` adds the row as ``doc``."""
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if carry else []
+    rows = docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *row)
     rows = with_spans(rows, "assign", KINDS["assign"], 2)
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.char_length(s["value"]) >= LEAST_VALUE))
     rows = with_spans(rows, "access", KINDS["access"])
@@ -109,10 +110,10 @@ def train_markov(samples: DataFrame) -> list[float]:
     return out
 
 
-def scan(docs: DataFrame, least: float = MIN_RATIO) -> DataFrame:
+def scan(docs: DataFrame, least: float = MIN_RATIO, carry: bool = False) -> DataFrame:
     """row_id, doc_id, base and spans: arrays of (start, no, kind, end) in order; a row a document."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    rows = scratch.keep(found_spans(docs), "spans")
+    rows = scratch.keep(found_spans(docs, carry), "spans")
     labelled = rows.select(F.explode("tokens").alias("t"), *KINDS).select(F.col("t.value").alias("token"), F.expr(covered()).alias("random"))
     model = train_markov(labelled)
     scored = rows.withColumn("tokens", F.expr(f"filter(tokens, t -> NOT {covered()})"))
@@ -139,17 +140,18 @@ def joined(spans: str) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = MIN_RATIO) -> DataFrame:
     """``docs`` with every span replaced by ``mark``, overlapping spans by one; n_chars counts anew."""
-    kept = numbered(docs, Scratch(docs.sparkSession, "redact"))
-    spans = scan(kept, least).filter("size(spans) > 0").select(F.col("row_id").alias(ROW), "spans")
+    rows = scan(docs, least, carry=True)
     # between spans: from the furthest end so far to the next start
     pieces = F.expr("""aggregate(spans, named_struct('to', 0L, 'out', cast(array() as array<string>)),
         (z, s) -> if(s.start >= z.to,
             named_struct('to', s.end, 'out', concat(z.out, array(substring(text, cast(z.to as int) + 1, cast(s.start - z.to as int))))),
             named_struct('to', greatest(z.to, s.end), 'out', z.out)),
         z -> concat(z.out, array(substring(text, cast(z.to as int) + 1))))""")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
-    out = kept.join(spans, ROW, "left").withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    rows = rows.select("doc", "spans", F.col("doc.text").alias("text"))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.array_join(pieces, mark))
+    out = rows.select("doc", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

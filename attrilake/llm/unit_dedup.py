@@ -93,14 +93,14 @@ def repeated_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int
 def without_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
     """``docs`` without its repeated runs, and ``segments``: where each piece that stays was (start, end)."""
     rows = numbered(docs, Scratch(docs.sparkSession, "without"))
-    spans = repeated_runs(rows, least_unit, least_run).groupBy(F.col("row_id").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    spans = repeated_runs(rows, least_unit, least_run).groupBy(F.col("row_id").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__gone__"))
     size = F.char_length(F.coalesce("text", F.lit("")))
-    joined = rows.join(spans, ROW, "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda g: g["end"]))
-    starts = F.concat(F.transform("gone", lambda g: g["start"]), F.array(size.cast("long")))
+    joined = rows.join(spans, ROW, "left").withColumn("__gone__", F.coalesce("__gone__", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__gone__", lambda g: g["end"]))
+    starts = F.concat(F.transform("__gone__", lambda g: g["start"]), F.array(size.cast("long")))
     joined = joined.withColumn("segments", F.filter(F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda s: s["end"] > s["start"]))
-    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.expr("array_join(transform(segments, s -> substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int))), '')"))
-    return joined.withColumn("text", text).drop(ROW, "gone")
+    text = F.when(F.size("__gone__") == 0, F.col("text")).otherwise(F.expr("array_join(transform(segments, s -> substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int))), '')"))
+    return joined.withColumn("text", text).drop(ROW, "__gone__")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

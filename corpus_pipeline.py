@@ -6,6 +6,8 @@ again as the next one's ``docs``. All but the last return the columns of documen
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +15,44 @@ from attrilake.llm import exact_dedup, language_id, minhash, packing, secret_sca
 from attrilake.llm.common import ROW, Scratch, numbered, ship
 
 
+_USED: set[str] = set()
+
+
+def begun(spark: SparkSession, docs: DataFrame) -> None:
+    """A stage starts: what earlier stages wrote for themselves goes, but for what ``docs`` still reads."""
+    ship(spark)
+    Scratch.sweep(_USED & Scratch.mark(), docs)
+    _USED.clear()
+
+
+def stage(function):
+    """Notes the scratch folders that a stage makes, for the next one to delete."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        begun(spark, docs)
+        before = Scratch.mark()
+        out = function(spark, docs, sf_dir)
+        _USED.update(Scratch.mark() - before)
+        return out
+
+    return run_stage
+
+
+@stage
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the evidence agrees on; ``lang`` becomes that language.
 
     The declared language is ``lang``, the host is ``source``. Texts without letters, with no
     likely language or unlike any known one go.
     """
-    ship(spark)
     rows = numbered(docs, Scratch(spark, "stage-language"))
     found = language_id.identify(language_id.as_rows(rows, "doc_id", rows["text"], rows["lang"], rows["source"]), language_id.train(rows))
-    kept = found.filter("accepted").select(F.col("row_id").alias(ROW), "language")
-    return rows.join(kept, ROW).withColumn("lang", F.col("language")).select(*docs.columns)
+    kept = found.filter("accepted").select(F.col("row_id").alias(ROW), F.col("language").alias("__language__"))
+    return rows.join(kept, ROW).withColumn("lang", F.col("__language__")).select(*docs.columns)
 
 
+@stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space the longest stays."""
     rows = numbered(docs, Scratch(spark, "stage-exact"))
@@ -33,24 +60,25 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
+@stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the first document stays."""
-    ship(spark)
     rows = numbered(docs, Scratch(spark, "stage-near"))
     kept = minhash.near_duplicates(rows).filter("row_id = keep_row").select(F.col("row_id").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
+@stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets replaced by a mark."""
     return secret_scan.redacted(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     import public_tokenizers
 
-    ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids"))
 
 
@@ -70,6 +98,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for name, function in STAGES[:-1]:
+        docs = scratch.keep(function(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
