@@ -144,7 +144,7 @@ def save_mapping(p: Placement, spark: SparkSession, path: str, magic: str = "ATT
 
 def load_mapping(spark: SparkSession, path: str, servers: int) -> DataFrame:
     """node_id, prefix, server_id of a mapping file; refused if it is for another number of servers."""
-    lines = spark.read.option("wholetext", True).text(path).first()[0].split("\n")
+    lines = spark.read.text(path, wholetext=True).first()[0].split("\n")
     if not lines[0].endswith("_MAPPING_V1"):
         raise ValueError("not a mapping")
     if int(lines[1].split()[0]) != servers:

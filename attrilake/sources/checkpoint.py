@@ -49,7 +49,7 @@ def read_checkpoint(spark: SparkSession, path: str, server: int | None = None) -
 
     A file with another magic raises an error; so does one of another server if one is named.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def read(batches):
         for batch in batches:
