@@ -220,6 +220,13 @@ class Image:
 
 def parse(raw: bytes) -> Image:
     """Read the markers; the scan stays as it is. Raises ValueError where it is not baseline JPEG."""
+    try:
+        return _parse(raw)
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError("a segment is cut short") from e
+
+
+def _parse(raw: bytes) -> Image:
     if raw[:2] != b"\xff\xd8":
         raise ValueError("no start of an image")
     image, at = Image(), 2
