@@ -12,6 +12,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]  # A-Z count as a-z
+#: Bytes of text that one pass of sums handles.
+PASS = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -55,10 +57,17 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut[offsets] = True  # a row's end ends a word
     starts = np.flatnonzero(word & np.r_[True, ~word[:-1] | cut[1:-1]])
     ends = np.flatnonzero(word & np.r_[~word[1:] | cut[1:-1], True]) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.cumsum(_VALUE[raw] * up[: len(raw)], dtype=np.uint64)
-    total = np.r_[np.uint64(0), total]
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # words of about PASS bytes at a time: sums take eight times the text
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PASS, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        up, down = powers(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_VALUE[raw[a:b]] * up[: b - a], dtype=np.uint64, out=total[1:])
+        first, last = starts[i:j] - a, ends[i:j] - a
+        hashes[i:j] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        i = j
     return hashes, np.searchsorted(starts, offsets)
 
 
