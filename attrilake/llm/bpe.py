@@ -23,7 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pre-tokens that a worker remembers: two generations of so many; longer ones are never remembered.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 48
+REMEMBERED, REMEMBERED_CHARS = 900_000, 48
+#: Bytes of a pre-token whose positions fit in one word, and tables of such words and links.
+SHORT = 64
+BITS = [1 << i for i in range(64)]
+AFTER, BEFORE = list(range(1, SHORT + 1)), list(range(-1, SHORT - 1))
 #: Rows that a worker encodes before it hands them on.
 ROWS = 256
 
@@ -148,8 +152,94 @@ class ByteBpe:
             i = after[i]
         return tuple(out)
 
+    def merge_short(self, raw: bytes) -> tuple[int, ...]:
+        """``merge`` for up to SHORT bytes: a bucket is one word whose bits are positions.
+
+        The same queue with its steps in line; a bucket's leftmost position is its first set bit.
+        """
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            return (whole,)
+        single, rank_of, size, bit = self.single, self.pairs.get, self.size, BITS
+        low, mid = self.queue.low, self.queue.mid
+        tokens = [single[b] for b in raw]
+        n = len(tokens)
+        after, before = AFTER[:n], BEFORE[:n]
+        pending = [rank_of(a * size + b, -1) for a, b in zip(tokens, tokens[1:])]
+        pending.append(-1)
+        buckets: dict[int, int] = {}
+        top = 0
+        for i, rank in enumerate(pending):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank] |= bit[i]
+                else:
+                    buckets[rank] = bit[i]
+                    low[rank >> 6] |= bit[rank & 63]
+                    mid[rank >> 12] |= bit[rank >> 6 & 63]
+                    top |= bit[rank >> 12]
+        while top:
+            # find-first-set on each level: the least rank with a bucket
+            w = (top & -top).bit_length() - 1
+            word = mid[w]
+            v = w << 6 | (word & -word).bit_length() - 1
+            word = low[v]
+            one = word & -word
+            rank = v << 6 | one.bit_length() - 1
+            bucket = buckets[rank]
+            first = bucket & -bucket
+            if bucket == first:
+                del buckets[rank]
+                word ^= one
+                low[v] = word
+                if not word:
+                    mid[w] ^= bit[v & 63]
+                    if not mid[w]:
+                        top ^= bit[w]
+            else:
+                buckets[rank] = bucket ^ first
+            i = first.bit_length() - 1
+            if pending[i] != rank:
+                continue  # stale
+            j = after[i]
+            tokens[i] = rank
+            pending[j] = -1
+            k = after[i] = after[j]
+            h = before[i]
+            if k < n:
+                before[k] = i
+                new = pending[i] = rank_of(rank * size + tokens[k], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new] |= bit[i]
+                    else:
+                        buckets[new] = bit[i]
+                        low[new >> 6] |= bit[new & 63]
+                        mid[new >> 12] |= bit[new >> 6 & 63]
+                        top |= bit[new >> 12]
+            else:
+                pending[i] = -1
+            if h >= 0:
+                new = pending[h] = rank_of(tokens[h] * size + rank, -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new] |= bit[h]
+                    else:
+                        buckets[new] = bit[h]
+                        low[new >> 6] |= bit[new & 63]
+                        mid[new >> 12] |= bit[new >> 6 & 63]
+                        top |= bit[new >> 12]
+        out, i = [], 0
+        while i < n:
+            out.append(tokens[i])
+            i = after[i]
+        return tuple(out)
+
     def _missing(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece) or self.merge(piece.encode())
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = self.merge_short(raw) if len(raw) <= SHORT and self.size <= 1 << 18 else self.merge(raw)
         if len(piece) <= REMEMBERED_CHARS:
             if len(self.new) >= self.limit:
                 self.old, self.new = self.new, {}
