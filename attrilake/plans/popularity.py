@@ -41,8 +41,8 @@ def popularity(log: DataFrame, now: Column, settings: Settings = Settings()) ->
 def popularity_with_bonus(log: DataFrame, now: Column, settings: Settings = Settings()) -> DataFrame:
     """pattern, popularity, where an access counts more while the stored score is over the threshold.
 
-    The factor is 1 + log10(score / threshold). A pattern's accesses are combined by millisecond
-    first, so an array holds a number of entries and not of accesses with equal times.
+    The factor is 1 + log10(score / threshold). It depends on the order of accesses, so a pattern's
+    log is folded in one task; ``stream_popularity`` folds logs too long for that.
     """
     access = F.struct(millis(F.col("ts")).alias("ms"), F.col("increment").cast("double").alias("increment"))
     ordered = log.groupBy("pattern").agg(F.array_sort(F.collect_list(access)).alias("log"))
