@@ -66,8 +66,14 @@ KEYS = {
     "infix": ("*_n*", ("p_name",)),
     "wild": ("*", PART),
 }
-#: A value pattern of each kind.
-VALUES = {"exact": "Brand#2", "prefix": "Br*", "suffix": "*2", "infix": "*in*", "wild": "*"}
+#: A value pattern of each kind for each of them.
+VALUES = {
+    "exact": {"exact": "Brand#2", "prefix": "Br*", "suffix": "*2", "infix": "*and*", "wild": "*"},
+    "prefix": {"exact": "Brand#2", "prefix": "Br*", "suffix": "*2", "infix": "*in*", "wild": "*"},
+    "suffix": {"exact": "7", "prefix": "ECO*", "suffix": "*ing", "infix": "*in*", "wild": "*"},
+    "infix": {"exact": "small ring", "prefix": "sm*", "suffix": "*ing", "infix": "*ll*", "wild": "*"},
+    "wild": {"exact": "7", "prefix": "1*", "suffix": "*2", "infix": "*in*", "wild": "*"},
+}
 
 LONG_SQL = "(" + " UNION ALL ".join(f"SELECT l_orderkey AS object_id, '{k}' AS key, {cell(k)} AS value FROM lineitem" for k in PAIR_KEYS) + ")"
 PART_LONG_SQL = "(" + " UNION ALL ".join(f"SELECT p_partkey AS object_id, '{k}' AS key, {cell(k)} AS value FROM part" for k in PART) + ")"
@@ -85,11 +91,11 @@ CONDITIONS = {
     "cond_eq": ("p_brand = Brand#2", "p_brand = 'Brand#2'"),
     "cond_ne": ("p_brand != Brand#2", "p_brand <> 'Brand#2'"),
     "cond_gt": ("p_size > 25", compare_sql("p_size", ">", "25", True)),
-    "cond_lt": ("p_retailprice < 1000.5", compare_sql("p_retailprice", "<", "1000.5", True)),
+    "cond_lt": ("p_retailprice < 910.5", compare_sql("p_retailprice", "<", "910.5", True)),
     "cond_ge": ("p_size >= 25", compare_sql("p_size", ">=", "25", True)),
-    "cond_le": ("p_retailprice <= 950", compare_sql("p_retailprice", "<=", "950", True)),
+    "cond_le": ("p_retailprice <= 905", compare_sql("p_retailprice", "<=", "905", True)),
     "cond_gt_text": ("p_name > small", compare_sql("p_name", ">", "small", False)),
-    "cond_le_mixed": ("p_brand <= 5", compare_sql("p_brand", "<=", "5", True)),
+    "cond_gt_mixed": ("p_brand > 5", compare_sql("p_brand", ">", "5", True)),
     "cond_contains": ("p_name contains ring", "contains(p_name, 'ring')"),
     "cond_startswith": ("p_type startsWith ECO", "starts_with(p_type, 'ECO')"),
     "cond_endswith": ("p_name endsWith ring", "ends_with(p_name, 'ring')"),
@@ -230,7 +236,7 @@ def _entries() -> dict[str, tuple]:
     """name: (query, SQL or None)"""
     out: dict[str, tuple] = {}
     for k, (key, columns) in KEYS.items():
-        for v, value in VALUES.items():
+        for v, value in VALUES[k].items():
             out[f"search_{k}_{v}"] = (lambda s, d, q=f"{key}={value}": part(s, d).search(q)), search_sql(columns, value)
     out["search_key_only"] = (lambda s, d: part(s, d).search("p_name")), search_sql(("p_name",), "*")
     out["search_no_suffix_mode"] = (lambda s, d: part(s, d).search("*name=*", suffix_mode=False)), "SELECT CAST(p_partkey AS BIGINT) AS object_id FROM part WHERE false"
@@ -254,7 +260,7 @@ def _entries() -> dict[str, tuple]:
         lambda s, d: WideStore(table(s, d, "lineitem"), "l_orderkey").multi("l_quantity > 45 AND l_returnflag = A OR l_linenumber = 7"),
         "SELECT l_orderkey AS object_id FROM lineitem GROUP BY l_orderkey HAVING (bool_or(CAST(l_quantity AS DECIMAL(18,2)) > 45) AND bool_or(l_returnflag = 'A')) OR bool_or(l_linenumber = 7)",
     )
-    out["range_numeric"] = (lambda s, d: part(s, d).in_range("p_retailprice in range [950 to 1100.5]")), ids_sql("part", "p_partkey", "CAST(p_retailprice AS DECIMAL(18,2)) BETWEEN 950 AND 1100.5")
+    out["range_numeric"] = (lambda s, d: part(s, d).in_range("p_retailprice in range [905 to 915.5]")), ids_sql("part", "p_partkey", "CAST(p_retailprice AS DECIMAL(18,2)) BETWEEN 905 AND 915.5")
     out["range_numeric_glob"] = (lambda s, d: part(s, d).in_range(RangeQuery.numbers("p_*", -5, 12))), ids_sql("part", "p_partkey", "p_size BETWEEN -5 AND 12 OR CAST(p_retailprice AS DECIMAL(18,2)) BETWEEN -5 AND 12")
     out["range_date_iso"] = (lambda s, d: with_formats(s, d).in_range("iso in range [1995-02-10 to 1996-02-31]")), RANGE_SQL.format("1995-02-10", "1996-03-02")
     out["range_date_us"] = (lambda s, d: with_formats(s, d).in_range("us in range [02/10/1995 to 06/30/1995]")), RANGE_SQL.format("1995-02-10", "1995-06-30")
