@@ -5,8 +5,14 @@ follows white space, so that a passage set into the middle of a line still has u
 unit is normalised (case, runs of white space) and hashed; digests are grouped over all documents,
 and of equal units the first by (doc_id, row, place) stays. Later occurrences that stand side by
 side make a run; a run goes if it has ``least_run`` words or more and a unit of ``least_unit``, so
-short phrases that any two texts share stay where they are. Runs keep their offsets (code points,
-ends exclusive) in the original text.
+short phrases that any two texts share stay where they are.
+
+Units say nothing of passages in short sentences or with edges inside a unit, so every window of
+PASSAGE words that stands earlier goes too, wherever it begins. Winnowing picks GRAM-word grams so
+that each window holds one, the same wherever it stands; only windows that hold a repeated gram are
+written, and equal ones are grouped exactly (64 bits). In one row the earlier window must end before
+the later begins. Runs and passages that overlap or touch become one. They keep their offsets (code
+points, ends exclusive) in the original text.
 
 Defined results: null and blank texts have no units; null doc_ids rank last; repeated rows lose
 everything but their first occurrence; extra columns are ignored; an empty table gives no rows.
@@ -14,18 +20,24 @@ everything but their first occurrence; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import ROW, Scratch, join_keyed, likely, numbered, row_number
+from attrilake.llm.common import ROW, Scratch, join_keyed, likely, numbered
+from attrilake.llm.shingles import mix
 
 LEAST_UNIT, LEAST_RUN = 8, 20
 #: Where a unit ends.
 CUT = regex.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=\p{Lu}(?!\p{Lu}))")
-UNITS = "row_id long, doc_id long, place int, start long, end long, words int, digest binary"
+UNITS = "row_id long, doc_id long, place int, start long, end long, words int, digest binary, word long"
+#: Words of a window that goes when it stands earlier, and of the grams that find it.
+PASSAGE, GRAM = 51, 20
 
 
 def units_of(text: str):
@@ -47,7 +59,7 @@ def units(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                of, columns = [], ([], [], [], [], [])
+                of, columns, before = [], ([], [], [], [], []), []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     if text:
                         found = units_of(text)
@@ -55,39 +67,153 @@ def units(docs: DataFrame) -> DataFrame:
                         columns[0].extend(range(len(found)))
                         for to, values in zip(columns[1:], zip(*found, strict=True)):
                             to.extend(values)
+                        words = np.array([n for _, _, n, _ in found], np.int64)
+                        before.append(np.cumsum(words) - words)
                 at = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id").take(at), batch.column("doc_id").take(at), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())],
+                    [batch.column("row_id").take(at), batch.column("doc_id").take(at), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary()), pa.array(np.concatenate(before) if before else [], pa.int64())],
                     [c.split()[0] for c in UNITS.split(", ")],
                 )
 
-    return docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(cut, UNITS)
+    return docs.select("row_id", "doc_id", "text").mapInArrow(cut, UNITS)
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n words in a row, from the words' own."""
+    out, size, power, at = None, 1, 0x9E3779B97F4A7C15, 0
+    part = words
+    while True:
+        if n & size:
+            length = len(words) - at - size + 1
+            out = part[:length].copy() if out is None else out[:length] * np.uint64(power) + part[at : at + length]
+            at += size
+        if size * 2 > n:
+            return mix(out)
+        part = part[:-size] * np.uint64(power) + part[size:]
+        size, power = size * 2, power * power % (1 << 64)
+
+
+def spread(x: np.ndarray, n: int, take) -> np.ndarray:
+    """The least or greatest of each n values in a row."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x, size = take(x[:-step], x[step:]), size + step
+    return x
+
+
+def picked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are the least of a window that holds them."""
+    found = grams(words, GRAM)
+    least = spread(found, PASSAGE - GRAM + 1, np.minimum)
+    edge = np.zeros(PASSAGE - GRAM, np.uint64)
+    at = np.flatnonzero(spread(np.concatenate([edge, least, edge]), PASSAGE - GRAM + 1, np.maximum) == found)
+    return at, found[at]
+
+
+def word_hashes(text: str | None) -> np.ndarray | None:
+    """Hashes of a text's normalised words, None where they make no window."""
+    words = text.lower().split() if text else ()
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) if len(words) >= PASSAGE else None
+
+
+def passages(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """row_id, doc_id, word, to (places of words), start, end, n_units (0) and first_doc_id of what earlier windows cover."""
+
+    def pick(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                of, gram, times = [], [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    words = word_hashes(text)
+                    if words is not None:
+                        found, n = np.unique(picked(words)[1], return_counts=True)
+                        of.append(np.full(len(found), i)), gram.append(found.view(np.int64)), times.append(n)
+                if of:
+                    yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(np.concatenate(of))), pa.array(np.concatenate(gram)), pa.array(np.concatenate(times), pa.int64())], ["row_id", "gram", "n"])
+
+    every = scratch.keep(rows.select("row_id", "text").mapInArrow(pick, "row_id long, gram long, n long"), "grams")
+    total = every.count()
+    repeated = scratch.keep(every.groupBy("gram").agg(F.count("*").alias("size"), F.sum("n").alias("times")).filter("times > 1").select("gram", "size"), "repeated-grams")
+    hits = join_keyed(likely(every, repeated, "gram"), repeated, "gram", "size", total).groupBy("row_id").agg(F.collect_list("gram").alias("grams"))
+    hits = scratch.keep(hits, "hits")
+
+    def cover(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                of, columns = [], ([], [], [], [])
+                for i, (text, known) in enumerate(zip(batch.column("text").to_pylist(), batch.column("grams"), strict=True)):
+                    words = word_hashes(text)
+                    at, found = picked(words)
+                    at = at[np.isin(found, known.values.to_numpy().view(np.uint64))]
+                    # windows that hold one of these grams
+                    count = len(words) - PASSAGE + 1
+                    edges = np.zeros(count + 1, np.int64)
+                    np.add.at(edges, np.maximum(at - (PASSAGE - GRAM), 0), 1)
+                    np.add.at(edges, np.minimum(at + 1, count), -1)
+                    place = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+                    spans = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64)
+                    of.append(np.full(len(place), i))
+                    for to, values in zip(columns, (place, spans[place, 0], spans[place + PASSAGE - 1, 1], grams(words, PASSAGE)[place].view(np.int64)), strict=True):
+                        to.append(values)
+                if of:
+                    at = pa.array(np.concatenate(of))
+                    yield pa.RecordBatch.from_arrays([batch.column("row_id").take(at), batch.column("doc_id").take(at), *(pa.array(np.concatenate(c), pa.int64()) for c in columns)], ["row_id", "doc_id", "word", "start", "end", "window"])
+
+    texts = likely(rows, hits, "row_id").join(hits, "row_id").select("row_id", "doc_id", "text", "grams")
+    windows = scratch.keep(texts.mapInArrow(cover, "row_id long, doc_id long, word long, start long, end long, window long"), "windows")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "word")
+    first = scratch.keep(windows.groupBy("window").agg(F.min(rank).alias("first"), F.count("*").alias("times")).filter("times > 1"), "first-windows")
+    later = join_keyed(likely(windows, first, "window"), first, "window", "times", windows.count())
+    later = later.filter((F.col("row_id") != F.col("first.row_id")) | (F.col("word") >= F.col("first.word") + PASSAGE))
+    later = later.withColumn("run", F.col("word") - F.row_number().over(Window.partitionBy("row_id").orderBy("word")))
+    return later.groupBy("row_id", "doc_id", "run").agg(
+        F.min("word").alias("word"), (F.max("word") + PASSAGE).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.lit(0).cast("long").alias("n_units"), F.min_by("first.doc_id", "word").alias("first_doc_id"),
+    ).drop("run")
 
 
 def repeated_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
     """A row a run to remove: row_id, doc_id, start, end, n_words, n_units, first_doc_id.
 
-    first_doc_id is the document that keeps the run's longest unit.
+    first_doc_id is the document that keeps the run's longest unit, or the start of its passage,
+    whichever has more words where they were joined; n_units is 0 for a passage without whole units.
     """
     scratch = Scratch(docs.sparkSession, "units")
-    every = scratch.keep(units(docs), "units")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([ROW] if ROW in docs.columns else []))
+    rows = (rows if ROW in docs.columns else numbered(rows, scratch)).withColumnRenamed(ROW, "row_id")
+    every = scratch.keep(units(rows), "units")
     total = every.count()
     counted = every.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
     counted = scratch.keep(counted, "repeated")
     # only units that have equals take part from here on
     met = join_keyed(likely(every, counted, "digest"), counted, "digest", "times", total)
     met = scratch.keep(met, "met")
+    scratch.drop("units")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "place")
     first = met.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("times"))
     later = join_keyed(met.drop("times"), first, "digest", "times", total).filter(~((F.col("row_id") == F.col("first.row_id")) & (F.col("place") == F.col("first.place"))))
     in_order = Window.partitionBy("row_id").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(in_order))
     runs = runs.groupBy("row_id", "doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"),
+        F.min("word").alias("word"), F.max(F.col("word") + F.col("words")).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"),
         F.max(F.struct("words", F.col("first.doc_id").alias("of"))).alias("longest"),
     )
     runs = runs.filter((F.col("n_words") >= least_run) & (F.col("longest.words") >= least_unit))
-    return runs.select("row_id", "doc_id", "start", "end", "n_words", "n_units", F.col("longest.of").alias("first_doc_id"))
+    runs = scratch.keep(runs.select("row_id", "doc_id", "word", "to", "start", "end", "n_units", F.col("longest.of").alias("first_doc_id")), "runs")
+    for name in ("repeated", "met"):
+        scratch.drop(name)
+    both = runs.unionByName(scratch.keep(passages(rows, scratch), "passages"))
+    scratch.drop_but("runs", "passages")
+    # what overlaps or touches becomes one
+    by_word = Window.partitionBy("row_id").orderBy("word", "to")
+    both = both.withColumn("new", F.coalesce(F.col("word") > F.max("to").over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    both = both.withColumn("run", F.sum("new").over(by_word.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.groupBy("row_id", "doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("word")).alias("n_words"), F.sum("n_units").alias("n_units"),
+        F.max(F.struct((F.col("to") - F.col("word")).alias("words"), F.col("first_doc_id").alias("of"))).alias("longest"),
+    )
+    return both.select("row_id", "doc_id", "start", "end", "n_words", "n_units", F.col("longest.of").alias("first_doc_id"))
 
 
 def without_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:

@@ -369,6 +369,51 @@ def test_op7_equals_brute_force(spark, sf_dir):
     assert got == want
 
 
+def later_words(rows):
+    """Places of words in windows of 51 that stand earlier, by document; in one text only where they don't overlap."""
+    first, out = {}, {}
+    for d in sorted(rows):
+        words = (rows[d] or "").lower().split()
+        out[d] = set()
+        for i in range(len(words) - 50):
+            by, at = first.setdefault(tuple(words[i : i + 51]), (d, i))
+            if by != d or i >= at + 51:
+                out[d].update(range(i, i + 51))
+    return out
+
+
+def check_passages(got, rows):
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.end))
+        assert r.n_words == len(rows[r.doc_id][r.start : r.end].split())
+    for d, places in later_words(rows).items():
+        of = [m.span() for m in re.finditer(r"\S+", rows[d] or "")]
+        assert all(any(a <= of[i][0] and of[i][1] <= b for a, b in spans[d]) for i in places), d
+        assert all(x[1] < y[0] for x, y in zip(sorted(spans[d]), sorted(spans[d])[1:]))
+    return spans
+
+
+def test_op7_finds_every_window_of_51_words(spark, sf_dir):
+    rows = texts(spark, sf_dir)
+    check_passages(queries.queries()["op7_unit_dedup"](spark, sf_dir).collect(), rows)
+
+
+def test_op7_passages_of_any_sentences_and_edges(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    short = " ".join(f"{word().title()} {word()}." for _ in range(40))
+    titles = " ".join(word().title() for _ in range(60))
+    plain = " ".join(word() for _ in range(51))
+    mixed = [" ".join(word() for _ in range(20)) for _ in range(20)]
+    rows = {i: f"{mixed[2 * i]} {p} {mixed[2 * i + 1]}" for i, p in enumerate([short, titles, plain, plain.upper(), short, titles.lower().replace(" ", "\n"), plain.rpartition(" ")[0]])}
+    rows[8] = f"{titles.swapcase()} x"  # the first half
+    rows |= {9: "again " * 200, 10: f"{mixed[17]} {mixed[18]} {mixed[19]} and {mixed[17]} {mixed[18]} {mixed[19]}"}
+    spans = check_passages(unit_dedup.repeated_runs(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect(), rows)
+    assert {d for d, s in spans.items() if s} == {3, 4, 5, 8, 9, 10}
+    assert rows[3][slice(*spans[3][0])] == plain.upper() and spans[9] == [(51 * 6, 200 * 6 - 1)]
+
+
 def test_op8_learns_expressions(spark, odd, empty):
     rng = random.Random(4)
     words = ["".join(rng.choice(["ba", "de", "ki", "lo", "mu", "sa", "te"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
