@@ -4,7 +4,9 @@ Three fixed kinds of spans come from patterns (assign, access, hex). The method
 tokens of MIN_TOKEN characters or more under which a first-order Markov model of random strings is
 likelier than one of ordinary identifiers, by MIN_RATIO nats a character on average. Both models
 are counted over all documents: tokens that a pattern's span covers are the labelled sample of
-random strings, all others that of ordinary identifiers. Ordinary pairs back off to the single
+random strings, all others that of ordinary identifiers. A token that stands n times weighs
+1 + log2(n), so copies count little, and its whole weight leaves the ordinary counts before it is
+judged, so no token vouches for itself however often it stands. Ordinary pairs back off to the single
 characters' frequencies; the random model is mixed half and half with a uniform one, so alphabets
 that no pattern caught still count as random.
 
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import Scratch, row_number, sha256_hex
+from attrilake.llm.common import Scratch, join_keyed, row_number, sha256_hex
 
 #: The patterns of the kinds, in their order, and what a match needs to stay.
 KINDS = {
@@ -84,30 +86,32 @@ def covered(token: str = "t") -> str:
 PAIRS = "transform(sequence(1, size(c) - 2), i -> c[i - 1] * 128 + c[i])"
 
 
-def train_markov(samples: DataFrame) -> list[float]:
-    """The log-likelihood ratios of a 128 x 128 table from labelled ``samples`` (token, random).
+def distinct_tokens(labelled: DataFrame) -> DataFrame:
+    """A row a token and label: times, weight, sorted pairs, and how often each character is before and after another."""
+    found = labelled.groupBy("token", "random").agg(F.count("*").alias("times"))
+    found = found.withColumn("weight", 1 + F.log2("times")).withColumn("c", F.expr("transform(split(token, '', -1), x -> ascii(x))"))
+    of = "transform(sequence(0, 127), x -> size(filter(slice(c, {}, size(c) - 2), y -> y = x)))"
+    return found.withColumns({"pairs": F.expr(f"array_sort({PAIRS})"), "before": F.expr(of.format(1)), "after": F.expr(of.format(2))}).drop("c")
 
-    Counts cover all samples; the table that comes to the driver has 2 * ALPHABET ** 2 rows at most.
+
+def train_markov(tokens: DataFrame) -> dict[str, list[float]]:
+    """Logarithms of the random model's table of 128 x 128 pairs, and the ordinary tokens' weights of pairs and characters.
+
+    They cover all ``tokens``; the table that comes to the driver has 2 * ALPHABET ** 2 rows at most.
     """
-    codes = samples.filter(F.char_length("token") > 1).select("random", F.expr("transform(split(token, '', -1), x -> ascii(x))").alias("c"))
-    counts = codes.select("random", F.explode(F.expr(PAIRS)).alias("pair")).groupBy("random", "pair").count().collect()
+    counts = tokens.select("random", "weight", F.explode("pairs").alias("pair")).groupBy("random", "pair").agg(F.sum("weight").alias("weight")).collect()
     table = {True: {}, False: {}}
     for r in counts:
-        table[r["random"]][r["pair"]] = r["count"]
-    before = {k: [0] * 128 for k in table}
-    after = [0] * 128
+        table[r["random"]][r["pair"]] = r["weight"]
+    before = {k: [0.0] * 128 for k in table}
+    after = [0.0] * 128
     for k, pairs in table.items():
         for pair, n in pairs.items():
             before[k][pair >> 7] += n
             after[pair & 127] += 0 if k else n
-    uniform, out = 1 / ALPHABET, []
-    total = sum(after) + ALPHABET / 2
-    for pair in range(128 * 128):
-        a, single = pair >> 7, (after[pair & 127] + 0.5) / total
-        trained = (table[True].get(pair, 0) + BACK_OFF * uniform) / (before[True][a] + BACK_OFF)
-        ordinary = (table[False].get(pair, 0) + BACK_OFF * single) / (before[False][a] + BACK_OFF)
-        out.append(math.log((trained + uniform) / 2 / ordinary))
-    return out
+    uniform = 1 / ALPHABET
+    trained = ((table[True].get(p, 0) + BACK_OFF * uniform) / (before[True][p >> 7] + BACK_OFF) for p in range(128 * 128))
+    return {"random": [math.log((t + uniform) / 2) for t in trained], "pair": [table[False].get(p, 0.0) for p in range(128 * 128)], "first": before[False], "second": after, "total": [sum(after) + ALPHABET / 2]}
 
 
 def scan(docs: DataFrame, least: float = MIN_RATIO, carry: bool = False) -> DataFrame:
@@ -115,9 +119,15 @@ def scan(docs: DataFrame, least: float = MIN_RATIO, carry: bool = False) -> Data
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = scratch.keep(found_spans(docs, carry), "spans")
     labelled = rows.select(F.explode("tokens").alias("t"), *KINDS).select(F.col("t.value").alias("token"), F.expr(covered()).alias("random"))
-    model = train_markov(labelled)
-    scored = rows.withColumn("tokens", F.expr(f"filter(tokens, t -> NOT {covered()})"))
-    scored = scored.withColumn("tokens", F.filter("tokens", lambda t: _ratio_of(t["value"], model) >= least))
+    tokens = scratch.keep(distinct_tokens(labelled), "tokens")
+    secrets = tokens.filter("NOT random").withColumn("ratio", _ratio(train_markov(tokens))).filter(F.col("ratio") >= least)
+    secrets = scratch.keep(secrets.select(F.md5("token").alias("key"), "times"), "found")
+    rows = rows.withColumn("tokens", F.expr(f"filter(tokens, t -> NOT {covered()})"))
+    # only rows with candidates are dealt out
+    each = rows.select("row_id", F.explode("tokens").alias("t")).withColumn("key", F.md5("t.value"))
+    each = join_keyed(each, secrets, "key", "times", each.count()).groupBy("row_id").agg(F.collect_list("t").alias("_secret"))
+    some = rows.filter(F.size("tokens") > 0).join(each, "row_id", "left").withColumn("tokens", F.coalesce("_secret", F.filter("tokens", lambda t: F.lit(False)))).drop("_secret")
+    scored = rows.filter(F.size("tokens") == 0).unionByName(some)
     order = "named_struct('start', s.start, 'no', {}, 'kind', '{}', 'end', s.end)"
     base = "concat(" + ", ".join(f"transform({k}, s -> {order.format(i, k)})" for i, k in enumerate(KINDS)) + ")"
     scored = scored.withColumn("base", F.array_sort(F.expr(base)))
@@ -125,13 +135,15 @@ def scan(docs: DataFrame, least: float = MIN_RATIO, carry: bool = False) -> Data
     return scored.withColumn("spans", F.array_sort(F.expr(f"concat(base, {added})")))
 
 
-def _ratio_of(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's pairs of characters under the model."""
-    table = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")
-    codes = F.transform(F.split(token, "", -1), F.ascii)
-    last = F.char_length(token) - 1
-    total = F.aggregate(F.sequence(F.lit(1), last), F.lit(0.0), lambda a, i: a + F.get(table, F.get(codes, i - 1) * 128 + F.get(codes, i)))
-    return total / last
+def _ratio(model: dict[str, list[float]]) -> Column:
+    """Mean log-likelihood ratio of a token's pairs of characters under the model without the token itself."""
+    of = {k: f"cast(split('{','.join(f'{x:.9g}' for x in v)}', ',') as array<double>)" for k, v in model.items()}
+    single = f"(get({of['second']}, z.p & 127) - weight * get(after, z.p & 127) + 0.5) / ({model['total'][0]!r}D - weight * size(pairs))"
+    ordinary = f"(get({of['pair']}, z.p) - weight * z.n + {BACK_OFF} * {single}) / (get({of['first']}, shiftright(z.p, 7)) - weight * get(before, shiftright(z.p, 7)) + {BACK_OFF})"
+    return F.expr(f"""aggregate(concat(pairs, array(-1)), named_struct('p', -1, 'n', 0, 's', 0D),
+        (z, p) -> if(p = z.p, named_struct('p', p, 'n', z.n + 1, 's', z.s),
+            named_struct('p', p, 'n', 1, 's', z.s + if(z.n = 0, 0D, z.n * (get({of['random']}, z.p) - ln({ordinary}))))),
+        z -> z.s / size(pairs))""")
 
 
 def joined(spans: str) -> Column:
