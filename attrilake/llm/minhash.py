@@ -10,7 +10,8 @@
    probability that it reaches the threshold falls under ``miss``.
 4. Survivors are verified on their full shingle sets; verified links make the components.
 
-With 24 bands of 5 a pair at the threshold of 0.85 misses every bucket with probability 8e-7.
+The rows of a band follow from the threshold, so that a pair at it misses every bucket with
+probability ``miss`` at most: 24 bands of 5 at 0.85 (8e-7), 30 bands of 4 at 0.8 (1.4e-7).
 
 Defined results: null or blank text has no shingles and is linked with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; rows of equal sets are linked whatever
@@ -64,11 +65,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
+def band_rows(percent: int, miss: float) -> int:
+    """The most rows of a band, ROWS at most, with which a pair at the threshold misses all bands with probability ``miss`` at most."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (BANDS * ROWS // rows) <= miss:
+            return rows
+    raise ValueError(f"{BANDS * ROWS} minima miss links at {percent} percent")
+
+
+def band_keys(minima: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band, different for equal values of different bands."""
-    parts = minima.reshape(len(minima), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(minima), BANDS)).copy()
-    for r in range(ROWS):
+    bands = BANDS * ROWS // rows
+    parts = minima.reshape(len(minima), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(minima), bands)).copy()
+    for r in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
     return key.view(np.int64)
 
@@ -105,7 +115,7 @@ def as_matrix(column) -> np.ndarray:
 SIGNED = "row_id long, doc_id long, text_key string, n_shingles long, digest string, keys array<long>, signature binary"
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, band: int = ROWS) -> DataFrame:
     """Every row with its set's size and digest, band keys and signature (null for empty sets)."""
     rows = docs.select(row_number(docs).alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), F.md5(docs["text"].cast("binary")).alias("text_key"), docs["text"].cast("string").alias("text"))
 
@@ -117,7 +127,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 keys, minima = [None] * len(sets), [None] * len(sets)
                 if some:
                     found = signatures([sets[i] for i in some])
-                    for i, k, m in zip(some, band_keys(found), found, strict=True):
+                    for i, k, m in zip(some, band_keys(found, band), found, strict=True):
                         keys[i], minima[i] = k, m.tobytes()
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -325,12 +335,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     need = least_matches(percent, miss)
-    rows = scratch.keep(signed(docs), "signed")
+    band = band_rows(percent, miss)
+    rows = scratch.keep(signed(docs, band), "signed")
     classes = scratch.keep(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("least"), F.count("*").alias("copies")), "classes")
     nodes = scratch.keep(rows.join(classes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "text_key", "keys", "signature"), "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = scratch.keep(join_keyed(members, shared, "bucket", "size", nodes.count() * BANDS, "node").select("bucket", "node", "first"), "members")
+    members = scratch.keep(join_keyed(members, shared, "bucket", "size", nodes.count() * (BANDS * ROWS // band), "node").select("bucket", "node", "first"), "members")
     links = verified(first_candidates(members, nodes, need), nodes, docs, scratch, "first", percent)
     roots = components(links, scratch, "first")
     more = rest_links(members, roots, nodes, docs, scratch, need, percent)
