@@ -62,9 +62,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the first document stays."""
+    """Of each group of near-duplicates (similarity of 0.8 or more) the first document stays."""
     rows = numbered(docs, Scratch(spark, "stage-near"))
-    kept = minhash.near_duplicates(rows).filter("row_id = keep_row").select(F.col("row_id").alias(ROW))
+    kept = minhash.near_duplicates(rows, percent=80).filter("row_id = keep_row").select(F.col("row_id").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
