@@ -43,13 +43,16 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 1 << 20):
         at = end
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word ([^\\x20\\x09-\\x0D]+, A-Z as a-z) of a string column, and where each row's begin."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word ([^\\x20\\x09-\\x0D]+, A-Z as a-z) of a string column: its hash, where each row's words begin,
+    the words' first and last bytes (exclusive) in the column's bytes, these, and where each row's begin.
+    """
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     low, high = int(offsets[0]), int(offsets[-1])
     if low == high:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64), none, none, np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8)[low:high]
     offsets = offsets - low
     word = ~_SPACE[raw]
@@ -68,7 +71,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         first, last = starts[i:j] - a, ends[i:j] - a
         hashes[i:j] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
         i = j
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, ends, raw, offsets
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and where each row's begin."""
+    return words_of(column)[:2]
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:

@@ -1,18 +1,18 @@
-"""Substring deduplication by hashing units: lines, cut further at sentence ends and capital starts.
-
-Every text is cut into units: at line breaks, after '.', '!' or '?' and before a capital letter that
-follows white space, so that a passage set into the middle of a line still has units of its own. A
-unit is normalised (case, runs of white space) and hashed; digests are grouped over all documents,
-and of equal units the first by (doc_id, row, place) stays. Later occurrences that stand side by
-side make a run; a run goes if it has ``least_run`` words or more and a unit of ``least_unit``, so
-short phrases that any two texts share stay where they are.
-
-Units say nothing of passages in short sentences or with edges inside a unit, so every window of
-PASSAGE words that stands earlier goes too, wherever it begins. Winnowing picks GRAM-word grams so
-that each window holds one, the same wherever it stands; only windows that hold a repeated gram are
-written, and equal ones are grouped exactly (64 bits). In one row the earlier window must end before
-the later begins. Runs and passages that overlap or touch become one. They keep their offsets (code
-points, ends exclusive) in the original text.
+"""Substring deduplication by hashing units: lines, and windows of words for passages inside lines.
+
+Units are normalised (A-Z as a-z, runs of white space as one) and hashed to 128 bits; digests are
+grouped over all documents, the earliest occurrence by (doc_id, row, place) stays and all others are
+removed. There are three sizes of unit, the larger ones first:
+
+* whole texts: equal ones leave one, so that groups of copies never meet again line by line;
+* lines: each later occurrence is marked, whatever its length;
+* windows of PASSAGE words at every place, so that a passage set into the middle of a line goes as
+  well. Winnowing picks GRAM-word grams so that each window holds one, the same wherever it stands;
+  only windows that hold a repeated gram are written and grouped. In one row the earlier window must
+  end before the later begins.
+
+Marked units that overlap or touch become one run; runs of ``least_words`` words or more are removed.
+A run keeps its offsets (code points, ends exclusive) in the original text.
 
 Defined results: null and blank texts have no units; null doc_ids rank last; repeated rows lose
 everything but their first occurrence; extra columns are ignored; an empty table gives no rows.
@@ -20,206 +20,235 @@ everything but their first occurrence; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrilake.llm.common import ROW, Scratch, join_keyed, likely, numbered
-from attrilake.llm.shingles import mix
+from attrilake.llm.shingles import mix, powers, slices, words_of
 
-LEAST_UNIT, LEAST_RUN = 8, 20
-#: Where a unit ends.
-CUT = regex.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=\p{Lu}(?!\p{Lu}))")
-UNITS = "row_id long, doc_id long, place int, start long, end long, words int, digest binary, word long"
 #: Words of a window that goes when it stands earlier, and of the grams that find it.
 PASSAGE, GRAM = 51, 20
-
-
-def units_of(text: str):
-    """(start, end, words, digest) of a text's units, blank ones left out."""
-    at, out = 0, []
-    cuts = [m.span() for m in CUT.finditer(text)]
-    cuts.append((len(text), len(text)))
-    for a, b in cuts:
-        words = text[at:a].lower().split()
-        if words:
-            out.append((at, a, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-        at = b
-    return out
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """A row a unit, in order."""
-
-    def cut(batches):
+#: Line breaks: U+000A to U+000D.
+_BREAK = np.zeros(256, bool)
+_BREAK[10:14] = True
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Units:
+    """The words of a column's rows, and digests of any run of them from running sums."""
+
+    def __init__(self, column: pa.Array):
+        self.hashes, self.first, self.starts, self.ends, self.raw, self.offsets = words_of(column)
+        n = len(self.hashes)
+        self.up, self.down = powers(n + 1)
+        self.sums = []
+        for h in (self.hashes, mix(self.hashes ^ _SECOND)):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(h * self.up[:n], dtype=np.uint64, out=total[1:])
+            self.sums.append(total)
+
+    def hash(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        """64 bits for the words from a to b (exclusive); an array of each."""
+        total = self.sums[which]
+        return mix((total[b] - total[a]) * self.down[a] + (b - a).astype(np.uint64) * _SECOND)
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        """128 bits for each run of words."""
+        both = np.stack([self.hash(a, b), self.hash(a, b, 1)], 1)
+        return pa.Array.from_buffers(pa.binary(16), len(a), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+
+    def points(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Offsets in code points, within their rows, of these bytes."""
+        inside = self.raw >= 0x80
+        if not inside.any():
+            return at - self.offsets[row]
+        before = np.zeros(len(self.raw) + 1, np.int32 if len(self.raw) < 1 << 31 else np.int64)
+        np.cumsum((self.raw & 0xC0) != 0x80, dtype=before.dtype, out=before[1:])
+        return before[at].astype(np.int64) - before[self.offsets[row]]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first word and end (exclusive) of every line that has words."""
+        n = len(self.hashes)
+        if not n:
+            return (np.empty(0, np.int64),) * 3
+        breaks = np.searchsorted(np.flatnonzero(_BREAK[self.raw]), self.starts)
+        new = np.r_[True, breaks[1:] != breaks[:-1]]
+        row_starts = self.first[:-1]
+        new[row_starts[row_starts < n]] = True
+        a = np.flatnonzero(new)
+        return np.searchsorted(self.first, a, "right") - 1, a, np.r_[a[1:], n]
+
+    def picked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and first words of the grams that are the least of a window that holds them."""
+        n, width = len(self.hashes), PASSAGE - GRAM + 1
+        if n < PASSAGE:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place = np.arange(n - GRAM + 1)
+        gram = self.hash(place, place + GRAM)
+        best, size = place, 1  # the place of the least of ``size`` grams from each place on
+        while size < width:
+            step = min(size, width - size)
+            a, b = best[:-step], best[step:]
+            best, size = np.where(gram[b] < gram[a], b, a), size + step
+        lengths = np.diff(self.first)
+        whole = np.arange(len(best)) + PASSAGE <= np.repeat(self.first[1:], lengths)[: len(best)]  # windows within one row
+        at = np.unique(best[whole])
+        return np.searchsorted(self.first, at, "right") - 1, at
+
+
+CUT = "row_id long, doc_id long, digest binary, n_words int, start int, end int, lines array<binary>, line_at array<int>, line_to array<int>, line_starts array<int>, line_ends array<int>, grams array<long>"
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """A row a text that has words: its digest, its lines and its picked grams."""
+    names = [c.split()[0] for c in CUT.split(", ")]
+    ints = lambda x: pa.array(x.astype(np.int32))
+
+    def map_cut(batches):
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                of, columns, before = [], ([], [], [], [], []), []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    if text:
-                        found = units_of(text)
-                        of += [i] * len(found)
-                        columns[0].extend(range(len(found)))
-                        for to, values in zip(columns[1:], zip(*found, strict=True)):
-                            to.extend(values)
-                        words = np.array([n for _, _, n, _ in found], np.int64)
-                        before.append(np.cumsum(words) - words)
-                at = pa.array(of, pa.int64())
+            for batch in slices(whole, "text"):
+                units = Units(batch.column("text"))
+                a, b = units.first[:-1], units.first[1:]
+                rows = np.flatnonzero(b > a)
+                if not len(rows):
+                    continue
+                a, b, taken = a[rows], b[rows], pa.array(rows)
+                of, c, d = units.lines()
+                gram_of, at = units.picked()
+                line = lambda values: pa.ListArray.from_arrays(ints(np.r_[np.searchsorted(of, rows), len(of)]), values)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id").take(at), batch.column("doc_id").take(at), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary()), pa.array(np.concatenate(before) if before else [], pa.int64())],
-                    [c.split()[0] for c in UNITS.split(", ")],
-                )
-
-    return docs.select("row_id", "doc_id", "text").mapInArrow(cut, UNITS)
-
-
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each n words in a row, from the words' own."""
-    out, size, power, at = None, 1, 0x9E3779B97F4A7C15, 0
-    part = words
-    while True:
-        if n & size:
-            length = len(words) - at - size + 1
-            out = part[:length].copy() if out is None else out[:length] * np.uint64(power) + part[at : at + length]
-            at += size
-        if size * 2 > n:
-            return mix(out)
-        part = part[:-size] * np.uint64(power) + part[size:]
-        size, power = size * 2, power * power % (1 << 64)
-
-
-def spread(x: np.ndarray, n: int, take) -> np.ndarray:
-    """The least or greatest of each n values in a row."""
-    size = 1
-    while size < n:
-        step = min(size, n - size)
-        x, size = take(x[:-step], x[step:]), size + step
-    return x
-
-
-def picked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are the least of a window that holds them."""
-    found = grams(words, GRAM)
-    least = spread(found, PASSAGE - GRAM + 1, np.minimum)
-    edge = np.zeros(PASSAGE - GRAM, np.uint64)
-    at = np.flatnonzero(spread(np.concatenate([edge, least, edge]), PASSAGE - GRAM + 1, np.maximum) == found)
-    return at, found[at]
-
-
-def word_hashes(text: str | None) -> np.ndarray | None:
-    """Hashes of a text's normalised words, None where they make no window."""
-    words = text.lower().split() if text else ()
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) if len(words) >= PASSAGE else None
-
-
-def passages(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """row_id, doc_id, word, to (places of words), start, end, n_units (0) and first_doc_id of what earlier windows cover."""
-
-    def pick(batches):
-        for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                of, gram, times = [], [], []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    words = word_hashes(text)
-                    if words is not None:
-                        found, n = np.unique(picked(words)[1], return_counts=True)
-                        of.append(np.full(len(found), i)), gram.append(found.view(np.int64)), times.append(n)
-                if of:
-                    yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(np.concatenate(of))), pa.array(np.concatenate(gram)), pa.array(np.concatenate(times), pa.int64())], ["row_id", "gram", "n"])
-
-    every = scratch.keep(rows.select("row_id", "text").mapInArrow(pick, "row_id long, gram long, n long"), "grams")
-    total = every.count()
-    repeated = scratch.keep(every.groupBy("gram").agg(F.count("*").alias("size"), F.sum("n").alias("times")).filter("times > 1").select("gram", "size"), "repeated-grams")
-    hits = join_keyed(likely(every, repeated, "gram"), repeated, "gram", "size", total).groupBy("row_id").agg(F.collect_list("gram").alias("grams"))
+                    [
+                        batch.column("row_id").take(taken), batch.column("doc_id").take(taken), units.digests(a, b), ints(b - a),
+                        ints(units.points(units.starts[a], rows)), ints(units.points(units.ends[b - 1], rows)),
+                        line(units.digests(c, d)), line(ints(c - units.first[of])), line(ints(d - units.first[of])),
+                        line(ints(units.points(units.starts[c], of))), line(ints(units.points(units.ends[d - 1], of))),
+                        pa.ListArray.from_arrays(ints(np.r_[np.searchsorted(gram_of, rows), len(gram_of)]), pa.array(units.hash(at, at + GRAM).view(np.int64))),
+                    ], names,
+                )
+
+    return docs.filter("text IS NOT NULL").select("row_id", "doc_id", "text").mapInArrow(map_cut, CUT)
+
+
+#: What earlier units cover: places of words (``to`` exclusive), offsets, whole units, and who keeps them.
+COVER = ("row_id", "doc_id", "word", "to", "start", "end", "n_units", "first_doc_id")
+
+
+def rank(*place: str):
+    """Order of occurrences: doc_id, nulls last, then row, then place."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", *place)
+
+
+def repeated_texts(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """COVER of texts that an earlier one equals, and the texts without them."""
+    total = texts.count()
+    counted = texts.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
+    met = join_keyed(texts.select("row_id", "doc_id", "digest", "n_words", "start", "end"), counted, "digest", "times", total)
+    met = scratch.keep(met, "met-texts")
+    first = met.groupBy("digest").agg(F.min(rank()).alias("first"), F.count("*").alias("times"))
+    later = join_keyed(met.drop("times"), first, "digest", "times", total).filter(F.col("row_id") != F.col("first.row_id"))
+    later = later.select("row_id", "doc_id", F.lit(0).alias("word"), F.col("n_words").alias("to"), "start", "end", F.lit(1).alias("n_units"), F.col("first.doc_id").alias("first_doc_id"))
+    later = scratch.keep(later, "later-texts")
+    return later, scratch.keep(texts.join(later.select("row_id"), "row_id", "left_anti"), "texts")
+
+
+def repeated_lines(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """COVER of every later occurrence of a line."""
+    lines = texts.select("row_id", "doc_id", F.explode(F.arrays_zip("lines", "line_at", "line_to", "line_starts", "line_ends")).alias("u"))
+    lines = lines.select("row_id", "doc_id", F.col("u.lines").alias("digest"), F.col("u.line_at").alias("word"), F.col("u.line_to").alias("to"), F.col("u.line_starts").alias("start"), F.col("u.line_ends").alias("end"))
+    counted = scratch.keep(lines.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-lines")
+    total = texts.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    met = scratch.keep(join_keyed(likely(lines, counted, "digest"), counted, "digest", "times", total), "met-lines")
+    first = met.groupBy("digest").agg(F.min(rank("word")).alias("first"), F.count("*").alias("times"))
+    later = join_keyed(met.drop("times"), first, "digest", "times", total).filter(~((F.col("row_id") == F.col("first.row_id")) & (F.col("word") == F.col("first.word"))))
+    return later.select("row_id", "doc_id", "word", "to", "start", "end", F.lit(1).alias("n_units"), F.col("first.doc_id").alias("first_doc_id"))
+
+
+def repeated_windows(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """COVER of windows of PASSAGE words that stand earlier; neighbouring ones with one keeper are one row."""
+    grams = texts.select("row_id", F.explode("grams").alias("gram"))
+    repeated = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-grams")
+    total = texts.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    hits = join_keyed(likely(grams, repeated, "gram"), repeated, "gram", "times", total).groupBy("row_id").agg(F.collect_set("gram").alias("known"))
     hits = scratch.keep(hits, "hits")
 
     def cover(batches):
         for whole in batches:
-            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-                of, columns = [], ([], [], [], [])
-                for i, (text, known) in enumerate(zip(batch.column("text").to_pylist(), batch.column("grams"), strict=True)):
-                    words = word_hashes(text)
-                    at, found = picked(words)
-                    at = at[np.isin(found, known.values.to_numpy().view(np.uint64))]
-                    # windows that hold one of these grams
-                    count = len(words) - PASSAGE + 1
-                    edges = np.zeros(count + 1, np.int64)
-                    np.add.at(edges, np.maximum(at - (PASSAGE - GRAM), 0), 1)
-                    np.add.at(edges, np.minimum(at + 1, count), -1)
-                    place = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                    spans = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64)
-                    of.append(np.full(len(place), i))
-                    for to, values in zip(columns, (place, spans[place, 0], spans[place + PASSAGE - 1, 1], grams(words, PASSAGE)[place].view(np.int64)), strict=True):
-                        to.append(values)
-                if of:
-                    at = pa.array(np.concatenate(of))
-                    yield pa.RecordBatch.from_arrays([batch.column("row_id").take(at), batch.column("doc_id").take(at), *(pa.array(np.concatenate(c), pa.int64()) for c in columns)], ["row_id", "doc_id", "word", "start", "end", "window"])
-
-    texts = likely(rows, hits, "row_id").join(hits, "row_id").select("row_id", "doc_id", "text", "grams")
-    windows = scratch.keep(texts.mapInArrow(cover, "row_id long, doc_id long, word long, start long, end long, window long"), "windows")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "word")
-    first = scratch.keep(windows.groupBy("window").agg(F.min(rank).alias("first"), F.count("*").alias("times")).filter("times > 1"), "first-windows")
-    later = join_keyed(likely(windows, first, "window"), first, "window", "times", windows.count())
+            for batch in slices(whole, "text"):
+                units = Units(batch.column("text"))
+                known = batch.column("known")
+                of, at = units.picked()
+                gram = units.hash(at, at + GRAM).view(np.int64)
+                ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
+                same = np.concatenate([np.isin(gram[ends[i] : ends[i + 1]], known[i].values.to_numpy()) for i in range(batch.num_rows)])
+                of, at = of[same], at[same]
+                # windows that hold one of these grams
+                edges = np.zeros(len(units.hashes) + 2, np.int64)
+                np.add.at(edges, np.maximum(at - (PASSAGE - GRAM), units.first[of]), 1)
+                np.add.at(edges, np.minimum(at + 1, units.first[of + 1] - PASSAGE + 1), -1)
+                place = np.flatnonzero(np.cumsum(edges) > 0)
+                if len(place):
+                    row = np.searchsorted(units.first, place, "right") - 1
+                    taken = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("row_id").take(taken), batch.column("doc_id").take(taken), pa.array((place - units.first[row]).astype(np.int32)),
+                            pa.array(units.points(units.starts[place], row).astype(np.int32)), pa.array(units.points(units.ends[place + PASSAGE - 1], row).astype(np.int32)),
+                            units.digests(place, place + PASSAGE),
+                        ], ["row_id", "doc_id", "word", "start", "end", "digest"],
+                    )
+
+    found = likely(rows, hits, "row_id").join(hits, "row_id").select("row_id", "doc_id", "text", "known")
+    windows = scratch.keep(found.mapInArrow(cover, "row_id long, doc_id long, word int, start int, end int, digest binary"), "windows")
+    total = windows.count()
+    first = windows.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
+    met = scratch.keep(join_keyed(windows, first, "digest", "times", total), "met-windows")
+    scratch.drop("windows")
+    first = met.groupBy("digest").agg(F.min(rank("word")).alias("first"), F.count("*").alias("times"))
+    later = join_keyed(met.drop("times"), first, "digest", "times", total)
     later = later.filter((F.col("row_id") != F.col("first.row_id")) | (F.col("word") >= F.col("first.word") + PASSAGE))
+    later = later.select("row_id", "doc_id", "word", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
     later = later.withColumn("run", F.col("word") - F.row_number().over(Window.partitionBy("row_id").orderBy("word")))
-    return later.groupBy("row_id", "doc_id", "run").agg(
+    later = later.groupBy("row_id", "doc_id", "run").agg(
         F.min("word").alias("word"), (F.max("word") + PASSAGE).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.lit(0).cast("long").alias("n_units"), F.min_by("first.doc_id", "word").alias("first_doc_id"),
-    ).drop("run")
+        F.lit(0).alias("n_units"), F.min_by("first_doc_id", "word").alias("first_doc_id"),
+    )
+    return later.drop("run")
 
 
-def repeated_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """A row a run to remove: row_id, doc_id, start, end, n_words, n_units, first_doc_id.
 
-    first_doc_id is the document that keeps the run's longest unit, or the start of its passage,
-    whichever has more words where they were joined; n_units is 0 for a passage without whole units.
+    n_units counts the run's whole lines (1 where the whole text goes as one); first_doc_id is the
+    document that keeps the longest unit or passage of the run.
     """
     scratch = Scratch(docs.sparkSession, "units")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([ROW] if ROW in docs.columns else []))
     rows = (rows if ROW in docs.columns else numbered(rows, scratch)).withColumnRenamed(ROW, "row_id")
-    every = scratch.keep(units(rows), "units")
-    total = every.count()
-    counted = every.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
-    counted = scratch.keep(counted, "repeated")
-    # only units that have equals take part from here on
-    met = join_keyed(likely(every, counted, "digest"), counted, "digest", "times", total)
-    met = scratch.keep(met, "met")
-    scratch.drop("units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "place")
-    first = met.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("times"))
-    later = join_keyed(met.drop("times"), first, "digest", "times", total).filter(~((F.col("row_id") == F.col("first.row_id")) & (F.col("place") == F.col("first.place"))))
-    in_order = Window.partitionBy("row_id").orderBy("place")
-    runs = later.withColumn("run", F.col("place") - F.row_number().over(in_order))
-    runs = runs.groupBy("row_id", "doc_id", "run").agg(
-        F.min("word").alias("word"), F.max(F.col("word") + F.col("words")).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"),
-        F.max(F.struct("words", F.col("first.doc_id").alias("of"))).alias("longest"),
-    )
-    runs = runs.filter((F.col("n_words") >= least_run) & (F.col("longest.words") >= least_unit))
-    runs = scratch.keep(runs.select("row_id", "doc_id", "word", "to", "start", "end", "n_units", F.col("longest.of").alias("first_doc_id")), "runs")
-    for name in ("repeated", "met"):
-        scratch.drop(name)
-    both = runs.unionByName(scratch.keep(passages(rows, scratch), "passages"))
-    scratch.drop_but("runs", "passages")
+    copies, texts = repeated_texts(scratch.keep(cut(rows), "cut"), scratch)
+    scratch.drop("cut")
+    scratch.drop("met-texts")
+    lines = scratch.keep(repeated_lines(texts, scratch).select(*COVER), "lines")
+    scratch.drop("met-lines")
+    windows = scratch.keep(repeated_windows(rows, texts, scratch).select(*COVER), "passages")
+    scratch.drop_but("later-texts", "lines", "passages")
+    every = copies.select(*COVER).unionByName(lines).unionByName(windows)
     # what overlaps or touches becomes one
     by_word = Window.partitionBy("row_id").orderBy("word", "to")
-    both = both.withColumn("new", F.coalesce(F.col("word") > F.max("to").over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    both = both.withColumn("run", F.sum("new").over(by_word.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.groupBy("row_id", "doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("word")).alias("n_words"), F.sum("n_units").alias("n_units"),
+    every = every.withColumn("new", F.coalesce(F.col("word") > F.max("to").over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    every = every.withColumn("run", F.sum("new").over(by_word.rowsBetween(Window.unboundedPreceding, 0)))
+    every = every.groupBy("row_id", "doc_id", "run").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("to") - F.min("word")).cast("long").alias("n_words"), F.sum("n_units").alias("n_units"),
         F.max(F.struct((F.col("to") - F.col("word")).alias("words"), F.col("first_doc_id").alias("of"))).alias("longest"),
     )
-    return both.select("row_id", "doc_id", "start", "end", "n_words", "n_units", F.col("longest.of").alias("first_doc_id"))
+    return every.filter(F.col("n_words") >= least_words).select("row_id", "doc_id", "start", "end", "n_words", "n_units", F.col("longest.of").alias("first_doc_id"))
 
 
-def without_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
+def without_runs(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """``docs`` without its repeated runs, and ``segments``: where each piece that stays was (start, end)."""
     rows = numbered(docs, Scratch(docs.sparkSession, "without"))
-    spans = repeated_runs(rows, least_unit, least_run).groupBy(F.col("row_id").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__gone__"))
+    spans = repeated_runs(rows, least_words).groupBy(F.col("row_id").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__gone__"))
     size = F.char_length(F.coalesce("text", F.lit("")))
     joined = rows.join(spans, ROW, "left").withColumn("__gone__", F.coalesce("__gone__", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__gone__", lambda g: g["end"]))
@@ -230,4 +259,5 @@ def without_runs(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int =
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")
+    """Passages of over 50 words that stand earlier; shorter repeats, as any two texts share, stay."""
+    return repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), PASSAGE).drop("row_id")
