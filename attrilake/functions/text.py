@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,12 +49,20 @@ def matches_glob(text: str, pattern: str) -> bool:
 
 
 def whole_regex(pattern: str) -> str | None:
-    """The expression as a match of the whole string; None if it can't be compiled."""
+    """The expression as a match of the whole string; None if it can't be compiled.
+
+    The engine that will run it judges it, once, when the plan is made.
+    """
+    whole = f"\\A(?:{pattern})\\z"
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("a regular expression needs a Spark session")
     try:
-        re.compile(pattern)
-    except re.error:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+        context._jvm.java.util.regex.Pattern.compile(whole)
+    except IllegalArgumentException:
         return None
-    return f"\\A(?:{pattern})\\z"
+    return whole
 
 
 def as_date(column: Column, form: str = "YYYY-MM-DD") -> Column:

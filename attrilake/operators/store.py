@@ -9,14 +9,14 @@ are read and their predicates reach the scan.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from attrilake.operators.conditions import Condition, MultiQuery, any_of
 from attrilake.operators.pattern import Kind, Mode, Pattern, Query
 from attrilake.operators.ranges import RangeQuery
+from attrilake.operators.typed import on_condition, on_pattern, on_range, text_of
 
 ID, KEY, VALUE = "object_id", "key", "value"
 
@@ -26,17 +26,6 @@ def ids(df: DataFrame) -> DataFrame:
     return df.select(ID).distinct().orderBy(ID)
 
 
-def text_of(column: Column, kind: T.DataType) -> Column:
-    """A cell as the string that patterns see."""
-    if isinstance(kind, T.StringType):
-        return column
-    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return column.cast("decimal(18,2)").cast("string")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_format(column, "yyyy-MM-dd")
-    return column.cast("string")
-
-
 class LongStore:
     """Triples; every method gives a lazy DataFrame."""
 
@@ -100,7 +89,7 @@ class LongStore:
         return self.triples.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct(KEY, VALUE))).alias("pairs"))
 
     def inverted_index(self) -> DataFrame:
-        """(key, value) with how many objects have it."""
+        """(key, value) and n_objects, how many objects have it."""
         return self.triples.groupBy(KEY, VALUE).agg(F.count_distinct(ID).alias("n_objects"))
 
     def postings(self) -> DataFrame:
@@ -159,32 +148,37 @@ def _quoted(text: str) -> str:
 
 @dataclass
 class WideStore:
-    """A table whose columns are the keys."""
+    """A table whose columns are the keys.
+
+    With ``unique`` each id has one row, so searches need no grouping. ``digits`` rounds fractions
+    where patterns and results see them as text; without it their text is lossless.
+    """
 
     table: DataFrame
     id: str
+    unique: bool = False
+    digits: int | None = None
+    keys: tuple[str, ...] | None = None  # all columns but the id
+
+    def _columns(self, fits) -> list[tuple[str, Column, object]]:
+        """(name, column, type) of the keys that fit."""
+        return [(f.name, F.col(f"`{f.name}`"), f.dataType) for f in self.table.schema.fields if f.name != self.id and (self.keys is None or f.name in self.keys) and fits(f.name)]
 
-    def _columns(self, fits) -> list[tuple[str, Column]]:
-        kinds = {f.name: f.dataType for f in self.table.schema.fields}
-        return [(n, text_of(F.col(n), k)) for n, k in kinds.items() if n != self.id and fits(n)]
+    def _text(self, column: Column, kind) -> Column:
+        return text_of(column, kind, self.digits)
 
     def _tests(self, q: Query, suffix_mode: bool) -> list[tuple[str, Column, Column]]:
         """(key, its text, the predicate) of every column that the key pattern fits."""
         if q.key.kind in (Kind.SUFFIX, Kind.INFIX) and not suffix_mode:
             return []
-        out = []
-        for name, text in self._columns(q.key.test):
-            p = q.value.on(text, suffix_mode)
-            kind = self.table.schema[name].dataType
-            if q.value.kind is Kind.EXACT and isinstance(kind, (T.IntegerType, T.LongType, T.ShortType)):
-                # an integer is compared as one, so that the comparison reaches the scan
-                token = q.value.token
-                p = F.col(name) == F.lit(int(token)) if token.lstrip("-").isdecimal() and str(int(token)) == token and abs(int(token)) < 1 << 63 else F.lit(False)
-            out.append((name, text, F.col(name).isNotNull() if p is None else p))
-        return out
+        return [(n, self._text(c, k), on_pattern(c, k, q.value, suffix_mode, self.digits)) for n, c, k in self._columns(q.key.test)]
+
+    def _object(self) -> Column:
+        return F.col(f"`{self.id}`").cast("long").alias(ID)
 
     def _ids(self, predicate: Column) -> DataFrame:
-        return ids(self.table.filter(predicate).select(F.col(self.id).cast("long").alias(ID)))
+        found = self.table.filter(predicate).select(self._object())
+        return found.orderBy(ID) if self.unique else ids(found)
 
     def search(self, query: str | Query, suffix_mode: bool = True) -> DataFrame:
         q = Query.parse(query) if isinstance(query, str) else query
@@ -193,43 +187,86 @@ class WideStore:
     def matched_pairs(self, query: str | Query, suffix_mode: bool = True) -> DataFrame:
         """The pairs that fulfil both patterns, in one pass over the columns that fit."""
         q = Query.parse(query) if isinstance(query, str) else query
-        tests = self._tests(q, suffix_mode)
+        return self._pairs(self._tests(q, suffix_mode))
+
+    def _pairs(self, tests: list[tuple[str, Column, Column]]) -> DataFrame:
         if not tests:
-            return self.table.filter(F.lit(False)).select(F.col(self.id).cast("long").alias(ID), F.lit("").alias(KEY), F.lit("").alias(VALUE))
+            return self.table.filter(F.lit(False)).select(self._object(), F.lit("").alias(KEY), F.lit("").alias(VALUE))
         pairs = F.array(*(F.when(p, F.struct(F.lit(n).alias(KEY), t.alias(VALUE))) for n, t, p in tests))
-        rows = self.table.filter(any_of([p for _, _, p in tests])).select(F.col(self.id).cast("long").alias(ID), F.explode(F.array_compact(pairs)).alias("pair"))
+        rows = self.table.filter(any_of([p for _, _, p in tests])).select(self._object(), F.explode(F.array_compact(pairs)).alias("pair"))
         return rows.select(ID, F.col("pair.key").alias(KEY), F.col("pair.value").alias(VALUE))
 
     def multi(self, query: str | MultiQuery, mode: str = "left") -> DataFrame:
         q = (MultiQuery.parse(query) if isinstance(query, str) else query).needed(mode)
-        holds = [F.coalesce(any_of([c.on_value(t) for _, t in self._columns(c.key_fits)]), F.lit(False)) for c in q.conditions]
-        return self._grouped(q, holds)
-
-    def _grouped(self, q: MultiQuery, holds: list[Column]) -> DataFrame:
-        """Rows of one id are one object: conditions may hold in different rows."""
         if not q.conditions:
             return self._ids(F.lit(True))
+        holds = [any_of([on_condition(col, kind, c, self.digits) for _, col, kind in self._columns(c.key_fits)]) for c in q.conditions]
+        if self.unique:
+            return self._ids(q.combine(holds))
+        # rows of one id are one object: conditions may hold in different rows
         names = [f"c{i}" for i in range(len(holds))]
-        rows = self.table.filter(any_of(holds)).select(F.col(self.id).cast("long").alias(ID), *(h.alias(n) for h, n in zip(holds, names, strict=True)))
+        rows = self.table.filter(any_of(holds)).select(self._object(), *(F.coalesce(h, F.lit(False)).alias(n) for h, n in zip(holds, names, strict=True)))
         held = rows.groupBy(ID).agg(*(F.bool_or(n).alias(n) for n in names))
         return held.filter(q.combine([F.col(n) for n in names])).select(ID).orderBy(ID)
 
     def in_range(self, query: str | RangeQuery) -> DataFrame:
         q = RangeQuery.parse(query) if isinstance(query, str) else query
-        return self._ids(any_of([q.on_value(t) for _, t in self._columns(q.key_fits)]))
+        return self._ids(any_of([on_range(c, k, q) for _, c, k in self._columns(q.key_fits)]))
 
     def has_key(self, key: str) -> bool:
-        return any(n == key for n, _ in self._columns(lambda n: True))
+        return bool(self._columns(lambda n: n == key))
+
+    def has_suffix(self, suffix: str, suffix_mode: bool = True) -> bool:
+        return suffix_mode and bool(self._columns(lambda n: n.endswith(suffix)))
 
     def can_handle(self, query: str) -> bool:
         return bool(self._columns(Query.parse(query).key.test))
 
-    def to_long(self, keys: list[str] | None = None) -> LongStore:
+    def inverted_index(self) -> DataFrame:
+        """(key, value) and n_objects: each column is grouped as it is, and written as text once a value."""
+        if self.digits is not None:  # values may meet once they are rounded
+            return LongStore(self.to_long().triples).inverted_index()
+        each = []
+        for n, c, k in self._columns(lambda n: True):
+            cells = self.table.select(self._object(), c.alias(VALUE)).filter(F.col(VALUE).isNotNull())
+            count = F.count("*") if self.unique else F.count_distinct(ID)
+            each.append(cells.groupBy(VALUE).agg(count.alias("n_objects")).select(F.lit(n).alias(KEY), self._text(F.col(VALUE), k).alias(VALUE), "n_objects"))
+        none = self.table.filter(F.lit(False)).select(F.lit("").alias(KEY), F.lit("").alias(VALUE), F.lit(0).cast("long").alias("n_objects"))
+        return reduce(DataFrame.unionByName, each, none)
+
+    def to_long(self, keys: list[str] | None = None) -> WideTriples:
         """All cells that aren't null, as triples."""
-        columns = self._columns(lambda n: keys is None or n in keys)
-        cells = F.array(*(F.struct(F.lit(n).alias(KEY), t.alias(VALUE)) for n, t in columns))
-        rows = self.table.select(F.col(self.id).cast("long").alias(ID), F.explode(cells).alias("cell"))
-        return LongStore(rows.select(ID, F.col("cell.key").alias(KEY), F.col("cell.value").alias(VALUE)).filter(F.col(VALUE).isNotNull()))
+        return WideTriples(WideStore(self.table, self.id, self.unique, self.digits, tuple(keys) if keys is not None else self.keys))
+
+
+class WideTriples(LongStore):
+    """Triples that a wide table holds: searches go to its columns, and only what needs triples makes them."""
+
+    def __init__(self, wide: WideStore):
+        self.wide = wide
+        super().__init__(wide._pairs([(n, wide._text(c, k), c.isNotNull()) for n, c, k in wide._columns(lambda n: True)]))
+
+    def matched_pairs(self, query: str | Query, suffix_mode: bool = True) -> DataFrame:
+        return self.wide.matched_pairs(query, suffix_mode)
+
+    def search(self, query: str | Query, suffix_mode: bool = True) -> DataFrame:
+        return self.wide.search(query, suffix_mode)
+
+    def multi(self, query: str | MultiQuery, mode: str = "left") -> DataFrame:
+        q = (MultiQuery.parse(query) if isinstance(query, str) else query).needed(mode)
+        return self.wide.multi(q, mode) if q.conditions else super().multi(q)
+
+    def in_range(self, query: str | RangeQuery) -> DataFrame:
+        return self.wide.in_range(query)
+
+    def has_suffix(self, suffix: str, suffix_mode: bool = True) -> bool:
+        return self.wide.has_suffix(suffix, suffix_mode)
+
+    def can_handle(self, query: str) -> bool:
+        return self.wide.can_handle(query)
+
+    def inverted_index(self) -> DataFrame:
+        return self.wide.inverted_index()
 
 
-__all__ = ["Condition", "LongStore", "MultiQuery", "RangeQuery", "TrieStore", "WideStore", "suffixes"]
+__all__ = ["Condition", "LongStore", "MultiQuery", "RangeQuery", "TrieStore", "WideStore", "WideTriples", "suffixes"]

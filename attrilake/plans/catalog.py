@@ -23,10 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(name: str, id: str):
-    return lambda spark, sf_dir: WideStore(table(spark, sf_dir, name), id)
+    """A table with one row an id."""
+    return lambda spark, sf_dir: WideStore(table(spark, sf_dir, name), id, unique=True)
 
 
-part, customer, orders = wide("part", "p_partkey"), wide("customer", "c_custkey"), wide("orders", "o_orderkey")
+part, customer, orders, events = wide("part", "p_partkey"), wide("customer", "c_custkey"), wide("orders", "o_orderkey"), wide("events", "event_id")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> LongStore:
@@ -34,11 +35,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> LongStore:
     return WideStore(table(spark, sf_dir, "lineitem"), "l_orderkey").to_long(PAIR_KEYS)
 
 
+def numbers(spark: SparkSession, sf_dir: str) -> WideStore:
+    """Very small and very large numbers, and some that are none."""
+    p = table(spark, sf_dir, "part")
+    return WideStore(p.select("p_partkey", (F.col("p_retailprice") / 1_000_000).alias("tiny"), F.when(F.col("p_partkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice") * 1e14).alias("huge")), "p_partkey", unique=True)
+
+
 # The same cells as SQL text.
 def cell(column: str) -> str:
-    if column in ("p_retailprice", "o_totalprice", "c_acctbal", "l_quantity"):
-        return f"CAST(CAST({column} AS DECIMAL(18,2)) AS VARCHAR)"
-    return f"strftime({column}, '%Y-%m-%d')" if column.endswith("date") else f"CAST({column} AS VARCHAR)"
+    if column.endswith("date"):
+        return f"CASE WHEN {column} = date_trunc('day', {column}) THEN strftime({column}, '%Y-%m-%d') ELSE CAST({column} AS VARCHAR) END"
+    return f"CAST({column} AS VARCHAR)"
 
 
 def value_sql(column: str, pattern: str) -> str:
@@ -90,10 +97,10 @@ def compare_sql(column: str, op: str, value: str, numeric: bool) -> str:
 CONDITIONS = {
     "cond_eq": ("p_brand = Brand#2", "p_brand = 'Brand#2'"),
     "cond_ne": ("p_brand != Brand#2", "p_brand <> 'Brand#2'"),
-    "cond_gt": ("p_size > 25", compare_sql("p_size", ">", "25", True)),
-    "cond_lt": ("p_retailprice < 910.5", compare_sql("p_retailprice", "<", "910.5", True)),
-    "cond_ge": ("p_size >= 25", compare_sql("p_size", ">=", "25", True)),
-    "cond_le": ("p_retailprice <= 905", compare_sql("p_retailprice", "<=", "905", True)),
+    "cond_gt": ("p_size > 25", "p_size > 25"),
+    "cond_lt": ("p_retailprice < 910.5", "p_retailprice < 910.5"),
+    "cond_ge": ("p_size >= 25", "p_size >= 25"),
+    "cond_le": ("p_retailprice <= 905", "p_retailprice <= 905"),
     "cond_gt_text": ("p_name > small", compare_sql("p_name", ">", "small", False)),
     "cond_gt_mixed": ("p_brand > 5", compare_sql("p_brand", ">", "5", True)),
     "cond_contains": ("p_name contains ring", "contains(p_name, 'ring')"),
@@ -130,8 +137,8 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def now(events: DataFrame):
-    """The last event's time, as a one-row DataFrame's value."""
-    return F.lit(events.agg(F.max("ts")).first()[0])
+    """The last event's time, as a scalar subquery."""
+    return events.agg(F.max("ts")).scalar()
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +175,7 @@ def rf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("server_id"), popularity.millis(F.col("ts")).alias("timestamp"))
-    last = beats.agg(F.max("timestamp")).first()[0]
-    return health.health(beats, F.lit(last), 36_000_000, 360_000_000)
+    return health.health(beats, beats.agg(F.max("timestamp")).scalar(), 36_000_000, 360_000_000)
 
 
 def inserted(spark: SparkSession, sf_dir: str) -> LongStore:
@@ -258,10 +264,20 @@ def _entries() -> dict[str, tuple]:
     )
     out["multi_existential_wide"] = (
         lambda s, d: WideStore(table(s, d, "lineitem"), "l_orderkey").multi("l_quantity > 45 AND l_returnflag = A OR l_linenumber = 7"),
-        "SELECT l_orderkey AS object_id FROM lineitem GROUP BY l_orderkey HAVING (bool_or(CAST(l_quantity AS DECIMAL(18,2)) > 45) AND bool_or(l_returnflag = 'A')) OR bool_or(l_linenumber = 7)",
+        "SELECT l_orderkey AS object_id FROM lineitem GROUP BY l_orderkey HAVING (bool_or(l_quantity > 45) AND bool_or(l_returnflag = 'A')) OR bool_or(l_linenumber = 7)",
     )
-    out["range_numeric"] = (lambda s, d: part(s, d).in_range("p_retailprice in range [905 to 915.5]")), ids_sql("part", "p_partkey", "CAST(p_retailprice AS DECIMAL(18,2)) BETWEEN 905 AND 915.5")
-    out["range_numeric_glob"] = (lambda s, d: part(s, d).in_range(RangeQuery.numbers("p_*", -5, 12))), ids_sql("part", "p_partkey", "p_size BETWEEN -5 AND 12 OR CAST(p_retailprice AS DECIMAL(18,2)) BETWEEN -5 AND 12")
+    out["range_numeric"] = (lambda s, d: part(s, d).in_range("p_retailprice in range [905 to 915.5]")), ids_sql("part", "p_partkey", "p_retailprice BETWEEN 905 AND 915.5")
+    out["range_numeric_glob"] = (lambda s, d: part(s, d).in_range(RangeQuery.numbers("p_*", -5, 12))), ids_sql("part", "p_partkey", "p_size BETWEEN -5 AND 12 OR p_retailprice BETWEEN -5 AND 12")
+    out["cond_gt_double"] = (lambda s, d: numbers(s, d).multi("tiny > 0.000905")), ids_sql("part", "p_partkey", "p_retailprice / 1000000 > 0.000905")
+    out["cond_eq_double"] = (lambda s, d: part(s, d).multi("p_retailprice = 905.00")), ids_sql("part", "p_partkey", "p_retailprice = 905")
+    out["cond_ne_double"] = (lambda s, d: numbers(s, d).multi("tiny != 0.000905")), ids_sql("part", "p_partkey", "p_retailprice / 1000000 <> 0.000905")
+    out["wide_large_double"] = (lambda s, d: numbers(s, d).multi("huge >= 9.1e16")), ids_sql("part", "p_partkey", "p_partkey % 5 = 0 OR p_retailprice * 1e14 >= 9.1e16")
+    out["range_double"] = (lambda s, d: numbers(s, d).in_range("*n* in range [0.0009 to 9.05e-4]")), ids_sql("part", "p_partkey", "p_retailprice / 1000000 BETWEEN 0.0009 AND 0.000905")
+    out["range_timestamp"] = (lambda s, d: events(s, d).in_range("ts in range [2024-01-05 to 2024-01-07]")), ids_sql("events", "event_id", "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'")
+    out["cond_timestamp"] = (lambda s, d: events(s, d).multi("ts >= 2024-01-10 12:00:00 AND ts < 2024-01-11")), ids_sql("events", "event_id", "ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-01-11'")
+    out["search_date_prefix"] = (lambda s, d: orders(s, d).search("o_orderdate=1996-0*")), ids_sql("orders", "o_orderkey", "starts_with(strftime(o_orderdate, '%Y-%m-%d'), '1996-0')")
+    out["search_date_exact"] = (lambda s, d: orders(s, d).search("*date=1996-01-02")), ids_sql("orders", "o_orderkey", "o_orderdate = TIMESTAMP '1996-01-02'")
+    out["range_date_wide"] = (lambda s, d: orders(s, d).in_range(RangeQuery.dates("o_orderdate", "02/10/1995", "02/31/1996", "MM/DD/YYYY"))), RANGE_SQL.format("1995-02-10", "1996-03-02")
     out["range_date_iso"] = (lambda s, d: with_formats(s, d).in_range("iso in range [1995-02-10 to 1996-02-31]")), RANGE_SQL.format("1995-02-10", "1996-03-02")
     out["range_date_us"] = (lambda s, d: with_formats(s, d).in_range("us in range [02/10/1995 to 06/30/1995]")), RANGE_SQL.format("1995-02-10", "1995-06-30")
     out["range_date_eu"] = (lambda s, d: with_formats(s, d).in_range(RangeQuery.dates("eu", "10-02-1995", "30-06-1995", "DD-MM-YYYY"))), RANGE_SQL.format("1995-02-10", "1995-06-30")

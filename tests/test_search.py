@@ -191,3 +191,71 @@ def test_to_wide(spark, store):
     row = {r.object_id: r for r in store.to_wide(["StageX", "microscope"]).collect()}
     assert row[1001].StageX == "100.00" and row[1002].microscope == "LLSM-2"
     assert {r.key: r.n_objects for r in store.inverted_index().filter("value = '100.00'").collect()} == {"StageX": 1}
+
+
+def filters(df, capsys):
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_native_comparisons_reach_the_scan(spark, sf_dir, capsys):
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    part, orders, events = WideStore(t("part"), "p_partkey", unique=True), WideStore(t("orders"), "o_orderkey", unique=True), WideStore(t("events"), "event_id", unique=True)
+    plan = filters(part.multi("p_size > 25.5"), capsys)
+    assert "GreaterThan(p_size,25)" in plan and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan and "Aggregate" not in plan
+    assert "GreaterThan(o_custkey,100)" in filters(orders.multi("o_custkey > 100"), capsys)
+    plan = filters(part.multi("p_retailprice > 905 AND p_brand = Brand#2"), capsys)
+    assert "GreaterThan(p_retailprice,905.0)" in plan and "EqualTo(p_brand,Brand#2)" in plan
+    assert "GreaterThanOrEqual(p_retailprice,905.0)" in filters(part.in_range("p_retailprice in range [905 to 915.5]"), capsys)
+    assert "GreaterThanOrEqual(o_orderdate,1995-02-10" in filters(orders.in_range("o_orderdate in range [1995-02-10 to 1996-02-31]"), capsys)
+    assert "GreaterThan(ts,2024-01-05" in filters(events.multi("ts > 2024-01-05"), capsys)
+    plan = filters(WideStore(t("lineitem"), "l_orderkey").to_long(["l_returnflag", "l_shipdate", "l_quantity"]).search("l_ship*=1996-0*"), capsys)
+    assert "GreaterThanOrEqual(l_shipdate,1996-01-01" in plan and "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp" in plan and "Generate" not in plan
+
+
+TYPED = [
+    ("b > 126", [3]), ("b > 127", []), ("b >= -128.5", [1, 2, 3]), ("b < -200", []), ("b <= 1e0", [1, 2]), ("b = 07", []), ("b = 7", []), ("b = 1", [2]), ("b != 1", [1, 3]), ("b > x", []), ("b < x", [1, 2, 3]),
+    ("f > 0.0005", [1, 3]), ("f = 1.0e-3", [1]), ("f = 0.0010", [1]), ("f < 1e17", [1, 2]), ("f != nan", [1, 2, 3]), ("f = NaN", [3]), ("f contains E-4", [2]),
+    ("d = 2024-02-29", [1]), ("d > 2024-02-29", [2]), ("d > 2024-02-29 10:00:00", [2]), ("d < 2024-02-29 10:00:00", [1]), ("d startsWith 2024-0", [1, 2]), ("d = 2024-0?-*", [1, 2]), ("d > x", []),
+    ("t = 2024-02-29", [1]), ("t = 2024-03-01 10:30:00", [2]), ("t > 2024-02-29", [2]), ("t endsWith 30:00", [2]), ("t != 2024-02-29", [2]), ("e = 12.50", [1]), ("e > 12.49", [1]), ("e < 0", [2]), ("o = true", [1]), ("o != true", [2]),
+    ("*d* > 2024-02-29", [2]), ("zz = 1", []),
+]
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    rows = [
+        (1, -128, 0.001, dt.date(2024, 2, 29), dt.datetime(2024, 2, 29), Decimal("12.50"), True),
+        (2, 1, 0.0001, dt.date(2024, 3, 1), dt.datetime(2024, 3, 1, 10, 30), Decimal("-1.00"), False),
+        (3, 127, float("nan"), None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, "id long, b byte, f double, d date, t timestamp, e decimal(10,2), o boolean")
+
+
+@pytest.mark.parametrize(("text", "want"), TYPED)
+def test_conditions_on_types(typed, text, want):
+    assert found(WideStore(typed, "id").multi(MultiQuery().add(text))) == want
+    assert found(WideStore(typed, "id", unique=True).multi(MultiQuery().add(text))) == want
+    assert found(WideStore(typed, "id").to_long().multi(MultiQuery().add(text))) == want
+
+
+def test_searches_and_ranges_on_types(spark, typed):
+    store = WideStore(typed, "id")
+    for query, want in (("d=2024-02*", [1]), ("t=2024-03-01*", [2]), ("t=2024*", [1, 2]), ("d=2024-13*", []), ("d=20*", [1, 2]), ("f=0.001", [1]), ("f=1.0E-4", [2]), ("f=*", [1, 2, 3]), ("e=12.5", [1]), ("b=-128", [1]), ("b=+1", []), ("*=*0*", [1, 2])):
+        assert found(store.search(query)) == want == found(store.to_long().search(query)), query
+    for query, want in (("b in range [-500 to 1.5]", [1, 2]), ("f in range [0.0001 to 5]", [1, 2]), ("d in range [2024-02-29 to 2024-02-29]", [1]), ("t in range [01-03-2024 to 01-03-2024]", [2]), ("d in range [0 to 9]", []), ("f in range [2024-01-01 to 2024-12-31]", []), ("e in range [-1 to 12.5]", [1, 2])):
+        assert found(store.in_range(query)) == want, query
+    big = spark.createDataFrame([(1, 1e17), (2, 905.004), (3, 905.0)], "id long, v double")
+    assert found(WideStore(big, "id").multi("v > 905")) == [1, 2] and found(WideStore(big, "id").search("v=905.00")) == [3]
+    assert found(WideStore(big, "id", digits=2).search("v=905.00")) == [2, 3]
+    assert {(r.value, r.n_objects) for r in WideStore(big, "id", digits=2).inverted_index().collect()} == {("100000000000000000.00", 1), ("905.00", 2)}
+    assert {(r.key, r.value, r.n_objects) for r in store.inverted_index().filter("key IN ('d', 'o')").collect()} == {("d", "2024-02-29", 1), ("d", "2024-03-01", 1), ("o", "true", 1), ("o", "false", 1)}
+
+
+def test_expressions_are_judged_by_the_engine_that_runs_them(spark):
+    rows = LongStore(frame(spark, [(1, "k", "é"), (2, "k", "a")]))
+    assert found(rows.multi("k ~= (?P<n>a)")) == [] and found(rows.multi("k ~= [")) == [] and found(rows.multi("k ~= a)(")) == []
+    assert found(rows.multi(r"k ~= \p{L}")) == [1, 2] and found(rows.multi(r"k ~= (?<n>a)")) == [2]
