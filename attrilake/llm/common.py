@@ -62,8 +62,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
+        """Delete a table; the shuffle files of finished steps go with it, as Spark's cleaner follows the driver's collector."""
         drop_path(self.spark, self.path(name))
         self.names.discard(name)
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop_but(self, *needed: str) -> None:
         """Delete all tables but these."""
@@ -115,16 +117,22 @@ def hot_rows(total: int) -> int:
     return max(HOT_ROWS, -(-total // HOT_KEYS))
 
 
-def join_keyed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: str = "row_id", how: str = "inner") -> DataFrame:
+#: Bytes of a hot key's rows that one part holds, where rows are wide.
+PART_BYTES = 32 << 20
+
+
+def join_keyed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: str = "row_id", how: str = "inner", part: int | None = None) -> DataFrame:
     """rows join groups on ``key`` where ``groups`` has one row a key and its row count ``size``.
 
     A key with over hot_rows(total) rows is cut into parts of about that many, dealt by the hash of
     ``spread``, and its group is copied once for each part. Only the hot keys and their numbers of
     parts are broadcast: there are fewer than total / hot_rows(total) of them, HOT_KEYS at most.
+    Where rows are wide, ``size`` and ``total`` count bytes and ``part`` is the bytes of a part.
     Rows without a key meet nobody and are dealt evenly.
     """
-    parts = F.ceil(F.col(size) / hot_rows(total)).cast("long")
-    hot = groups.filter(F.col(size) > hot_rows(total)).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    least = hot_rows(total) if part is None else max(part, -(-total // HOT_KEYS))
+    parts = F.when(F.col(size) > least, F.ceil(F.col(size) / (part or least))).otherwise(1).cast("long")
+    hot = groups.filter(F.col(size) > least).select(F.col(key).alias("_hot"), parts.alias("_parts"))
     mixed = F.xxhash64(spread)
     salt = F.when(F.col(key).isNull(), mixed).otherwise(F.pmod(mixed, F.coalesce("_parts", F.lit(1).cast("long"))))
     dealt = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
@@ -150,14 +158,23 @@ def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: str, part:
 FILTER_BITS = 1 << 25
 
 
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """The keys' hash bits as a bitmap in slots of 4 KB: FILTER_BITS / 32768 rows at most, 4 MB."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return keys.groupBy(F.shiftright(bit, 15).alias("_slot")).agg(F.bitmap_construct_agg(bit % 32768).alias("_bits"))
+
+
 def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` may be one of ``keys``; none that is one is missing.
 
-    The keys' hash bits make a bitmap in slots of 4 KB: FILTER_BITS / 32768 rows at most, so a
-    broadcast of 4 MB at most. It keeps wide rows out of a shuffle in which they'd find no partner.
+    It keeps wide rows out of a shuffle in which they'd find no partner.
     """
+    return passing(rows, key_filter(keys, key), key)
+
+
+def passing(rows: DataFrame, bitmap: DataFrame, key: str) -> DataFrame:
+    """The rows that a ``key_filter`` lets through; it is broadcast."""
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    bitmap = keys.groupBy(F.shiftright(bit, 15).alias("_slot")).agg(F.bitmap_construct_agg(bit % 32768).alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10)
     found = rows.join(F.broadcast(bitmap), F.col("_slot") == F.shiftright(bit, 15))
     return found.filter(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop("_slot", "_bits")

@@ -25,15 +25,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.shingles import word_hashes
+from attrilake.llm.shingles import slices, word_hashes
 
-#: Fixed values of HTML: elements that end a block, never hold text, or hold none that is shown.
+#: Fixed values of HTML: elements that end a block, never hold text, hold raw text that is no part of the page's, or markup that isn't shown.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object")
+RAW = ("script", "style", "title", "textarea", "iframe")
+HIDDEN = ("template",)
 #: Elements that a start tag closes when one of them is open, and what stops the search for them.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table select html body article section div main aside nav".split())
@@ -46,14 +47,14 @@ PATH_SIZE, LEAF_SIZE, WORD_SIZE, DENSITIES, STATE = 384, 32, 48, 4, 20
 PAGES, STEPS, BATCH, RATE, SEED = 1500, 600, 32, 0.01, 11
 #: Share of a word vector's length that counts, and how slowly the averaged weights follow.
 WORD_WEIGHT, FOLLOW = 0.4, 0.98
-#: Pages that are labelled together.
+#: Pages and blocks that are labelled together; a page of more blocks goes through slice by slice.
 TOGETHER, MOST_BLOCKS = 64, 16_384
 
 
 def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     """(tag path, text, share of its characters in links) of a page's leaf blocks, blank ones left out."""
     out, stack, pieces, linked = [], [], [], 0
-    at, link = 0, 0
+    at, link, hidden, paths = 0, 0, 0, {}
 
     def end_block():
         nonlocal pieces, linked
@@ -61,18 +62,21 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             raw = "".join(pieces)
             text = " ".join(html.unescape(raw).split())
             if text:
-                out.append((tuple(x[1] for x in stack), text, min(1.0, linked / max(1, len(raw)))))
+                path = tuple(x[1] for x in stack)
+                out.append((paths.setdefault(path, path), text, min(1.0, linked / max(1, len(raw)))))
             pieces, linked = [], 0
 
     def pop_to(depth: int):
-        nonlocal link
+        nonlocal link, hidden
         while len(stack) > depth:
-            link -= stack.pop()[0] == "a"
+            name = stack.pop()[0]
+            link -= name == "a"
+            hidden -= name in HIDDEN
 
     while at <= len(page):
         m = TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text:
+        if text and not hidden:
             pieces.append(text)
             linked += len(text) if link else 0
         if not m:
@@ -95,7 +99,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
         if name == "br":
             pieces.append(" ")
             continue
-        if name in UNSEEN:
+        if name in RAW:
             if not m.group(3).endswith("/"):
                 close = regex.compile(rf"</{name}\b[^>]*>", regex.I).search(page, at)
                 at = close.end() if close else len(page)
@@ -118,6 +122,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
                 marks += ["." + x for x in PART.findall((a or b or c).lower())]
             stack.append((name, tuple(marks)))
             link += name == "a"
+            hidden += name in HIDDEN
     end_block()
     return out
 
@@ -170,11 +175,14 @@ class Lstm:
     u: np.ndarray
     b: np.ndarray
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (pages, blocks, STATE); beyond a page's end its state stays."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None, start: tuple | None = None) -> np.ndarray:
+        """States (pages, blocks, STATE); beyond a page's end its state stays.
+
+        ``start`` is the state before the first block; ``self.last`` is the one after the last.
+        """
         n, steps, _ = x.shape
         drive = x @ self.w + self.b
-        h, c = np.zeros((n, STATE), np.float32), np.zeros((n, STATE), np.float32)
+        h, c = start or (np.zeros((n, STATE), np.float32), np.zeros((n, STATE), np.float32))
         out = np.zeros((n, steps, STATE), np.float32)
         for t in range(steps):
             z = drive[:, t] + h @ self.u
@@ -189,6 +197,7 @@ class Lstm:
             c = np.where(m, new, c)
             h = np.where(m, o * tanh, h)
             out[:, t] = h
+        self.last = h, c
         return out
 
     def backward(self, x: np.ndarray, kept: list, grad: np.ndarray) -> list[np.ndarray]:
@@ -252,6 +261,20 @@ class Labeller:
                 out[i] = row[: len(pages[i])]
         return out
 
+    def streamed(self, blocks: list, size: int = MOST_BLOCKS) -> np.ndarray:
+        """The chances of one long page's blocks: vectors live a slice at a time, of the rest only states stay."""
+        n = len(blocks)
+        logit = np.empty(n, np.float32)
+        for lstm, weights, cuts, step in ((self.ahead, self.out[:STATE], range(0, n, size), 1), (self.back, self.out[STATE:], range((n - 1) // size * size, -1, -size), -1)):
+            state = None
+            for at in cuts:
+                x = vectors(blocks[at : at + size])
+                found = lstm.forward(x[None, ::step], np.ones((1, len(x)), bool), start=state)[0, ::step]
+                state = lstm.last
+                part = (found @ weights)[:, 0]
+                logit[at : at + size] = part + (x @ self.own + self.bias)[:, 0] if step > 0 else logit[at : at + size] + part
+        return sigmoid(logit)
+
     def gradients(self, x, mask, y):
         kept = ([], [])
         s = self.states(x, mask, kept)
@@ -432,14 +455,25 @@ def trained(seed: int = SEED, pages: int = PAGES, steps: int = STEPS) -> Labelle
 
 def main_text(pages: list[str], model: Labeller, least: float = 0.5) -> list[str]:
     """The main text of each page."""
-    found = [blocks_of(p) for p in pages]
-    some = [i for i, b in enumerate(found) if b]
-    out = [""] * len(pages)
-    if some:
-        x = vectors([b for i in some for b in found[i]])
-        cuts = np.cumsum([len(found[i]) for i in some])[:-1]
-        for i, chance in zip(some, model.chances(np.split(x, cuts)), strict=True):
-            out[i] = "\n".join(t for (_, t, _), p in zip(found[i], chance, strict=True) if p >= least)
+    out, held, size = [""] * len(pages), [], 0
+
+    def settle():
+        nonlocal held, size
+        if held:
+            cuts = np.cumsum([len(b) for _, b in held])[:-1]
+            chances = model.chances(np.split(vectors([x for _, b in held for x in b]), cuts)) if size <= MOST_BLOCKS else [model.streamed(b) for _, b in held]
+            for (i, found), chance in zip(held, chances, strict=True):
+                out[i] = "\n".join(t for (_, t, _), p in zip(found, chance, strict=True) if p >= least)
+        held, size = [], 0
+
+    for i, page in enumerate(pages):
+        found = blocks_of(page)
+        if size + len(found) > MOST_BLOCKS or len(held) == TOGETHER:
+            settle()
+        if found:
+            held.append((i, found))
+            size += len(found)
+    settle()
     return out
 
 
@@ -450,7 +484,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     def read(batches):
         labeller = shared.value
         for whole in batches:
-            for batch in (whole.slice(i, TOGETHER) for i in range(0, whole.num_rows, TOGETHER)):
+            for batch in slices(whole, "html"):
                 text = main_text([h or "" for h in batch.column("html").to_pylist()], labeller)
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 

@@ -1,10 +1,14 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-Documents are dealt to shards of about SHARD_BYTES of text. Within a shard, an inverted index over
-token ids holds BM25 weights; each seed document opens a window and the index returns its best
-unused neighbours, which fill the window greedily. The document that overruns a window is cut there
-and its rest seeds the next window, so windows are full. What is left at a shard's end is cut into
-sequences whose lengths are powers of two, which need no padding.
+Documents are tokenised once. Document frequencies and lengths are counted over all of them, and
+so are BM25's weights. Documents are then sorted by lexical content: by the minima of MINIMA hashes
+over their terms, each hash weighted by the terms' rarity, so that documents which share rare terms
+tend to stand side by side (two with a weighted overlap of J start with the same minimum with
+probability J). Consecutive documents make a shard of SHARD_IDS ids or one document. Within a shard,
+an inverted index over token ids holds the weights; each seed document opens a window and the index
+returns its best unused neighbours by all of its terms, which fill the window greedily. The document
+that overruns a window is cut there and its rest seeds the next window, so windows are full. What is
+left at a shard's end is cut into sequences whose lengths are powers of two, which need no padding.
 
 A row that comes back is a piece: its document's id, the place of the piece in it, its ids (packed
 little-endian uint32), and its sequence and offset. Defined results: null text counts as empty; an
@@ -16,50 +20,56 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes a shard holds on average, and BM25's parameters.
-SHARD_BYTES, K1, B = 3 << 20, 1.2, 0.75
-#: Terms of a seed that query the index, those of most weight.
-QUERY_TERMS = 12
+from attrilake.llm.common import Scratch
+from attrilake.llm.shingles import slices
+
+#: Ids of a shard, shards that a task handles on average, and BM25's parameters.
+SHARD_IDS, SHARDS_A_TASK, K1, B = 1 << 19, 16, 1.2, 0.75
+#: Token ids fit 16 bits; minima that a document is sorted by.
+VOCABULARY, MINIMA = 1 << 16, 4
 WINDOW, END_ID = 4096, 2
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def terms_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and occurrences of every distinct term of some documents, in this order."""
+    keys = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), [len(x) for x in ids]) << np.uint64(16) | np.concatenate([np.empty(0, "<u2"), *ids]).astype(np.uint64))
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return (keys[first] >> np.uint64(16)).astype(np.int64), (keys[first] & np.uint64(0xFFFF)).astype(np.int64), np.diff(np.r_[first, len(keys)])
+
+
 class Bm25Shard:
-    """Inverted index of a shard: for each term, the documents that hold it and their weights."""
+    """The terms of a shard's documents and their weights, by corpus-wide rarity and mean length."""
 
-    def __init__(self, ids: list[np.ndarray]):
-        n = len(ids)
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
+        doc, self.term, tf = terms_of(ids)
         lengths = np.array([len(x) for x in ids], np.int64)
-        keys = np.sort(np.repeat(np.arange(n, dtype=np.uint64), lengths) << np.uint64(16) | np.concatenate(ids).astype(np.uint64))
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        tf = np.diff(np.r_[first, len(keys)])
-        doc, term = (keys[first] >> np.uint64(16)).astype(np.int64), (keys[first] & np.uint64(0xFFFF)).astype(np.int64)
-        df = np.bincount(term, minlength=1 << 16)
-        shared = (df[term] > 1) & (df[term] * 2 <= max(n, 4))  # a term of one document finds none; one of most tells little
-        doc, term, tf = doc[shared], term[shared], tf[shared]
-        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
-        weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(lengths.mean(), 1)))).astype(np.float32)
-        self.n = n
-        self.by_doc = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_term, self.doc_weight = term, weight
-        order = np.argsort(term, kind="stable")
-        self.by_term = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        self.post_doc, self.post_weight = doc[order], weight[order]
+        self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))).astype(np.float32)
+        self.by_doc = np.searchsorted(doc, np.arange(len(ids)))  # every document holds the end id
+        # the inverted index: each term's documents and weights
+        order = np.argsort(self.term, kind="stable")
+        self.by_term = np.searchsorted(self.term[order], np.arange(VOCABULARY + 1))
+        self.post_doc, self.post_weight, self.n = doc[order].astype(np.int32), self.weight[order], len(ids)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents for all terms of the seed."""
+        end = self.by_doc[seed + 1] if seed + 1 < self.n else len(self.term)
+        terms = self.term[self.by_doc[seed] : end]
+        size = self.by_term[terms + 1] - self.by_term[terms]
+        if size.sum() * 2 > len(self.term):  # most of the index: one pass over the documents instead
+            asked = np.zeros(VOCABULARY, np.float32)
+            asked[terms] = 1
+            return np.add.reduceat(self.weight * asked[self.term], self.by_doc)
+        at = np.arange(size.sum()) + np.repeat(self.by_term[terms] - np.cumsum(size) + size, size)
+        return np.bincount(self.post_doc[at], self.post_weight[at], self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, the best first, ties by place."""
-        a, b = self.by_doc[seed], self.by_doc[seed + 1]
-        terms = self.doc_term[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.doc_weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        lists = [slice(self.by_term[t], self.by_term[t + 1]) for t in terms]
-        if not lists:
-            return np.empty(0, np.int64)
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in lists]), np.concatenate([self.post_weight[s] for s in lists]), self.n)
-        score[~unused] = 0
+        """Unused documents that share a term with the seed, the best first, ties by place."""
+        score = np.where(unused, self.scores(seed), 0)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -97,29 +107,112 @@ def fill(lengths: np.ndarray, neighbours, window: int = WINDOW):
         sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, row and ids (little-endian uint16, the end id last) of every document."""
+
+    def encode(batches):
+        bpe, end = encoder(tokenizer), np.array([end_id], "<u2").tobytes()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                ids = [bpe.encode(t) + end for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"])
+
+    text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text).mapInArrow(encode, "doc_id long, row long, ids binary")
+
+
+def ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """How many documents hold each token id."""
+
+    def counted(batches):
+        total = np.zeros(VOCABULARY, np.int64)
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                total += np.bincount(terms_of(ids_of(batch))[1], minlength=VOCABULARY)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "n"])
+
+    table = rows.select("ids").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # VOCABULARY rows at most
+    df = np.zeros(VOCABULARY)
+    df[table.column("term").to_numpy()] = table.column("n").to_numpy()
+    return df
+
+
+def rarity(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25's inverse document frequency of every token id."""
+    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def orders(df: np.ndarray, n: int) -> np.ndarray:
+    """For each of MINIMA hashes the rank of every token id: rarer ones tend to come first, those of one document last."""
+    drawn = np.random.Generator(np.random.PCG64(97)).exponential(size=(MINIMA, VOCABULARY)) / np.where(df > 1, np.maximum(rarity(df, n), 1e-6) ** 2, 1e-12)
+    return np.argsort(np.argsort(drawn, axis=1), axis=1).astype(np.int64)
+
+
+def placed(rows: DataFrame, ranked: np.ndarray) -> DataFrame:
+    """``rows`` with ``place``: their minima under the hashes, 16 bits each."""
+    shared = rows.sparkSession.sparkContext.broadcast(ranked)
+
+    def mark(batches):
+        ranks = shared.value
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                doc, term, _ = terms_of(ids_of(batch))
+                first = np.searchsorted(doc, np.arange(batch.num_rows))
+                place = np.zeros(batch.num_rows, np.uint64)
+                for rank in ranks:
+                    place = place << np.uint64(16) | np.minimum.reduceat(rank[term], first).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.view(np.int64))], [*batch.schema.names, "place"])
+
+    return rows.mapInArrow(mark, "doc_id long, row long, ids binary, place long")
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pieces of all documents; ``tokenizer`` is the path of a word-end BPE file."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
-    dealt = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-
-    def packed(key, table):
-        bpe = encoder(tokenizer)
-        end = np.array([end_id], "<u2").tobytes()
-        ids = [np.frombuffer(bpe.encode(t) + end, "<u2") for t in table.column("text").to_pylist()]
-        index = Bm25Shard(ids)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        places = list(fill(lengths, index.neighbours, window))
-        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*places, strict=True))
-        return pa.table({
-            "doc_id": table.column("doc_id").combine_chunks().take(pa.array(doc)),
-            "start": start, "length": length,
-            "ids": pa.array([ids[d][s : s + k].astype("<u4").tobytes() for d, s, k, _, _ in places], pa.binary()),
-            "doc_tokens": lengths[doc], "sequence_id": sequence + (key[0].as_py() << 32), "offset": offset,
-        })
-
-    return dealt.groupBy("shard").applyInArrow(packed, PIECE)
+    scratch = Scratch(docs.sparkSession, "packing")
+    rows = scratch.keep(tokenised(docs, tokenizer, end_id), "ids")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 2).first()
+    if not n:
+        return docs.sparkSession.createDataFrame([], PIECE)
+    df, mean = frequencies(rows), float(total) / n
+    weights = docs.sparkSession.sparkContext.broadcast(rarity(df, n))
+    tasks = max(1, -(-int(total) // (shard_ids * SHARDS_A_TASK)))
+
+    def packed(batches):
+        held, size, sequences = [], 0, TaskContext.get().partitionId() << 40
+
+        def settle():
+            nonlocal held, size, sequences
+            ids = [x for _, x in held]
+            lengths = np.array([len(x) for x in ids], np.int64)
+            doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*fill(lengths, Bm25Shard(ids, weights.value, mean).neighbours, window), strict=True))
+            for a in range(0, len(doc), 4096):
+                b = slice(a, a + 4096)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([held[d][0] for d in doc[b].tolist()], pa.int64()), pa.array(start[b]), pa.array(length[b]),
+                        pa.array([ids[d][s : s + k].astype("<u4").tobytes() for d, s, k in zip(doc[b].tolist(), start[b].tolist(), length[b].tolist(), strict=True)], pa.binary()),
+                        pa.array(lengths[doc[b]]), pa.array(sequence[b] + sequences), pa.array(offset[b]),
+                    ], [c.split()[0] for c in PIECE.split(", ")],
+                )
+            held, size, sequences = [], 0, sequences + int(sequence[-1]) + 1
+
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch), strict=True):
+                if held and size + len(ids) > shard_ids:
+                    yield from settle()
+                held.append((doc_id, ids))
+                size += len(ids)
+        if held:
+            yield from settle()
+
+    # equal places may be many: the row's hash splits them among tasks
+    dealt = placed(rows, orders(df, n)).withColumn("tie", F.xxhash64("row")).repartitionByRange(tasks, "place", "tie").sortWithinPartitions("place", "tie")
+    return dealt.select("doc_id", "ids").mapInArrow(packed, PIECE)
 
 
 _ENCODERS: dict = {}

@@ -1,17 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models of words' characters.
 
-A word's characters are predicted from up to ORDER - 1 characters before them in the word. For each
-class (toxic, ordinary) an interpolated Kneser-Ney model counts n-grams of ORDER characters; all
-lower orders are shared: they count both classes, so an expression that one class has rarely seen
+A word is a run of letters, lower-cased; its characters and its end are predicted from up to
+ORDER - 1 characters before them, or from the word's beginning. Each class (toxic, ordinary) has
+counts of its own for the longest n-gram at each place. All lower orders are shared: they hold
+Kneser-Ney's continuation counts, the number of different n-grams, one character longer to the
+left, that end in an n-gram anywhere in the corpus. So an expression that one class has rarely seen
 backs off to what both know and tells little. A word's evidence is the difference of its
 log-likelihoods. A document's features are length-normalised: the means over all its words, over
-its worst WINDOW words in a row, and over its worst few words. A logistic regression over them
-gives the score.
+its worst WINDOW words in a row, and over its worst few words; a logistic regression over them gives
+the score.
 
-Counts come from SAMPLE labelled documents of each class at most, taken by the hash of doc_id;
-equal texts count once. The regression is cross-fitted: each half's features come from the counts
-of the other half, and classes weigh as in all labelled rows. N-grams live in hashed tables of
-2^CELL_BITS cells, so the model's size is fixed. Scoring covers whole texts.
+Shared counts come from the words of all documents, class counts from all labelled rows whose
+remainder is not 2; equal texts count once. Only the regression is fitted on a bounded sample, SAMPLE
+rows a class, taken by the hash of doc_id; it is cross-fitted: each half's features come from the
+class counts of the other half, and classes weigh as in all labelled rows. Discounting and
+normalising are aggregations over exact n-grams; what comes to the driver and the workers are their
+shares summed in cells, whose number grows with the n-grams up to 2^MOST_BITS. Scoring covers whole texts.
 
 Defined results: null text counts as empty; a text without words has the features zero; without
 labelled rows of both classes every score is 0; rows with equal texts have equal scores; extra
@@ -20,6 +24,9 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,83 +35,100 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrilake.llm.common import Scratch
+from attrilake.llm.shingles import slices
 
-ORDER, WINDOW, SAMPLE = 5, 16, 6000
-CELL_BITS, CONTEXT_BITS = 20, 18
+ORDER, WINDOW, SAMPLE = 7, 16, 6000
+#: Cells of a table: four for each n-gram of the largest order, within these bits.
+LEAST_BITS, MOST_BITS = 16, 21
 #: What a count gives up to the order below, in the shared orders and in a class; never more than itself.
 SHARED_DISCOUNT, CLASS_DISCOUNT = 0.75, 3.0
+#: Probability of a character that nothing is known of.
+FLOOR = 1e-4
 #: How many of the worst words the last features average.
 WORST = (3, 6)
 #: A word's evidence is held within this many nats, so that one word can't outweigh a window.
 MOST = 8.0
+#: Distinct words that a task counts, or a worker remembers, before it hands them out or forgets them.
+WORDS_HELD = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+class Places:
+    """The n-grams at each character of some words and at each word's end."""
+
+    def __init__(self, words: list[str]):
+        code = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        self.starts = np.cumsum(lengths) - lengths
+        self.word = np.repeat(np.arange(len(words)), lengths)
+        self.since = np.arange(len(code)) - np.repeat(self.starts, lengths)  # characters before, in the word
+        self.keys, self.contexts = [], []
+        context = np.zeros(len(code), np.uint64)
+        for order in range(1, ORDER + 1):
+            if order > 1:
+                # a character of the word, or its beginning; places that lie before it aren't used
+                back = order - 1
+                before = np.where(self.since >= back, code[np.maximum(np.arange(len(code)) - back, 0)] + np.uint64(2), np.uint64(1))
+                context = (context + before) * _A
+                context ^= context >> np.uint64(29)
+            key = (context ^ (code + np.uint64(7)) * _B) * _A
+            self.keys.append(key ^ key >> np.uint64(31))
+            self.contexts.append(context * _B ^ context >> np.uint64(27))
+        self.longest = np.minimum(self.since + 2, ORDER)  # with the word's beginning
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest n-gram at each place, and its context."""
+        rows = np.arange(len(self.word))
+        return np.stack(self.keys)[self.longest - 1, rows], np.stack(self.contexts)[self.longest - 1, rows]
 
 
-def grams(text: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Cells and context cells of every order at each character of the words, and where words start.
+FEATURES = ("mean", "window", *(f"worst_{k}" for k in WORST))
 
-    Characters that are no letters separate words; a word ends with one such character.
-    """
-    low = text.lower()
-    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    letter = LETTER[np.minimum(code, 0xFFFF).astype(np.int64)]
-    code = np.r_[np.where(letter, code, np.uint64(0)), np.uint64(0)]
-    inside = np.r_[False, letter, False]
-    keep = inside[1:] | inside[:-1]  # letters, and the separator after a word
-    at = np.flatnonzero(keep)
-    if not len(at):
-        return [], [], at
-    first = inside[1:] & ~inside[:-1]
-    starts = np.flatnonzero(first[at])
-    since = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))  # characters before, in the word
-    now = code[at]
-    cells, contexts = [], []
-    context = np.zeros(len(at), np.uint64)
-    for order in range(1, ORDER + 1):
-        if order > 1:
-            back = order - 1
-            before = np.where(since >= back, code[at - np.minimum(back, at)], np.uint64(1))
-            context = (context + before + np.uint64(1)) * _A
-            context ^= context >> np.uint64(29)
-        gram = (context ^ (now + np.uint64(7)) * _B) * _A
-        cells.append((gram >> np.uint64(64 - CELL_BITS)).astype(np.int32))
-        contexts.append((context * _B >> np.uint64(64 - CONTEXT_BITS)).astype(np.int32))
-    return cells, contexts, starts
-
-
-LETTER = np.array([chr(i).isalpha() for i in range(0xFFFF)] + [True])
 
+def pack(table: np.ndarray, rest: float) -> tuple[bytes, bytes]:
+    """Steps between the cells that differ from ``rest``, and their values in half precision."""
+    cells = np.flatnonzero(table != rest)
+    return zlib.compress(np.diff(cells, prepend=0).astype(np.uint32).tobytes(), 1), table[cells].astype(np.float16).tobytes()
 
-FEATURES = ("mean", "window", *(f"worst_{k}" for k in WORST))
+
+def unpack(packed: tuple[bytes, bytes], rest: float, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, rest, np.float32)
+    out[np.cumsum(np.frombuffer(zlib.decompress(packed[0]), np.uint32), dtype=np.int64)] = np.frombuffer(packed[1], np.float16)
+    return out
 
 
 @dataclass
 class Model:
-    """Tables by cell: for the shared orders and for the two classes at the highest order."""
+    """Tables by cell, for the shared orders and for the two classes: (discounted share by n-gram, back-off weight by context)."""
 
-    shared: list  # for each order below ORDER: (discounted share by cell, back-off weight by context)
-    classes: list  # toxic, ordinary: the same
+    bits: int
+    shared: list
+    classes: list  # toxic, ordinary
     weights: np.ndarray | None = None  # regression: bias and a weight for each feature
 
-    def words(self, text: str) -> np.ndarray:
-        """Evidence for toxic, in nats, of every word."""
-        cells, contexts, starts = grams(text)
-        if not len(starts):
-            return np.empty(0)
-        p = np.full(len(cells[0]), 1e-4)
-        for (share, back), cell, context in zip(self.shared, cells, contexts, strict=False):
-            p = share[cell] + back[context] * p
-        toxic, ordinary = (share[cells[-1]] + back[contexts[-1]] * p for share, back in self.classes)
-        return np.clip(np.add.reduceat(np.log(toxic / ordinary), starts), -MOST, MOST)
-
-    def features(self, text: str) -> tuple[float, ...]:
-        words = self.words(text)
-        if not len(words):
-            return (0.0,) * len(FEATURES)
-        total = np.r_[0.0, np.cumsum(words)]
-        n = min(WINDOW, len(words))
-        ranked = np.sort(words)[::-1]
-        return float(total[-1] / len(words)), float((total[n:] - total[:-n]).max() / n), *(float(ranked[:k].mean()) for k in WORST)
+    def __getstate__(self):
+        """Tables travel as the cells that hold something, so that what is sent grows with the n-grams alone."""
+        packed = {id(t): pack(t, rest) for pairs in (self.shared, self.classes) for pair in pairs for t, rest in zip(pair, (0, 1), strict=True)}
+        return self.bits, [[tuple(packed[id(t)] for t in pair) for pair in pairs] for pairs in (self.shared, self.classes)], self.weights
+
+    def __setstate__(self, state):
+        self.bits, tables, self.weights = state
+        self.shared, self.classes = ([tuple(unpack(t, rest, self.bits) for t, rest in zip(pair, (0, 1), strict=True)) for pair in pairs] for pairs in tables)
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Evidence for toxic, in nats, of each word."""
+        at, shift = Places(words), np.uint64(64 - self.bits)
+        p = np.full(len(at.word), FLOOR)
+        for i, (share, back) in enumerate(self.shared):
+            p = np.where(at.longest > i + 1, share[at.keys[i] >> shift] + back[at.contexts[i] >> shift] * p, p)
+        key, context = (x >> shift for x in at.top())
+        toxic, ordinary = (share[key] + back[context] * p for share, back in self.classes)
+        return np.clip(np.add.reduceat(np.log(toxic / ordinary), at.starts), -MOST, MOST)
 
     def score(self, features) -> float:
         if self.weights is None:
@@ -113,59 +137,132 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-COUNTS = "level int, context int, cell int, ordinary_0 long, toxic_0 long, ordinary_1 long, toxic_1 long"
+class Scorer:
+    """A model that remembers the evidence of words: WORDS_HELD recent ones and as many before them."""
+
+    def __init__(self, model: Model):
+        self.model, self.new, self.old = model, {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Have the evidence of all these at hand."""
+        if len(self.new) > WORDS_HELD:
+            self.new, self.old = {}, self.new
+        unknown = []
+        for w in words:
+            if w not in self.new:
+                if w in self.old:
+                    self.new[w] = self.old[w]
+                else:
+                    unknown.append(w)
+        at = 0
+        while at < len(unknown):  # a million characters at a time
+            end, size = at, 0
+            while end < len(unknown) and (end == at or size + len(unknown[end]) < 1 << 20):
+                size += len(unknown[end]) + 1
+                end += 1
+            self.new.update(zip(unknown[at:end], self.model.evidence(unknown[at:end]).tolist(), strict=True))
+            at = end
+
+    def features(self, words: list[str]) -> tuple[float, ...]:
+        if not words:
+            return (0.0,) * len(FEATURES)
+        found = np.fromiter(map(self.new.__getitem__, words), np.float64, len(words))
+        total = np.r_[0.0, np.cumsum(found)]
+        n = min(WINDOW, len(found))
+        k = min(max(WORST), len(found))
+        ranked = np.sort(np.partition(found, len(found) - k)[len(found) - k :])[::-1]
+        return float(total[-1] / len(found)), float((total[n:] - total[:-n]).max() / n), *(float(ranked[:k].mean()) for k in WORST)
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """Counts by order, context and cell from (text, toxic, half); summed in each task before the shuffle."""
-    names = [c.split()[0] for c in COUNTS.split(", ")]
+#: Counts of a class in a half, in this order: ordinary and toxic of half 0, then of half 1.
+CELLS = ("ordinary_0", "toxic_0", "ordinary_1", "toxic_1")
+
+
+def count_words(rows: DataFrame, kind: Column) -> DataFrame:
+    """word, kind, n over all texts; counted in each task before the shuffle."""
 
     def counted(batches):
-        pending, size = [], 0
+        held: dict[int, Counter] = {}
 
         def flush():
-            for level in range(ORDER):
-                key = np.concatenate([c[level].astype(np.int64) << 32 | g[level] for g, c, _ in pending])
-                kind = np.repeat([k for _, _, k in pending], [len(g[level]) for g, _, _ in pending])
-                found, where = np.unique(key, return_inverse=True)
-                counts = [np.bincount(where, kind == k, len(found)).astype(np.int64) for k in range(4)]
-                columns = [np.full(len(found), level, np.int32), (found >> 32).astype(np.int32), (found & 0xFFFFFFFF).astype(np.int32), *counts]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-        for batch in batches:
-            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
-                cells, contexts, starts = grams(text or "")
-                if len(starts):
-                    pending.append((cells, contexts, 2 * half + toxic))
-                    size += len(cells[0])
-                if size > 1 << 21:
+            for kind, counts in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([kind] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "kind", "n"])
+            held.clear()
+
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                    held.setdefault(kind, Counter()).update(words_of(text))
+                if sum(map(len, held.values())) > WORDS_HELD:
                     yield from flush()
-                    pending, size = [], 0
-        if pending:
-            yield from flush()
+        yield from flush()
 
-    return rows.select("text", "toxic", "half").mapInArrow(counted, COUNTS).groupBy(*names[:3]).agg(*(F.sum(c).alias(c) for c in names[3:]))
+    return rows.select("text", kind.cast("int").alias("kind")).mapInArrow(counted, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(context: np.ndarray, cell: np.ndarray, count: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted share of each cell in its context, and the weight that each context passes down."""
-    some = count > 0
-    context, cell, count = context[some], cell[some], count[some].astype(np.float64)
-    total = np.bincount(context, count, 1 << CONTEXT_BITS)
-    cut = np.minimum(count, discount)
-    share = np.bincount(cell, (count - cut) / total[context], 1 << CELL_BITS)
-    back = np.where(total > 0, np.bincount(context, cut, 1 << CONTEXT_BITS) / np.maximum(total, 1), 1.0)
-    return np.minimum(share, 1.0).astype(np.float32), back.astype(np.float32)
+def slices_of_words(batches, columns: list[str]):
+    """Words and the other columns, about a million characters at a time."""
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        at = 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and (end == at or size + len(words[end]) < 1 << 20):
+                size += len(words[end]) + 1
+                end += 1
+            yield words[at:end], [batch.column(c).slice(at, end - at).to_numpy() for c in columns]
+            at = end
 
 
-def model_of(table: pa.Table, halves: tuple[int, ...]) -> Model:
-    """The model of the counts of these halves."""
-    column = {n: table.column(n).to_numpy() for n in table.column_names}
-    ordinary, toxic = (sum(column[f"{kind}_{h}"] for h in halves) for kind in ("ordinary", "toxic"))
-    level, context, cell = column["level"], column["context"], column["cell"]
-    shared = [kneser_ney(context[level == k], cell[level == k], (toxic + ordinary)[level == k], SHARED_DISCOUNT) for k in range(ORDER - 1)]
-    top = level == ORDER - 1
-    return Model(shared, [kneser_ney(context[top], cell[top], n[top], CLASS_DISCOUNT) for n in (toxic, ordinary)])
+def continuations(words: DataFrame) -> DataFrame:
+    """level, context, gram, n of the shared orders: how many different longer n-grams end in each."""
+
+    def listed(batches):
+        for found, _ in slices_of_words(batches, []):
+            at = Places(found)
+            for order in range(1, ORDER):
+                some = at.longest > order
+                gram, longer = at.keys[order - 1][some], at.keys[order][some]
+                _, first = np.unique(longer, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), order, np.int32)), *(pa.array(x[first].view(np.int64)) for x in (at.contexts[order - 1][some], gram, longer))], ["level", "context", "gram", "longer"])
+
+    types = words.select("word").distinct().mapInArrow(listed, "level int, context long, gram long, longer long").distinct()
+    return types.groupBy("level", "context", "gram").agg(F.count("*").alias("n"))
+
+
+def class_counts(words: DataFrame) -> DataFrame:
+    """context, gram and a column of CELLS each: the longest n-grams in the labelled words."""
+
+    def listed(batches):
+        for found, (kind, n) in slices_of_words(batches, ["kind", "n"]):
+            at = Places(found)
+            gram, context = at.top()
+            yield pa.RecordBatch.from_arrays([pa.array(kind[at.word]), pa.array(context.view(np.int64)), pa.array(gram.view(np.int64)), pa.array(n[at.word])], ["kind", "context", "gram", "n"])
+
+    each = words.filter("kind >= 0").mapInArrow(listed, "kind int, context long, gram long, n long")
+    return each.groupBy("context", "gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(CELLS)))
+
+
+def discounted(counts: DataFrame, by: str, names: list[str], discount: float, bits: int) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
+    """For each value of ``by`` and each column of counts: shares by n-gram cell, and the weights that contexts pass down, by context cell.
+
+    2^bits rows a value and table come to the driver at most.
+    """
+    cut = {c: F.least(c, F.lit(discount)) for c in names}
+    contexts = counts.groupBy(by, "context").agg(*(F.sum(c).alias(f"{c}_total") for c in names), *(F.sum(cut[c]).alias(f"{c}_cut") for c in names))
+    shift = 64 - bits
+    back = contexts.groupBy(by, F.shiftrightunsigned("context", shift).cast("int").alias("cell")).agg(*(F.try_divide(F.sum(f"{c}_cut"), F.sum(f"{c}_total")).cast("float").alias(c) for c in names))
+    shares = counts.join(contexts.drop(*(f"{c}_cut" for c in names)), [by, "context"])
+    shares = shares.groupBy(by, F.shiftrightunsigned("gram", shift).cast("int").alias("cell")).agg(*(F.sum(F.try_divide(F.col(c) - cut[c], F.col(f"{c}_total"))).cast("float").alias(c) for c in names))
+    out: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+    for i, (table, otherwise) in enumerate(((shares.toArrow(), 0.0), (back.toArrow(), 1.0))):
+        of, cell = table.column(by).to_numpy(), table.column("cell").to_numpy()
+        for value in np.unique(of).tolist():
+            here = of == value
+            for c in names:
+                pair = out.setdefault((value, c), (np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32)))
+                pair[i][cell[here]] = np.nan_to_num(np.minimum(table.column(c).to_numpy()[here], 1), nan=otherwise)
+    return out
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -188,17 +285,33 @@ def remainder(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows whose remainder is not 2, ``sample`` of each class at most."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(remainder(F.col("doc_id")) != 2)
+    """Fit on labelled rows whose remainder is not 2; ``sample`` rows of each class at most for the regression."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    # of equal texts the first is counted; the texts themselves are dealt out once, after that
+    chosen = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).join(known, "doc_id").groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("r.*")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
+    rows = scratch.keep(texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("half", half), "labelled")
+    words = scratch.keep(count_words(texts, F.lit(-1)).unionByName(count_words(rows, 2 * F.col("half") + F.col("toxic"))), "words")
+    shared = scratch.keep(continuations(words), "continuations")
+    classes = scratch.keep(class_counts(words), "classes")
+    scratch.drop("words")
+    most = max(shared.groupBy("level").count().agg(F.max("count")).first()[0] or 0, classes.count())
+    bits = min(max(most.bit_length() + 2, LEAST_BITS), MOST_BITS)
+    lower = discounted(shared, "level", ["n"], SHARED_DISCOUNT, bits)
+    # both classes counted in all rows and in either half
+    sums = {(t, h): f"{t}_{h}" for t in ("toxic", "ordinary") for h in ("all", 0, 1)}
+    both = classes.withColumns({"one": F.lit(0)} | {f"{t}_all": F.col(f"{t}_0") + F.col(f"{t}_1") for t in ("toxic", "ordinary")})
+    top = discounted(both, "one", list(sums.values()), CLASS_DISCOUNT, bits)
+    scratch.drop_but("labelled")
+    none = (np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32))
+    lower = [lower.get((k, "n"), none) for k in range(1, ORDER)]
+    of = lambda h: Model(bits, lower, [top.get((0, sums[t, h]), none) for t in ("toxic", "ordinary")])
+    model = of("all")
     order = F.xxhash64("doc_id")
-    picked = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(sample) for t in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]))  # 2 * sample rows at most
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(chosen, "doc_id")
-    rows = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("r")).select("r.*")
-    rows = Scratch(docs.sparkSession, "toxicity").keep(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")), "sample")
-    table = count_grams(rows).toArrow()
-    model = model_of(table, (0, 1))
-    crossed = scored(rows, [model_of(table, (1,)), model_of(table, (0,))], keep=["toxic", "half"]).select("toxic", *FEATURES).toArrow()
+    fitted = [rows.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(sample) for t in (0, 1)]
+    crossed = scored(fitted[0].unionByName(fitted[1]), [of(1), of(0)], keep=["toxic", "half"]).select("toxic", *FEATURES).toArrow()
     y = crossed.column("toxic").to_numpy().astype(np.float64)
     if 0 < y.sum() < len(y):
         every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -216,12 +329,15 @@ def scored(docs: DataFrame, models: list[Model], keep: list[str] = ()) -> DataFr
     schema = "doc_id long, score double" + "".join(f", {f} double" for f in FEATURES) + "".join(f", {k} int" for k in keep)
 
     def score(batches):
-        m = shared.value
+        scorers = [Scorer(m) for m in shared.value]
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                halves = batch.column("half").to_pylist() if len(m) > 1 else [0] * batch.num_rows
-                found = [m[h].features(t or "") for t, h in zip(batch.column("text").to_pylist(), halves, strict=True)]
-                columns = [batch.column("doc_id"), pa.array([m[0].score(f) for f in found], pa.float64())]
+            for batch in slices(whole, "text"):
+                halves = batch.column("half").to_pylist() if len(scorers) > 1 else [0] * batch.num_rows
+                words = [words_of(t) for t in batch.column("text").to_pylist()]
+                for h, scorer in enumerate(scorers):
+                    scorer.learn(set().union(*(w for w, of in zip(words, halves, strict=True) if of == h)))
+                found = [scorers[h].features(w) for w, h in zip(words, halves, strict=True)]
+                columns = [batch.column("doc_id"), pa.array([scorers[0].model.score(f) for f in found], pa.float64())]
                 columns += [pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]
                 yield pa.RecordBatch.from_arrays(columns + [batch.column(k) for k in keep], [c.split()[0] for c in schema.split(", ")])
 

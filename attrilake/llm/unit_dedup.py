@@ -7,9 +7,8 @@ removed. There are three sizes of unit, the larger ones first:
 * whole texts: equal ones leave one, so that groups of copies never meet again line by line;
 * lines: each later occurrence is marked, whatever its length;
 * windows of PASSAGE words at every place, so that a passage set into the middle of a line goes as
-  well. Winnowing picks GRAM-word grams so that each window holds one, the same wherever it stands;
-  only windows that hold a repeated gram are written and grouped. In one row the earlier window must
-  end before the later begins.
+  well. A window's least GRAM-word gram is the same wherever it stands, so only windows whose gram
+  is repeated are written and grouped. In one row the earlier window must end before the later begins.
 
 Marked units that overlap or touch become one run; runs of ``least_words`` words or more are removed.
 A run keeps its offsets (code points, ends exclusive) in the original text.
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,11 +80,15 @@ class Units:
         a = np.flatnonzero(new)
         return np.searchsorted(self.first, a, "right") - 1, a, np.r_[a[1:], n]
 
-    def picked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and first words of the grams that are the least of a window that holds them."""
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, gram, first window and end (exclusive) of all windows of PASSAGE words, by the least gram in them.
+
+        Neighbouring windows with one least gram (the first of equal ones) are one segment; which
+        gram a window has depends on its own words alone.
+        """
         n, width = len(self.hashes), PASSAGE - GRAM + 1
         if n < PASSAGE:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return (np.empty(0, np.int64),) * 4
         place = np.arange(n - GRAM + 1)
         gram = self.hash(place, place + GRAM)
         best, size = place, 1  # the place of the least of ``size`` grams from each place on
@@ -93,16 +97,23 @@ class Units:
             a, b = best[:-step], best[step:]
             best, size = np.where(gram[b] < gram[a], b, a), size + step
         lengths = np.diff(self.first)
-        whole = np.arange(len(best)) + PASSAGE <= np.repeat(self.first[1:], lengths)[: len(best)]  # windows within one row
-        at = np.unique(best[whole])
-        return np.searchsorted(self.first, at, "right") - 1, at
+        windows = np.flatnonzero(np.arange(len(best)) + PASSAGE <= np.repeat(self.first[1:], lengths)[: len(best)])  # within one row
+        if not len(windows):
+            return (np.empty(0, np.int64),) * 4
+        of = best[windows]
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (windows[1:] != windows[:-1] + 1)])
+        a, b = windows[new], windows[np.r_[new[1:], len(windows)] - 1] + 1
+        return np.searchsorted(self.first, a, "right") - 1, gram[of[new]].view(np.int64), a, b
 
 
-CUT = "row_id long, doc_id long, digest binary, n_words int, start int, end int, lines array<binary>, line_at array<int>, line_to array<int>, line_starts array<int>, line_ends array<int>, grams array<long>"
+CUT = (
+    "row_id long, doc_id long, digest binary, n_words int, start int, end int, lines array<binary>, line_at array<int>, line_to array<int>, line_starts array<int>, line_ends array<int>, "
+    "grams array<long>, segments array<binary>, segment_at array<int>, segment_to array<int>, segment_starts array<int>, segment_ends array<int>"
+)
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """A row a text that has words: its digest, its lines and its picked grams."""
+    """A row a text that has words: its digest, its lines and its segments of windows."""
     names = [c.split()[0] for c in CUT.split(", ")]
     ints = lambda x: pa.array(x.astype(np.int32))
 
@@ -115,16 +126,19 @@ def cut(docs: DataFrame) -> DataFrame:
                 if not len(rows):
                     continue
                 a, b, taken = a[rows], b[rows], pa.array(rows)
-                of, c, d = units.lines()
-                gram_of, at = units.picked()
-                line = lambda values: pa.ListArray.from_arrays(ints(np.r_[np.searchsorted(of, rows), len(of)]), values)  # noqa: E731, B023
+
+                def spans(of, c, d, *others):
+                    """Lists by row: digests, places of the first word and of the end, offsets of both."""
+                    at = ints(np.r_[np.searchsorted(of, rows), len(of)])  # noqa: B023
+                    values = [*others, units.digests(c, d), ints(c - units.first[of]), ints(d - units.first[of]), ints(units.points(units.starts[c], of)), ints(units.points(units.ends[d - 1], of))]  # noqa: B023
+                    return [pa.ListArray.from_arrays(at, v) for v in values]
+
+                of, gram, c, d = units.segments()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_id").take(taken), batch.column("doc_id").take(taken), units.digests(a, b), ints(b - a),
                         ints(units.points(units.starts[a], rows)), ints(units.points(units.ends[b - 1], rows)),
-                        line(units.digests(c, d)), line(ints(c - units.first[of])), line(ints(d - units.first[of])),
-                        line(ints(units.points(units.starts[c], of))), line(ints(units.points(units.ends[d - 1], of))),
-                        pa.ListArray.from_arrays(ints(np.r_[np.searchsorted(gram_of, rows), len(gram_of)]), pa.array(units.hash(at, at + GRAM).view(np.int64))),
+                        *spans(*units.lines()), *spans(of, c, d + PASSAGE - 1, pa.array(gram)),
                     ], names,
                 )
 
@@ -140,81 +154,93 @@ def rank(*place: str):
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", *place)
 
 
-def repeated_texts(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """COVER of texts that an earlier one equals, and the texts without them."""
-    total = texts.count()
-    counted = texts.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
-    met = join_keyed(texts.select("row_id", "doc_id", "digest", "n_words", "start", "end"), counted, "digest", "times", total)
-    met = scratch.keep(met, "met-texts")
-    first = met.groupBy("digest").agg(F.min(rank()).alias("first"), F.count("*").alias("times"))
-    later = join_keyed(met.drop("times"), first, "digest", "times", total).filter(F.col("row_id") != F.col("first.row_id"))
-    later = later.select("row_id", "doc_id", F.lit(0).alias("word"), F.col("n_words").alias("to"), "start", "end", F.lit(1).alias("n_units"), F.col("first.doc_id").alias("first_doc_id"))
-    later = scratch.keep(later, "later-texts")
-    return later, scratch.keep(texts.join(later.select("row_id"), "row_id", "left_anti"), "texts")
+def with_first(units: DataFrame, total: int, scratch: Scratch, name: str) -> DataFrame:
+    """The units whose digest stands more than once, with ``first``, where it stands first (doc_id, row_id, word)."""
+    counted = scratch.keep(units.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1"), f"repeated-{name}")
+    met = scratch.keep(join_keyed(likely(units, counted, "digest"), counted, "digest", "times", total), f"met-{name}")
+    scratch.drop(f"repeated-{name}")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "word")
+    first = met.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("times"))
+    return join_keyed(met.drop("times"), first, "digest", "times", total).drop("times")
+
+
+def repeated_texts(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """COVER of texts that an earlier one equals."""
+    units = texts.select("row_id", "doc_id", "digest", F.lit(0).alias("word"), F.col("n_words").alias("to"), "start", "end")
+    found = with_first(units, texts.count(), scratch, "texts").filter(F.col("row_id") != F.col("first.row_id"))
+    return found.select("row_id", "doc_id", "word", "to", "start", "end", F.lit(1).alias("n_units"), F.col("first.doc_id").alias("first_doc_id"))
+
+
+def listed(texts: DataFrame, **columns: str) -> DataFrame:
+    """A row an element of these list columns, under new names."""
+    each = texts.select("row_id", "doc_id", F.explode(F.arrays_zip(*columns.values())).alias("u"))
+    return each.select("row_id", "doc_id", *(F.col("u")[old].alias(new) for new, old in columns.items()))
+
+
+def elements(texts: DataFrame, column: str) -> int:
+    return texts.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
 
 
 def repeated_lines(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """COVER of every later occurrence of a line."""
-    lines = texts.select("row_id", "doc_id", F.explode(F.arrays_zip("lines", "line_at", "line_to", "line_starts", "line_ends")).alias("u"))
-    lines = lines.select("row_id", "doc_id", F.col("u.lines").alias("digest"), F.col("u.line_at").alias("word"), F.col("u.line_to").alias("to"), F.col("u.line_starts").alias("start"), F.col("u.line_ends").alias("end"))
-    counted = scratch.keep(lines.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-lines")
-    total = texts.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    met = scratch.keep(join_keyed(likely(lines, counted, "digest"), counted, "digest", "times", total), "met-lines")
-    first = met.groupBy("digest").agg(F.min(rank("word")).alias("first"), F.count("*").alias("times"))
-    later = join_keyed(met.drop("times"), first, "digest", "times", total).filter(~((F.col("row_id") == F.col("first.row_id")) & (F.col("word") == F.col("first.word"))))
-    return later.select("row_id", "doc_id", "word", "to", "start", "end", F.lit(1).alias("n_units"), F.col("first.doc_id").alias("first_doc_id"))
+    lines = listed(texts, digest="lines", word="line_at", to="line_to", start="line_starts", end="line_ends")
+    found = with_first(lines, elements(texts, "lines"), scratch, "lines").filter(~((F.col("row_id") == F.col("first.row_id")) & (F.col("word") == F.col("first.word"))))
+    return found.select("row_id", "doc_id", "word", "to", "start", "end", F.lit(1).alias("n_units"), F.col("first.doc_id").alias("first_doc_id"))
 
 
 def repeated_windows(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """COVER of windows of PASSAGE words that stand earlier; neighbouring ones with one keeper are one row."""
-    grams = texts.select("row_id", F.explode("grams").alias("gram"))
-    repeated = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-grams")
-    total = texts.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
-    hits = join_keyed(likely(grams, repeated, "gram"), repeated, "gram", "times", total).groupBy("row_id").agg(F.collect_set("gram").alias("known"))
-    hits = scratch.keep(hits, "hits")
-
-    def cover(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                units = Units(batch.column("text"))
-                known = batch.column("known")
-                of, at = units.picked()
-                gram = units.hash(at, at + GRAM).view(np.int64)
-                ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
-                same = np.concatenate([np.isin(gram[ends[i] : ends[i + 1]], known[i].values.to_numpy()) for i in range(batch.num_rows)])
-                of, at = of[same], at[same]
-                # windows that hold one of these grams
-                edges = np.zeros(len(units.hashes) + 2, np.int64)
-                np.add.at(edges, np.maximum(at - (PASSAGE - GRAM), units.first[of]), 1)
-                np.add.at(edges, np.minimum(at + 1, units.first[of + 1] - PASSAGE + 1), -1)
-                place = np.flatnonzero(np.cumsum(edges) > 0)
-                if len(place):
-                    row = np.searchsorted(units.first, place, "right") - 1
-                    taken = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("row_id").take(taken), batch.column("doc_id").take(taken), pa.array((place - units.first[row]).astype(np.int32)),
-                            pa.array(units.points(units.starts[place], row).astype(np.int32)), pa.array(units.points(units.ends[place + PASSAGE - 1], row).astype(np.int32)),
-                            units.digests(place, place + PASSAGE),
-                        ], ["row_id", "doc_id", "word", "start", "end", "digest"],
-                    )
-
-    found = likely(rows, hits, "row_id").join(hits, "row_id").select("row_id", "doc_id", "text", "known")
-    windows = scratch.keep(found.mapInArrow(cover, "row_id long, doc_id long, word int, start int, end int, digest binary"), "windows")
-    total = windows.count()
-    first = windows.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1")
-    met = scratch.keep(join_keyed(windows, first, "digest", "times", total), "met-windows")
+    """COVER of windows of PASSAGE words that stand earlier.
+
+    Only segments whose gram is repeated take part. Of equal segments in several texts the first
+    text's are opened, window by window; the others are covered whole, so that the windows of a
+    passage that many texts share are compared once.
+    """
+    total = elements(texts, "grams")
+    repeated = scratch.keep(texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-grams")
+    every = listed(texts, gram="grams", digest="segments", word="segment_at", to="segment_to", start="segment_starts", end="segment_ends")
+    known = scratch.keep(join_keyed(likely(every, repeated, "gram"), repeated, "gram", "times", total).drop("gram", "times"), "segments")
+    scratch.drop("repeated-grams")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    first = known.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    known = scratch.keep(join_keyed(known, first, "digest", "times", total, how="left").drop("digest", "times"), "ranked-segments")
+    scratch.drop("segments")
+    later = known.filter("first.row_id <> row_id").select("row_id", "doc_id", "word", "to", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
+    ranges = known.filter("first IS NULL OR first.row_id = row_id").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("word", "to"))).alias("ranges"))
+    ranges = scratch.keep(ranges, "ranges")
+    found = likely(rows, ranges, "row_id").join(ranges, "row_id").select("row_id", "doc_id", "text", "ranges")
+    windows = scratch.keep(found.mapInArrow(opened, "row_id long, doc_id long, word int, start int, end int, own boolean, digest binary"), "windows")
+    scratch.drop("ranges")
+    found = with_first(windows, windows.count(), scratch, "windows").filter("own OR first.row_id <> row_id")
     scratch.drop("windows")
-    first = met.groupBy("digest").agg(F.min(rank("word")).alias("first"), F.count("*").alias("times"))
-    later = join_keyed(met.drop("times"), first, "digest", "times", total)
-    later = later.filter((F.col("row_id") != F.col("first.row_id")) | (F.col("word") >= F.col("first.word") + PASSAGE))
-    later = later.select("row_id", "doc_id", "word", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
-    later = later.withColumn("run", F.col("word") - F.row_number().over(Window.partitionBy("row_id").orderBy("word")))
-    later = later.groupBy("row_id", "doc_id", "run").agg(
-        F.min("word").alias("word"), (F.max("word") + PASSAGE).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.lit(0).alias("n_units"), F.min_by("first_doc_id", "word").alias("first_doc_id"),
-    )
-    return later.drop("run")
+    found = found.withColumn("run", F.col("word") - F.row_number().over(Window.partitionBy("row_id").orderBy("word")))
+    found = found.groupBy("row_id", "doc_id", "run").agg(F.min("word").alias("word"), (F.max("word") + PASSAGE).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first.doc_id", "word").alias("first_doc_id"))
+    return found.drop("run").unionByName(later).withColumn("n_units", F.lit(0))
+
+
+def opened(batches):
+    """A row a window of the ranges (first word, end) of each text; ``own`` where the text itself has it before."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            units = Units(batch.column("text"))
+            ranges = batch.column("ranges").combine_chunks() if isinstance(batch.column("ranges"), pa.ChunkedArray) else batch.column("ranges")
+            rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ranges).to_numpy())
+            at, to = (ranges.flatten().field(i).to_numpy() for i in (0, 1))
+            count = to - at - (PASSAGE - 1)
+            row = np.repeat(rows, count)
+            word = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at, count)
+            place = units.first[row] + word
+            key = units.hash(place, place + PASSAGE)
+            order = np.lexsort((word, key, row))
+            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])]
+            own = np.empty(len(row), bool)
+            own[order] = word[order] >= word[order][np.flatnonzero(new)][np.cumsum(new) - 1] + PASSAGE
+            taken, ints = pa.array(row), lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row_id").take(taken), batch.column("doc_id").take(taken), ints(word), ints(units.points(units.starts[place], row)),
+                    ints(units.points(units.ends[place + PASSAGE - 1], row)), pa.array(own), units.digests(place, place + PASSAGE),
+                ], ["row_id", "doc_id", "word", "start", "end", "own", "digest"],
+            )
 
 
 def repeated_runs(docs: DataFrame, least_words: int = 1) -> DataFrame:
@@ -226,14 +252,17 @@ def repeated_runs(docs: DataFrame, least_words: int = 1) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "units")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([ROW] if ROW in docs.columns else []))
     rows = (rows if ROW in docs.columns else numbered(rows, scratch)).withColumnRenamed(ROW, "row_id")
-    copies, texts = repeated_texts(scratch.keep(cut(rows), "cut"), scratch)
-    scratch.drop("cut")
+    texts = scratch.keep(cut(rows), "cut")
+    copies = scratch.keep(repeated_texts(texts, scratch).select(*COVER), "copies")
     scratch.drop("met-texts")
+    texts = scratch.keep(texts.join(copies.select("row_id"), "row_id", "left_anti"), "texts") if not copies.isEmpty() else texts
+    if "texts" in scratch.names:
+        scratch.drop("cut")
     lines = scratch.keep(repeated_lines(texts, scratch).select(*COVER), "lines")
     scratch.drop("met-lines")
     windows = scratch.keep(repeated_windows(rows, texts, scratch).select(*COVER), "passages")
-    scratch.drop_but("later-texts", "lines", "passages")
-    every = copies.select(*COVER).unionByName(lines).unionByName(windows)
+    scratch.drop_but("copies", "lines", "passages")
+    every = copies.unionByName(lines).unionByName(windows)
     # what overlaps or touches becomes one
     by_word = Window.partitionBy("row_id").orderBy("word", "to")
     every = every.withColumn("new", F.coalesce(F.col("word") > F.max("to").over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))

@@ -335,7 +335,7 @@ PASSAGE = "Passage one has a number of words in it for sure. It goes on for anot
 
 
 def test_op7_finds_passages(spark, odd, empty):
-    rows = [(3, "Alpha beta gamma. " + PASSAGE + " tail goes on"), (1, "host text without end " + PASSAGE), (2, None), (4, ""), (5, PASSAGE.upper() + "\n" + PASSAGE), (6, "Short one. " * 3), (7, "a clean text of its own. With nothing shared.")]
+    rows = [(3, "Alpha beta gamma.\n" + PASSAGE + "\ntail goes on"), (1, "host text\n\n " + PASSAGE), (2, None), (4, ""), (5, PASSAGE.upper() + "\r\n" + PASSAGE), (6, "Short one. " * 3), (7, "a clean text of its own. With nothing shared.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = unit_dedup.repeated_runs(df).collect()
     assert {(r.doc_id, r.first_doc_id) for r in got} == {(3, 1), (5, 1)}
@@ -343,30 +343,54 @@ def test_op7_finds_passages(spark, odd, empty):
     for r in got:
         assert " ".join(text[r.doc_id][r.start : r.end].lower().split()).count(PASSAGE.lower()) >= 1
     clean = {r.doc_id: r for r in unit_dedup.without_runs(df).collect()}
-    assert clean[3].text == "Alpha beta gamma.  tail goes on" and clean[1].text == text[1] and clean[2].text is None
+    assert clean[3].text == "Alpha beta gamma.\n\ntail goes on" and clean[1].text == text[1] and clean[2].text is None
     for i, r in clean.items():
         assert "".join((text[i] or "")[s.start : s.end] for s in r.segments) == (r.text or "")
     assert unit_dedup.repeated_runs(odd).filter("doc_id IN (1, 2, 3)").isEmpty() and unit_dedup.repeated_runs(empty).count() == 0
     assert unit_dedup.without_runs(odd).count() == len(ODD)
 
 
-def test_op7_equals_brute_force(spark, sf_dir):
-    first, rows = {}, texts(spark, sf_dir)
+def test_op7_removes_every_later_line_whatever_its_length(spark):
+    rows = [(1, "One\ntwo words\nthree words here\nunique to the first"), (2, "x y z\nTWO  words\none"), (3, "three words here\n\nÜber alles\nx y"), (4, "one\nüber alles\nÜber alles")]
+    got = sorted((r.doc_id, r.start, r.end, r.n_words, r.n_units, r.first_doc_id) for r in unit_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # of Ü only A-Z would count as lower case, so the two spellings differ
+    assert got == [(2, 6, 20, 3, 2, 1), (3, 0, 16, 3, 1, 1), (4, 0, 3, 1, 1, 1), (4, 15, 25, 2, 1, 3)]
+
+
+def later_runs(rows, least):
+    """(doc_id, start, end, words) by a plain pass over the documents in order: equal lines and windows of 51 words."""
+    windows, lines, out = {}, set(), set()
     for d in sorted(rows):
-        for place, (a, b, n, digest) in enumerate(unit_dedup.units_of(rows[d] or "")):
-            first.setdefault(digest, (d, place))
-    want = set()
-    for d, t in rows.items():
-        run = []
-        for place, (a, b, n, digest) in [*enumerate(unit_dedup.units_of(t or "")), (None, (0, 0, 0, None))]:
-            if digest is not None and first[digest] != (d, place):
-                run.append((a, b, n))
+        of = [(re.sub("[A-Z]", lambda m: m.group().lower(), m.group()), *m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", rows[d] or "")]
+        words, marked, at = [w for w, _, _ in of], [], 0
+        for i in range(len(words) - 50):
+            by, place = windows.setdefault(tuple(words[i : i + 51]), (d, i))
+            if by != d or i >= place + 51:
+                marked.append((i, i + 51))
+        while at < len(of):
+            end = at + 1
+            while end < len(of) and not re.search(r"[\n\x0b\x0c\r]", rows[d][of[end - 1][2] : of[end][1]]):
+                end += 1
+            if tuple(words[at:end]) in lines:
+                marked.append((at, end))
+            lines.add(tuple(words[at:end]))
+            at = end
+        joined = []
+        for a, b in sorted(marked):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
             else:
-                if sum(x[2] for x in run) >= unit_dedup.LEAST_RUN and max(x[2] for x in run) >= unit_dedup.LEAST_UNIT:
-                    want.add((d, run[0][0], run[-1][1]))
-                run = []
-    got = {(r.doc_id, r.start, r.end) for r in queries.queries()["op7_unit_dedup"](spark, sf_dir).collect()}
-    assert got == want
+                joined.append([a, b])
+        out |= {(d, of[a][1], of[b - 1][2], b - a) for a, b in joined if b - a >= least}
+    return out
+
+
+def test_op7_equals_brute_force(spark, sf_dir):
+    rows = texts(spark, sf_dir)
+    got = [(r.doc_id, r.start, r.end, r.n_words) for r in queries.queries()["op7_unit_dedup"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == later_runs(rows, 51)
+    every = [(r.doc_id, r.start, r.end, r.n_words) for r in unit_dedup.repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()]
+    assert len(every) == len(set(every)) and set(every) == later_runs(rows, 1)
 
 
 def later_words(rows):
@@ -515,7 +539,7 @@ def test_op10_places_every_id_once(spark, sf_dir):
     slow = Tokenizer.from_file(WORD_BPE)
     rows = texts(spark, sf_dir)
     want = {d: [*slow.encode(t or "", add_special_tokens=False).ids, 2] for d, t in rows.items()}
-    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE, shard_bytes=100_000).collect()
+    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE, shard_ids=20_000).collect()
     check_pieces(pieces, want)
     got = queries.queries()["op10_lexical_packing"](spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
