@@ -9,8 +9,7 @@ from attrilake.functions.text import NUMBER
 from attrilake.operators.conditions import Condition, MultiQuery
 from attrilake.operators.ranges import RangeQuery
 from attrilake.operators.store import LongStore, TrieStore, WideStore, suffixes
-from attrilake.plans import health, popularity, workload
-from attrilake.plans.placement import Placement, migration
+from attrilake.plans import catalog_engine, health, popularity, workload
 
 PART = ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 PAIR_KEYS = ["l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "l_partkey"]
@@ -150,6 +149,12 @@ SCORE_SQL = """SELECT event_type AS pattern, sum(exp(-0.1 * (epoch_ms((SELECT ma
 FROM events GROUP BY event_type"""
 
 
+#: The ordered log of each pattern, folded: {score, time} after each access, the first as it is.
+BONUS_SQL = """WITH l AS (SELECT event_type AS pattern, list({'s': 1.0::DOUBLE, 'ms': epoch_ms(ts)} ORDER BY ts) AS log FROM events GROUP BY event_type),
+f AS (SELECT pattern, list_reduce(log, lambda a, x: {'s': a.s * exp(-0.1 * (x.ms - a.ms) / 3600000.0) + CASE WHEN a.s > 10 THEN 1 + log10(a.s / 10) ELSE 1 END * x.s, 'ms': x.ms}) AS e FROM l)
+SELECT pattern, round(e.s * exp(-0.1 * (epoch_ms((SELECT max(ts) FROM events)) - e.ms) / 3600000.0), 4) AS popularity FROM f"""
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("query"), F.col("value").alias("millis"), (F.col("user_id") % 7).cast("int").alias("factor"), F.col("event_id").alias("n"))
 
@@ -216,28 +221,6 @@ SELECT DISTINCT CAST(object_id AS BIGINT) AS object_id FROM nodes JOIN last USIN
 """
 
 
-def key_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Placement(8)
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select("p_name", p.node_column(F.col("p_name")).alias("node_id"), p.server_column(F.col("p_name")).alias("server_id"))
-
-
-def key_routing_sql() -> str:
-    p = Placement(8)
-    nodes = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}', {s})" for i, x, s in p.nodes)
-    return f"""WITH v(node_id, prefix, server_id) AS (VALUES {nodes}), n AS (SELECT DISTINCT p_name FROM part)
-SELECT p_name, CAST(min(node_id) AS INT) AS node_id, CAST(arg_min(server_id, node_id) AS INT) AS server_id FROM n JOIN v ON starts_with(p_name, prefix) GROUP BY p_name"""
-
-
-def migration_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migration(spark, Placement(8), Placement(10))
-
-
-def migration_sql() -> str:
-    rows = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}', {s}, {t})" for (i, x, s), (_, _, t) in zip(Placement(8).nodes, Placement(10).nodes, strict=True))
-    return f"SELECT CAST(node_id AS INT) AS node_id, prefix, CAST(a AS INT) AS from_server, CAST(b AS INT) AS to_server FROM (VALUES {rows}) v(node_id, prefix, a, b) WHERE a <> b"
-
-
 def _entries() -> dict[str, tuple]:
     """name: (query, SQL or None)"""
     out: dict[str, tuple] = {}
@@ -289,7 +272,7 @@ def _entries() -> dict[str, tuple]:
     out["trie_prefix"] = trie_prefix, ids_sql("part", "p_partkey", "contains(p_name, 'ri')")
     out["trie_suffix"] = trie_suffix, TRIE_SUFFIX_SQL
     out["popularity_decay"] = (lambda s, d: rounded(scores(s, d).select("pattern", "popularity"), "popularity")), f"SELECT pattern, round(popularity, 6) AS popularity FROM ({SCORE_SQL})"
-    out["popularity_bonus"] = (lambda s, d: rounded(popularity.popularity_with_bonus(r := log(s, d), now(r), POPULAR), "popularity")), None
+    out["popularity_bonus"] = (lambda s, d: rounded(popularity.popularity_with_bonus(r := log(s, d), now(r), POPULAR), "popularity", digits=4)), BONUS_SQL
     out["popularity_topk"] = (lambda s, d: rounded(popularity.ranked(scores(s, d).select("pattern", "popularity"), 3), "popularity")), f"SELECT pattern, round(popularity, 6) AS popularity FROM ({SCORE_SQL}) WHERE popularity > 0.01 ORDER BY popularity DESC, pattern LIMIT 3"
     out["replication_factor"] = (
         lambda s, d: scores(s, d).select("pattern", popularity.replicas(F.col("popularity"), POPULAR).alias("replicas")),
@@ -306,13 +289,11 @@ FROM events GROUP BY 1"""
         lambda s, d: rounded(workload.trend(runs(s, d).withColumn("n", F.col("n").cast("double")), "millis", "n"), "slope", "intercept"),
         "SELECT round(regr_slope(value, event_id::DOUBLE), 6) AS slope, round(regr_intercept(value, event_id::DOUBLE), 6) AS intercept FROM events",
     )
-    out["key_routing"] = key_routing, key_routing_sql()
-    out["migration_plan"] = migration_plan, migration_sql()
     out["heartbeat_status"] = heartbeat, """
 SELECT user_id AS server_id, max(epoch_us(ts) // 1000) AS last_beat,
   CASE WHEN age > 360000000 THEN 'CONFIRMED_DOWN' WHEN age > 36000000 THEN 'SUSPECT' ELSE 'ACTIVE' END AS status
 FROM (SELECT user_id, ts, (SELECT max(epoch_us(ts) // 1000) FROM events) - max(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS age FROM events) GROUP BY user_id, age"""
-    return out
+    return out | catalog_engine.entries()
 
 
 def queries():

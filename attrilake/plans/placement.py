@@ -34,6 +34,25 @@ def hash64(text: str, seed: int = 0) -> int:
     return h
 
 
+def hash64_column(text: Column) -> Column:
+    """``hash64`` as an expression: decimal(20,0), computed in two halves of 32 bits."""
+    mask = F.lit((1 << 32) - 1)
+    raw, n = text.cast("binary"), F.octet_length(text)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    octets = F.transform(places, lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
+    start = F.struct(F.lit(OFFSET_64 >> 32).cast("long").alias("high"), F.lit(OFFSET_64 & (1 << 32) - 1).cast("long").alias("low"))
+
+    def step(h, b):
+        # a byte over 127 is negative: its sign fills all the bits above it
+        low = h["low"].bitwiseXOR(F.when(b > 127, b + ((1 << 32) - 256)).otherwise(b))
+        high = h["high"].bitwiseXOR(F.when(b > 127, mask).otherwise(F.lit(0)).cast("long"))
+        small = PRIME_64 - (1 << 40)
+        more = low * small
+        return F.struct((high * small + F.shiftright(more, 32) + low * 256).bitwiseAND(mask).alias("high"), more.bitwiseAND(mask).alias("low"))
+
+    return F.aggregate(octets, start, step, lambda h: (h["high"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + h["low"]).cast("decimal(20,0)"))
+
+
 def hash32(text: str) -> int:
     h = OFFSET_32
     for b in text.encode():
@@ -67,7 +86,10 @@ class Placement:
 
     def following(self, text: str, n: int) -> list[int]:
         """The first ``n`` different servers from there on around the ring."""
-        at, found = self._place(text), []
+        return self._after(self._place(text), n)
+
+    def _after(self, at: int, n: int) -> list[int]:
+        found: list[int] = []
         for k in range(len(self.ring)):
             s = self.ring[(at + k) % len(self.ring)][1]
             if s not in found:
@@ -123,6 +145,35 @@ class Placement:
         return F.element_at(F.array(*(F.lit(s) for _, _, s in self.nodes)), self.node_column(key) + 1)
 
 
+    def place_column(self, key: Column) -> Column:
+        """How many places of the ring lie before the key's hash."""
+        positions = ",".join(str(h) for h, _ in self.ring)
+        ring = F.expr(f"cast(split('{positions}', ',') as array<decimal(20,0)>)")
+        return F.size(F.filter(ring, lambda p: p < hash64_column(key))) % len(self.ring)
+
+    def servers_column(self, key: Column, factor: Column | None = None) -> Column:
+        """``servers_of`` as an expression, or ``adaptive_servers_of`` with a column of factors."""
+        n = min(self.replicas + 1, self.servers)
+        after = ";".join(",".join(map(str, self._after(at, n))) for at in range(len(self.ring)))
+        following = F.element_at(F.expr(f"transform(split('{after}', ';'), x -> cast(split(x, ',') as array<int>))"), self.place_column(key) + 1)
+        own = self.server_column(key)
+        others = F.slice(F.filter(following, lambda s: s != own), 1, F.lit(self.replicas) if factor is None else F.least(factor, F.lit(self.replicas)))
+        return F.concat(F.array(own), others)
+
+    def prefix_column(self, prefix: Column) -> Column:
+        """``for_prefix`` as an expression."""
+        nodes = F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(s).alias("server")) for _, p, s in self.nodes))
+        fits = F.filter(nodes, lambda n: n["prefix"].startswith(prefix) | F.startswith(prefix, n["prefix"]))
+        return F.array_distinct(F.transform(fits, lambda n: n["server"]))
+
+    def query_column(self, query: Column, factor: Column | None = None) -> Column:
+        """``for_query`` as an expression over a column of queries; ``factor`` bounds an exact key's replicas."""
+        key = F.substring_index(query, "=", 1)
+        everywhere = F.sequence(F.lit(0), F.lit(self.servers - 1))
+        starts, ends = key.startswith("*"), key.endswith("*")
+        token = F.substring(key, F.lit(1), F.char_length(key) - 1)
+        return F.when(~starts & ~ends, self.servers_column(key, factor)).when((~starts & ends) | (key == "**"), self.prefix_column(token)).otherwise(everywhere)
+
     def adaptive_servers_of(self, key: str, factor: int) -> list[int]:
         """The key's own server and as many of its usual replicas as its popularity earns."""
         own, *others = self.servers_of(key)

@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.operators.store import ID, KEY, VALUE
+from attrilake.operators.store import ID, KEY, VALUE, suffixes
 
 MAGIC = re.compile(r"[A-Z][A-Z0-9]*_INDEX_V1\Z")
 OWN_MAGIC = "ATTRILAKE_INDEX_V1"
@@ -62,19 +62,36 @@ def read_checkpoint(spark: SparkSession, path: str, server: int | None = None) -
     return files.mapInArrow(read, SCHEMA)
 
 
-def write_checkpoint(triples: DataFrame, path: str, server: int = 0, suffix_mode: bool = True, magic: str = OWN_MAGIC) -> None:
-    """One text file in the served layout, for exchange; lines of objects are made on the executors.
+def write_servers(triples: DataFrame, path: str, server: Column, suffix_mode: bool = True, magic: str = OWN_MAGIC, plain: bool = False) -> None:
+    """A folder ``server=n`` with one text file for each server, in the served or the plain layout.
 
-    Keys and values with line breaks have no place in this format and raise an error; Parquet
-    (``save``) holds them.
+    ``server`` gives each pair's server. A server's file is one task's work, as the layout has the
+    number of objects before them; servers are written side by side. Keys and values with line
+    breaks have no place in this format and raise an error; Parquet (``save``) holds them.
     """
-    if not triples.filter(F.col(KEY).rlike("[\r\n]") | F.col(VALUE).rlike("[\r\n]")).isEmpty():
+    rows = triples.select(server.cast("int").alias("server"), ID, KEY, VALUE)
+    if not rows.filter(F.col(KEY).rlike("[\r\n]") | F.col(VALUE).rlike("[\r\n]")).isEmpty():
         raise ValueError("the text layout can't hold line breaks")
-    objects = triples.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct(KEY, VALUE))).alias("pairs"))
-    body = objects.select(F.col(ID), F.concat_ws("\n", F.concat_ws(" ", F.col(ID), F.size("pairs")), F.concat_ws("\n", F.flatten(F.transform("pairs", lambda p: F.array(p[KEY], p[VALUE]))))).alias("value"))
-    head = triples.sparkSession.createDataFrame([(f"{magic}\n{server} {int(suffix_mode)}\n{objects.count()}",)], "value string")
-    lines = head.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias(ID), "value").unionByName(body.select(F.lit(1).alias("part"), ID, "value"))
-    lines.orderBy("part", ID).coalesce(1).select("value").write.mode("overwrite").text(path)
+    lines = F.flatten(F.transform("pairs", lambda p: F.array(p[KEY], p[VALUE])))
+    objects = rows.groupBy("server", ID).agg(F.array_sort(F.collect_list(F.struct(KEY, VALUE))).alias("pairs"))
+    objects = objects.select("server", ID, F.concat_ws("\n", F.concat_ws(" ", F.col(ID), F.size("pairs")), F.array_join(lines, "\n")).alias("value"))
+    count = rows.groupBy("server").agg(F.count_distinct(ID).alias("n"), F.array_sort(F.collect_set(KEY)).alias("keys"))
+    if plain:
+        listed = lambda c: F.concat(F.array(F.size(c).cast("string")), c)
+        count = count.withColumn("ends", F.array_sort(F.array_distinct(F.flatten(F.transform("keys", suffixes)))))
+        top = F.array_join(F.concat(F.array(F.lit(magic)), listed(F.col("keys")), listed(F.col("ends")), F.array(F.col("n").cast("string"))), "\n")
+    else:
+        top = F.concat_ws("\n", F.lit(magic), F.concat_ws(" ", "server", F.lit(int(suffix_mode))), "n")
+    every = count.select("server", F.lit(None).cast("long").alias(ID), top.alias("value")).unionByName(objects)
+    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    every.repartition(tasks, "server").sortWithinPartitions("server", F.asc_nulls_first(ID)).select("server", "value").write.mode("overwrite").partitionBy("server").text(path)
+
+
+def write_checkpoint(triples: DataFrame, path: str, server: int = 0, suffix_mode: bool = True, magic: str = OWN_MAGIC) -> None:
+    """One server's file in the served layout."""
+    write_servers(triples, path, F.lit(server), suffix_mode, magic)
+    if triples.isEmpty():
+        triples.sparkSession.createDataFrame([(server, f"{magic}\n{server} {int(suffix_mode)}\n0")], "server int, value string").write.mode("overwrite").partitionBy("server").text(path)
 
 
 def save(triples: DataFrame, path: str, by_key: bool = True) -> None:

@@ -32,3 +32,24 @@ def current(spark: SparkSession, store: str) -> DataFrame:
     """The triples whose last message is an insert."""
     log = spark.read.schema(f"object_id long, key string, value string, seq long, op string, batch int").parquet(store)
     return last_messages(log).filter("op = 'insert'").select(*TRIPLE)
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Resolve what the store holds into its newest batch's place, so that reading costs what is current.
+
+    Run it while neither an ingest nor a reader runs; if it is cut off, ``_compacted`` holds all. Deletes stay as messages, as an older batch that is written again
+    must not bring a triple back.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(store)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("batch=")]
+    newest = max(batches, key=lambda p: int(p.getName().partition("=")[2]))
+    log = spark.read.schema(f"{SCHEMA}, batch int").parquet(store).drop("batch")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{store}/_compacted")
+    last_messages(log).write.mode("overwrite").parquet(fresh.toString())
+    for p in batches:
+        if p.getName() != newest.getName():
+            files.delete(p, True)
+    files.delete(newest, True)
+    files.rename(fresh, newest)

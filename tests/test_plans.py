@@ -197,3 +197,54 @@ def test_stream_health(spark, tmp_path):
 def test_windows(spark):
     rows, log, _ = log_of(spark)
     assert stateful.windowed_accesses(log, "1 hour").filter("pattern = 'hot'").agg(F.sum("increments")).first()[0] == 60
+
+
+def test_placement_as_expressions(spark):
+    p = placement.Placement(30)
+    keys = ["StageX", "zeta", "été", "", "9", "#a", "日本", "FILE_PATH"]
+    frame = spark.createDataFrame([(k,) for k in keys], "k string")
+    for r in frame.select("k", placement.hash64_column(F.col("k")).alias("h"), p.servers_column(F.col("k")).alias("s"), p.servers_column(F.col("k"), F.lit(1)).alias("one")).collect():
+        assert (int(r.h), r.s, r.one) == (placement.hash64(r.k), p.servers_of(r.k), p.adaptive_servers_of(r.k, 1))
+    queries = ["StageX=1", "St*=*", "*age*", "*", "**=1", "x", "=1", "*x=", "_*"]
+    frame = spark.createDataFrame([(q,) for q in queries], "q string")
+    for r in frame.select("q", p.query_column(F.col("q")).alias("s")).collect():
+        assert sorted(r.s) == sorted(p.for_query(r.q)), r.q
+
+
+def test_one_text_file_a_server(spark, tmp_path):
+    df, p = spark.createDataFrame(TRIPLES, SCHEMA), placement.Placement(4)
+    for plain in (False, True):
+        checkpoint.write_servers(df, f"{tmp_path}/{plain}", p.server_column(F.col("key")), plain=plain)
+        files = list(tmp_path.glob(f"{plain}/server=*/part-*"))
+        assert len(files) == len({p.nodes[p.node_of(k)][2] for _, k, _ in TRIPLES})
+        assert triples(checkpoint.read_checkpoint(spark, f"{tmp_path}/{plain}/*")) == sorted(TRIPLES)
+    checkpoint.write_checkpoint(df.limit(0), f"{tmp_path}/none", server=2)
+    assert checkpoint.read_checkpoint(spark, f"{tmp_path}/none/*", server=2).isEmpty()
+
+
+def test_benchmark(spark):
+    from attrilake.plans import adaptive, benchmark
+
+    plan = benchmark.Plan(objects=50, warm_up=40, timed=12, seed=2)
+    routing = adaptive.AdaptiveRouting(placement.Placement(30), popularity.Settings(threshold=0.5))
+    runs, factors = benchmark.run(spark, routing, plan)
+    assert runs.count() == 24 and runs.filter("run = 0 AND millis > 0").count() == 12
+    rows = benchmark.report(runs, factors).collect()
+    assert {r.Query for r in rows} == {r.query for r in runs.select("query").distinct().collect()}
+    assert all(1 <= r.ReplicationFactor <= 5 and r.Popularity > 0 for r in rows) and max(r.ReplicationFactor for r in rows) > 1
+    wide = runs.groupBy("query").pivot("run", [0, 1]).agg(F.max("servers")).collect()
+    assert all(r["0"] >= 1 and r["1"] >= 1 for r in wide)
+
+
+def test_compaction_changes_no_triple(spark, tmp_path):
+    from attrilake.streaming import ingest
+
+    schema = "seq long, op string, object_id long, key string, value string"
+    batches = [[(1, "insert", 1, "k", "a"), (2, "insert", 2, "k", "b")], [(3, "delete", 1, "k", "a"), (4, "insert", 3, "k", "c")], [(5, "insert", 1, "k", "a"), (6, "delete", 2, "k", "b")]]
+    for i, rows in enumerate(batches):
+        ingest.last_messages(spark.createDataFrame(rows, schema)).write.parquet(f"{tmp_path}/s/batch={i}")
+    want = sorted(map(tuple, ingest.current(spark, f"{tmp_path}/s").collect()))
+    assert want == [(1, "k", "a"), (3, "k", "c")]
+    ingest.compact(spark, f"{tmp_path}/s")
+    assert sorted(map(tuple, ingest.current(spark, f"{tmp_path}/s").collect())) == want
+    assert [f.name for f in (tmp_path / "s").iterdir() if f.name.startswith("batch")] == ["batch=2"]
