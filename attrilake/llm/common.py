@@ -3,52 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrilake.sources.shared import drop_path, shared_dir
+
 #: The white space that the contracts name: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a temporary folder (one machine runs everything);
-    any other master gets a folder in the warehouse.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        where = f"file://{tempfile.mkdtemp(prefix='attrilake-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors.
 
     ``drop`` deletes a table that no later step reads; what a returned, still lazy DataFrame reads
-    goes when the session ends.
+    goes when the session ends, or when whoever called within ``owned`` has written the result.
     """
 
-    alive: dict[str, Scratch] = {}
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/attrilake/{name}-{uuid.uuid4().hex[:12]}"
         self.names: set[str] = set()
-        Scratch.alive[self.root] = self
-        atexit.register(self._end)
+        self.ended = False
+        owner = _OWNER.get()
+        if owner is not None:
+            owner.append(self)
+        atexit.register(self.end)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -72,26 +56,28 @@ class Scratch:
         for name in self.names - set(needed):
             self.drop(name)
 
-    def _end(self) -> None:
-        if Scratch.alive.pop(self.root, None):
-            try:
+    def end(self) -> None:
+        """Delete all of it."""
+        if not self.ended:
+            self.ended = True
+            atexit.unregister(self.end)
+            with contextlib.suppress(Exception):  # the session may be gone already
                 drop_path(self.spark, self.root)
-            except Exception:  # the session is gone already
-                pass
-
-    @staticmethod
-    def mark() -> set[str]:
-        """The folders that are in use now, for ``sweep``."""
-        return set(Scratch.alive)
-
-    @staticmethod
-    def sweep(roots: set[str], needed: DataFrame) -> None:
-        """Delete these folders but for those that ``needed`` reads."""
-        read = needed.inputFiles() if roots else []
-        for root in roots:
-            name = root.rpartition("/")[2]
-            if root in Scratch.alive and not any(f"/{name}/" in f for f in read):
-                Scratch.alive[root]._end()
+
+
+#: Where the caller collects the scratch folders that are made on its behalf.
+_OWNER: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("owner", default=None)
+
+
+@contextlib.contextmanager
+def owned():
+    """Within it, the scratch folders that operators make belong to the caller, who ends them once their results are written."""
+    made: list[Scratch] = []
+    token = _OWNER.set(made)
+    try:
+        yield made
+    finally:
+        _OWNER.reset(token)
 
 
 #: Column that names a row where doc_ids may repeat or be null.

@@ -126,7 +126,7 @@ class LsmIndex:
         hits = hits.select("digest", "keep_row", (F.col("group_size") * (F.col("octets") + 64)).alias("bytes"))
         total = hits.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         bodies = likely(self.runs().select("row_id", "digest", "body"), hits, "digest")
-        keepers = likely(bodies, hits, "digest").join(hits, (F.col("row_id") == F.col("keep_row")) & (bodies["digest"] == hits["digest"])).select(hits["digest"], "keep_row", "bytes", F.col("body").alias("kept_body"))
+        keepers = bodies.select(F.col("row_id").alias("keep_row"), F.col("body").alias("kept_body")).join(hits, "keep_row")
         rest = join_keyed(bodies, keepers, "digest", "bytes", total, part=PART_BYTES).filter("row_id <> keep_row AND body <> kept_body")
         return self.scratch.keep(rest.select("digest").distinct(), "wrong")
 

@@ -26,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrilake.llm.common import Scratch, join_keyed, row_number
 
-#: Labelled documents a language, cells of the hashed trigram table, and the text's weight.
-SAMPLE, CELL_BITS, EFFECTIVE = 1500, 16, 40
+#: Labelled documents a language and languages of the text model, cells of its hashed table, and the text's weight.
+SAMPLE, MOST_LANGUAGES, CELL_BITS, EFFECTIVE = 1500, 128, 16, 40
 #: Pseudo-counts of hosts and domains, and of declared languages and suffixes.
 HOST_WEIGHT, VALUE_WEIGHT = 10.0, 5.0
 LEAST, DEVIATIONS = 0.5, 8.0
@@ -60,7 +60,7 @@ class TextModel:
 
     languages: list[str]
     table: np.ndarray  # (cells, languages)
-    usual: tuple[float, float, float]  # mean of the rows' means, their deviation, deviation of one trigram
+    usual: np.ndarray  # by language: mean of the rows' means, their deviation, deviation of one trigram
 
     def evidence(self, text: str) -> tuple[list[float], float, int]:
         """Tempered log-likelihoods, how many deviations the text lies under usual ones, its trigrams."""
@@ -71,21 +71,27 @@ class TextModel:
         for k in range(0, len(cells), 1 << 16):
             mean += self.table[cells[k : k + (1 << 16)]].sum(0, dtype=np.float64)
         mean /= len(cells)
-        centre, spread, single = self.usual
-        under = (centre - float(mean.max())) / np.sqrt(spread**2 + single**2 / len(cells))
+        centre, spread, single = self.usual[:, mean.argmax()]
+        under = (centre - mean.max()) / np.sqrt(spread**2 + single**2 / len(cells))
         return (mean * min(len(cells), EFFECTIVE)).tolist(), float(under), len(cells)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Count trigrams in ``sample`` labelled documents (text, lang) of each language at most, taken by hash."""
+    """Count trigrams in ``sample`` labelled documents (text, lang) of each language at most, taken by hash.
+
+    Every label that documents carry is a language, the MOST_LANGUAGES most frequent ones if there
+    are more; one with few documents has a flat model, which seldom wins.
+    """
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select("doc_id", "lang", docs["text"].cast("string").alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).filter("n >= 5").collect()  # a row a language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return TextModel([], np.zeros((1 << CELL_BITS, 0)), (0.0, 1.0, 1.0))
+        return TextModel([], np.zeros((1 << CELL_BITS, 0)), np.zeros((3, 0)))
     rate = {r["lang"]: min(1.0, 1.2 * sample / r["n"]) for r in sizes}
-    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    taken = labelled.filter(share < F.element_at(F.create_map(*(F.lit(x) for pair in rate.items() for x in pair)), F.col("lang")))
+    draw = F.xxhash64("doc_id", F.lit(3))
+    share = F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)
+    taken = labelled.filter(share < F.try_element_at(F.create_map(*(F.lit(x) for pair in rate.items() for x in pair)), F.col("lang")))
+    taken = taken.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))).filter(F.col("place") <= sample)
 
     def counted(batches):
         for batch in batches:
@@ -106,7 +112,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     p = np.exp(table)
     centre = (p * table).sum(0)
     single = np.sqrt((p * (table - centre) ** 2).sum(0))
-    return TextModel(languages, table.astype(np.float32), (float(centre.min()), float(0.1 * np.abs(centre).max()), float(single.max())))
+    return TextModel(languages, table.astype(np.float32), np.stack([centre, 0.1 * np.abs(centre), single]))
 
 
 def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:

@@ -1,12 +1,15 @@
 """Secret scans by patterns and by character Markov models, in DataFrame operations alone.
 
 Three fixed kinds of spans come from patterns (assign, access, hex). The method adds a fourth:
-tokens of MIN_TOKEN characters or more under which a first-order Markov model of random strings is
-likelier than one of ordinary identifiers, by MIN_RATIO nats a character on average. Both models
-are counted over all documents: tokens that a pattern's span covers are the labelled sample of
-random strings, all others that of ordinary identifiers. A token that stands n times weighs
+tokens under which a first-order Markov model of random strings is likelier than one of ordinary
+identifiers, by MIN_RATIO nats a character on average and MIN_TOTAL nats in all, so that a short
+token needs more a character. Tokens are runs of TOKEN's characters: of 16 or more, or of 8
+or more if letters and digits both occur. The labelled samples are counted over all documents: the
+values that the patterns find (of an assignment the value alone, without its keyword) are the random
+strings, tokens that no span covers the ordinary identifiers. A token that stands n times weighs
 1 + log2(n), so copies count little, and its whole weight leaves the ordinary counts before it is
-judged, so no token vouches for itself however often it stands. Ordinary pairs back off to the single
+judged, so no token vouches for itself however often it stands. Tokens that look random leave the
+ordinary sample, and all are judged once more without them. Ordinary pairs back off to the single
 characters' frequencies; the random model is mixed half and half with a uniform one, so alphabets
 that no pattern caught still count as random.
 
@@ -30,11 +33,11 @@ KINDS = {
     "hex": r"[0-9a-f]{24,}",
 }
 LEAST_VALUE, LEAST_ACCESS = 6, 20
-#: Candidate tokens of the models.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-ALPHABET = 66
-#: Mean log-likelihood ratio (nats a character) from which a token is a secret.
-MIN_RATIO = 1.0
+#: Candidate tokens of the models: long ones, and shorter ones that mix letters and digits.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{8,15})"
+ALPHABET = 65
+#: Log-likelihood ratio from which a token is a secret: nats a character on average, and nats in all.
+MIN_RATIO, MIN_TOTAL = 1.0, 14.0
 #: Weight, in counts, of the single characters' frequencies in a pair's.
 BACK_OFF = 500
 #: Lengths that one sum covers when offsets are added up.
@@ -118,9 +121,16 @@ def scan(docs: DataFrame, least: float = MIN_RATIO, carry: bool = False) -> Data
     """row_id, doc_id, base and spans: arrays of (start, no, kind, end) in order; a row a document."""
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = scratch.keep(found_spans(docs, carry), "spans")
-    labelled = rows.select(F.explode("tokens").alias("t"), *KINDS).select(F.col("t.value").alias("token"), F.expr(covered()).alias("random"))
-    tokens = scratch.keep(distinct_tokens(labelled), "tokens")
-    secrets = tokens.filter("NOT random").withColumn("ratio", _ratio(train_markov(tokens))).filter(F.col("ratio") >= least)
+    values = rows.select(F.explode(F.concat(*KINDS)).alias("t")).select(F.col("t.value").alias("token"), F.lit(True).alias("random"))
+    others = rows.select(F.explode("tokens").alias("t"), *KINDS).filter(~F.expr(covered())).select(F.col("t.value").alias("token"), F.lit(False).alias("random"))
+    tokens = scratch.keep(distinct_tokens(values.unionByName(others)), "tokens")
+    secret = (F.col("ratio") >= least) & (F.col("ratio") * F.size("pairs") >= MIN_TOTAL)
+    # suspects leave the ordinary sample, and all are judged anew by what remains
+    judged = tokens.withColumn("ratio", F.when(~F.col("random"), _ratio(train_markov(tokens)))).withColumn("suspect", F.coalesce(secret, F.lit(False)))
+    judged = scratch.keep(judged.drop("ratio"), "judged")
+    scratch.drop("tokens")
+    others = judged.filter("NOT random").withColumn("weight", F.when(F.col("suspect"), 0.0).otherwise(F.col("weight")))
+    secrets = others.withColumn("ratio", _ratio(train_markov(judged.filter("NOT suspect")))).filter(secret)
     secrets = scratch.keep(secrets.select(F.md5("token").alias("key"), "times"), "found")
     rows = rows.withColumn("tokens", F.expr(f"filter(tokens, t -> NOT {covered()})"))
     # only rows with candidates are dealt out

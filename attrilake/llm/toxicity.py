@@ -31,14 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import Scratch
+from attrilake.llm.common import Scratch, likely
 from attrilake.llm.shingles import slices
 
 ORDER, WINDOW, SAMPLE = 7, 16, 6000
-#: Cells of a table: four for each n-gram of the largest order, within these bits.
+#: Cells of a table: about one for each character of the distinct words, within these bits.
 LEAST_BITS, MOST_BITS = 16, 21
 #: What a count gives up to the order below, in the shared orders and in a class; never more than itself.
 SHARED_DISCOUNT, CLASS_DISCOUNT = 0.75, 3.0
@@ -49,7 +49,7 @@ WORST = (3, 6)
 #: A word's evidence is held within this many nats, so that one word can't outweigh a window.
 MOST = 8.0
 #: Distinct words that a task counts, or a worker remembers, before it hands them out or forgets them.
-WORDS_HELD = 200_000
+WORDS_HELD = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -200,68 +200,89 @@ def count_words(rows: DataFrame, kind: Column) -> DataFrame:
     return rows.select("text", kind.cast("int").alias("kind")).mapInArrow(counted, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-def slices_of_words(batches, columns: list[str]):
-    """Words and the other columns, about a million characters at a time."""
+def slices_of_words(batches, columns: list[str], most: int = 1 << 22):
+    """Words and the other columns, about ``most`` characters at a time."""
+    held, size = [], 0
+
+    def settle():
+        return [w for words, _ in held for w in words], [np.concatenate([c[i] for _, c in held]) for i in range(len(columns))]
+
     for batch in batches:
         words = batch.column("word").to_pylist()
-        at = 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) < 1 << 20):
-                size += len(words[end]) + 1
-                end += 1
-            yield words[at:end], [batch.column(c).slice(at, end - at).to_numpy() for c in columns]
-            at = end
+        held.append((words, [batch.column(c).to_numpy() for c in columns]))
+        size += sum(map(len, words)) + len(words)
+        if size > most:
+            yield settle()
+            held, size = [], 0
+    if held:
+        yield settle()
+
+
+def high(x: np.ndarray) -> np.ndarray:
+    """The first 32 bits: more than any table's cells have."""
+    return (x >> np.uint64(32)).astype(np.int64)
 
 
 def continuations(words: DataFrame) -> DataFrame:
-    """level, context, gram, n of the shared orders: how many different longer n-grams end in each."""
+    """context (its level above 32 bits), gram, n of the shared orders: how many different longer n-grams end in each.
+
+    Rows are dealt out once, by context; every later grouping is by the context and more.
+    """
 
     def listed(batches):
         for found, _ in slices_of_words(batches, []):
             at = Places(found)
             for order in range(1, ORDER):
                 some = at.longest > order
-                gram, longer = at.keys[order - 1][some], at.keys[order][some]
-                _, first = np.unique(longer, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), order, np.int32)), *(pa.array(x[first].view(np.int64)) for x in (at.contexts[order - 1][some], gram, longer))], ["level", "context", "gram", "longer"])
+                longer = at.keys[order][some]
+                longer, first = np.unique(longer, return_index=True)
+                context, gram = (high(x[some][first]) for x in (at.contexts[order - 1], at.keys[order - 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(context | order << 32), pa.array(gram << 32 | high(longer * _A))], ["context", "pair"])
 
-    types = words.select("word").distinct().mapInArrow(listed, "level int, context long, gram long, longer long").distinct()
-    return types.groupBy("level", "context", "gram").agg(F.count("*").alias("n"))
+    pairs = words.select("word").distinct().mapInArrow(listed, "context long, pair long").repartition("context").distinct()
+    return pairs.groupBy("context", F.shiftright("pair", 32).bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count("*").alias("n"))
 
 
 def class_counts(words: DataFrame) -> DataFrame:
-    """context, gram and a column of CELLS each: the longest n-grams in the labelled words."""
+    """context, gram and a column of CELLS each: the longest n-grams in the labelled words, dealt out by context."""
 
     def listed(batches):
         for found, (kind, n) in slices_of_words(batches, ["kind", "n"]):
             at = Places(found)
             gram, context = at.top()
-            yield pa.RecordBatch.from_arrays([pa.array(kind[at.word]), pa.array(context.view(np.int64)), pa.array(gram.view(np.int64)), pa.array(n[at.word])], ["kind", "context", "gram", "n"])
+            pair = (gram >> np.uint64(32) << np.uint64(2) | kind[at.word].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((pair, context))
+            context, pair = high(context)[order], pair[order]
+            new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (pair[1:] != pair[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(context[new]), pa.array(pair[new]), pa.array(np.add.reduceat(n[at.word][order], new))], ["context", "pair", "n"])
 
-    each = words.filter("kind >= 0").mapInArrow(listed, "kind int, context long, gram long, n long")
-    return each.groupBy("context", "gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(CELLS)))
+    each = words.filter("kind >= 0").mapInArrow(listed, "context long, pair long, n long").repartition("context")
+    kind = F.col("pair") % 4
+    return each.groupBy("context", F.shiftright("pair", 2).alias("gram")).agg(*(F.sum(F.when(kind == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(CELLS)))
 
 
-def discounted(counts: DataFrame, by: str, names: list[str], discount: float, bits: int) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
-    """For each value of ``by`` and each column of counts: shares by n-gram cell, and the weights that contexts pass down, by context cell.
+def discounted(counts: DataFrame, names: list[str], discount: float, bits: int) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
+    """For each level and each column of counts: shares by n-gram cell, and the weights that contexts pass down, by context cell.
 
-    2^bits rows a value and table come to the driver at most.
+    2^(bits + 1) rows a level come to the driver at most.
     """
+    of_context = Window.partitionBy("context")
     cut = {c: F.least(c, F.lit(discount)) for c in names}
-    contexts = counts.groupBy(by, "context").agg(*(F.sum(c).alias(f"{c}_total") for c in names), *(F.sum(cut[c]).alias(f"{c}_cut") for c in names))
-    shift = 64 - bits
-    back = contexts.groupBy(by, F.shiftrightunsigned("context", shift).cast("int").alias("cell")).agg(*(F.try_divide(F.sum(f"{c}_cut"), F.sum(f"{c}_total")).cast("float").alias(c) for c in names))
-    shares = counts.join(contexts.drop(*(f"{c}_cut" for c in names)), [by, "context"])
-    shares = shares.groupBy(by, F.shiftrightunsigned("gram", shift).cast("int").alias("cell")).agg(*(F.sum(F.try_divide(F.col(c) - cut[c], F.col(f"{c}_total"))).cast("float").alias(c) for c in names))
+    rows = counts.withColumns({f"{c}_share": F.coalesce(F.try_divide(F.col(c) - cut[c], F.sum(c).over(of_context)), F.lit(0.0)) for c in names})
+    cell = lambda c: F.shiftright(c.bitwiseAND(F.lit((1 << 32) - 1)), 32 - bits).cast("int")
+    share = F.struct(F.lit(0).alias("table"), cell(F.col("gram")).alias("cell"), *(F.col(f"{c}_share").alias(f"{c}_x") for c in names), *(F.lit(1.0).alias(f"{c}_y") for c in names))
+    back = F.struct(F.lit(1).alias("table"), cell(F.col("context")).alias("cell"), *(cut[c].cast("double").alias(f"{c}_x") for c in names), *(F.col(c).cast("double").alias(f"{c}_y") for c in names))
+    each = rows.select(F.shiftright("context", 32).cast("int").alias("level"), F.explode(F.array(share, back)).alias("r")).select("level", "r.*")
+    value = lambda c: F.when(F.col("table") == 0, F.sum(f"{c}_x")).otherwise(F.coalesce(F.try_divide(F.sum(f"{c}_x"), F.sum(f"{c}_y")), F.lit(1.0))).cast("float").alias(c)
+    found = each.groupBy("level", "table", "cell").agg(*map(value, names)).toArrow()
+    level, table, cells = (found.column(c).to_numpy() for c in ("level", "table", "cell"))
     out: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
-    for i, (table, otherwise) in enumerate(((shares.toArrow(), 0.0), (back.toArrow(), 1.0))):
-        of, cell = table.column(by).to_numpy(), table.column("cell").to_numpy()
-        for value in np.unique(of).tolist():
-            here = of == value
-            for c in names:
-                pair = out.setdefault((value, c), (np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32)))
-                pair[i][cell[here]] = np.nan_to_num(np.minimum(table.column(c).to_numpy()[here], 1), nan=otherwise)
+    for at in np.unique(level).tolist():
+        for c in names:
+            pair = out[at, c] = (np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32))
+            for i in (0, 1):
+                here = (level == at) & (table == i)
+                pair[i][cells[here]] = np.minimum(found.column(c).to_numpy()[here], 1)
     return out
 
 
@@ -292,18 +313,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # of equal texts the first is counted; the texts themselves are dealt out once, after that
     chosen = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).join(known, "doc_id").groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("r.*")
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
-    rows = scratch.keep(texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("half", half), "labelled")
+    chosen = scratch.keep(chosen, "chosen")
+    rows = scratch.keep(likely(texts, chosen, "doc_id").join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("half", half), "labelled")
     words = scratch.keep(count_words(texts, F.lit(-1)).unionByName(count_words(rows, 2 * F.col("half") + F.col("toxic"))), "words")
-    shared = scratch.keep(continuations(words), "continuations")
-    classes = scratch.keep(class_counts(words), "classes")
-    scratch.drop("words")
-    most = max(shared.groupBy("level").count().agg(F.max("count")).first()[0] or 0, classes.count())
-    bits = min(max(most.bit_length() + 2, LEAST_BITS), MOST_BITS)
-    lower = discounted(shared, "level", ["n"], SHARED_DISCOUNT, bits)
+    characters = words.agg(F.coalesce(F.sum(F.char_length("word") + 1), F.lit(0))).first()[0]
+    bits = min(max(characters.bit_length(), LEAST_BITS), MOST_BITS)
+    lower = discounted(continuations(words), ["n"], SHARED_DISCOUNT, bits)
     # both classes counted in all rows and in either half
     sums = {(t, h): f"{t}_{h}" for t in ("toxic", "ordinary") for h in ("all", 0, 1)}
-    both = classes.withColumns({"one": F.lit(0)} | {f"{t}_all": F.col(f"{t}_0") + F.col(f"{t}_1") for t in ("toxic", "ordinary")})
-    top = discounted(both, "one", list(sums.values()), CLASS_DISCOUNT, bits)
+    both = class_counts(words).withColumns({f"{t}_all": F.col(f"{t}_0") + F.col(f"{t}_1") for t in ("toxic", "ordinary")})
+    top = discounted(both, list(sums.values()), CLASS_DISCOUNT, bits)
     scratch.drop_but("labelled")
     none = (np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32))
     lower = [lower.get((k, "n"), none) for k in range(1, ORDER)]

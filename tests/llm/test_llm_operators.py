@@ -53,7 +53,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     """Smallest reachable doc_id by comparing all pairs."""
     sets = {d: shingle_set(t) for d, t in rows.items()}
     parent = {d: d for d in rows}
@@ -67,7 +67,7 @@ def brute_components(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             shared = len(sets[a] & sets[b])
-            if shared and 100 * shared >= 85 * len(sets[a] | sets[b]):
+            if shared and 100 * shared >= percent * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), top(d)) for d in rows}
@@ -197,7 +197,7 @@ def test_op3_redaction(spark, odd, empty):
     rows = [(1, "a token=abcdef b " + "f" * 24, "en", "s", 1), (2, "clean", "en", "s", 5)]
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redacted(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: ("a [SECRET] b [SECRET]", 21), 2: ("clean", 5)}
-    assert sorted(r.text or "" for r in secret_scan.redacted(odd).collect()) == sorted(r[1] or "" for r in ODD) or True
+    assert sorted(r.text or "" for r in secret_scan.redacted(odd).collect() if len(r.text or "") < 100) == sorted(r[1] or "" for r in ODD if len(r[1] or "") < 100)
     assert secret_scan.redacted(odd).columns == odd.columns and secret_scan.redacted(odd).count() == len(ODD)
     assert secret_scan.scan(empty).count() == 0
 
@@ -236,6 +236,33 @@ def test_op4_batches(spark):
     assert got == {1: (4, 3), 3: (4, 3), 4: (4, 3), 2: (2, 1), 5: (5, 1)}
 
 
+def test_op4_levels_and_filters(spark, monkeypatch):
+    """A level takes in only runs that it doesn't hold, and a filter stops new rows before the level."""
+    index = exact_dedup.LsmIndex(spark)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    read = []
+    runs = exact_dedup.LsmIndex.runs
+    monkeypatch.setattr(exact_dedup.LsmIndex, "runs", lambda self, since=0: read.append(since) or runs(self, since))
+    for b in range(3):
+        index.insert(frame([(10 * b + i, f"text {i % 4} of {b if i < 6 else 0}") for i in range(9)]))
+        index.compact()
+    assert read == [0, 1, 2] and index.compact().agg(F.sum("group_size")).first()[0] == 27 and "level-2" not in index.scratch.names
+    asked = [(100, "text 0 of 0"), (101, "text 1 of 2"), (102, "new"), (103, "text  2of 1"), (None, "text 3 of 0"), *((200 + i, "text 0 of 0") for i in range(40)), *((300 + i, f"unknown {i}") for i in range(500))]
+    got = {r.doc_id: r.keep_id for r in index.lookup(frame(asked)).collect()}
+    assert set(got) == {100, 101, 103, None, *range(200, 240)} and got[101] == 21 and got[103] == 12 and {got[d] for d in range(200, 240)} == {got[100]}
+    met = spark.read.parquet(index.scratch.path("met"))
+    assert met.count() <= 46 and met.filter("doc_id >= 300").count() <= 2  # probes let nearly nothing else through
+    assert exact_dedup.LsmIndex(spark).lookup(frame(asked)).isEmpty()
+
+
+def test_op4_lookup_verifies_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "sha256_hex", lambda c: F.lit("same"))
+    index = exact_dedup.LsmIndex(spark)
+    index.insert(spark.createDataFrame([(1, "a"), (2, "bb"), (3, "b b")], "doc_id long, text string"))
+    got = {r.doc_id: r.keep_id for r in index.lookup(spark.createDataFrame([(7, "a"), (8, "bb "), (9, "c")], "doc_id long, text string")).collect()}
+    assert got == {7: 1, 8: 3}
+
+
 def test_op4_hot_group(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 8)
     rows = [(i, "hot text") for i in range(60)] + [(100 + i, f"t{i % 7}") for i in range(30)]
@@ -256,6 +283,65 @@ def test_op5_finds_languages(spark, sf_dir):
     assert not found[98].accepted and found[98].language is None and found[99].language in model.languages
 
 
+def test_op5_equals_brute_force(spark, sf_dir):
+    """The registered query against a fusion of the same text likelihoods in plain Python."""
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = language_id.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    n, soft = len(model.languages), lambda x: np.exp(x - np.max(x)) / np.exp(x - np.max(x)).sum()
+    found = {r.id: model.evidence(r.text or "") for r in rows}
+    told = [r for r in rows if found[r.id][2]]
+    p = {r.id: soft(np.array(found[r.id][0])) for r in told}
+    total, want = sum(p.values()), {}
+    sums = {k: defaultdict(lambda: [0, np.zeros(n)]) for k in ("host", "domain", "declared", "suffix")}
+    for r in told:
+        for k, by in sums.items():
+            if r[k] is not None:
+                by[r[k]][0] += 1
+                by[r[k]][1] = by[r[k]][1] + p[r.id]
+    for r in told:
+        own = p[r.id]
+        prior = (total - own + 1) / (len(told) - 1 + n)
+        for k in ("domain", "host"):
+            if r[k] is not None:
+                size, c = sums[k][r[k]]
+                prior = (c - own + 10 * prior) / (size - 1 + 10)
+        score = np.array(found[r.id][0]) + np.log(np.maximum(prior, 1e-9))
+        for k in ("declared", "suffix"):
+            if r[k] is not None:
+                size, c = sums[k][r[k]]
+                score += np.log(np.maximum(c - own + 5 * size / len(told), 1e-9) / (total - own + 5))
+        posterior = soft(score)
+        want[r.id] = model.languages[posterior.argmax()], posterior.max(), posterior.max() >= 0.5 and found[r.id][1] <= 8
+    got = queries.queries()["op5_language_id"](spark, sf_dir).collect()
+    assert len(got) == len(rows) and len(want) > 0
+    for r in got:
+        language, confidence, accepted = want.get(r.page_id, (None, None, False))
+        assert r.language == language and r.accepted == accepted and (confidence is None or abs(r.confidence - confidence) < 1e-5)
+
+
+def test_op5_text_alone_tells_held_out_documents(spark, sf_dir):
+    """Text likelihoods, without any declared evidence, on rows that the model's sample doesn't hold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs.filter("doc_id % 2 = 0"))
+    held = [(r.lang, model.evidence(r.text or "")) for r in docs.filter("doc_id % 2 = 1").collect()]
+    assert np.mean([model.languages[int(np.argmax(e[0]))] == lang for lang, e in held if e[2] >= 20]) > 0.97
+
+
+def test_op5_rare_labels_have_models(spark):
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(30)] + [(50 + i, "maison très belle près du château", "fr") for i in range(2)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr"] and model.languages[int(np.argmax(model.evidence("le château près de la maison")[0]))] == "fr"
+    bounded = language_id.train(spark.createDataFrame([(i, "a few words", f"l{i % 200:03d}") for i in range(300)], "doc_id long, text string, lang string"))
+    assert len(bounded.languages) == language_id.MOST_LANGUAGES and bounded.languages[:2] == ["l000", "l001"]
+
+
+def test_op5_odd_pages(spark, sf_dir):
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pages = spark.createDataFrame([(1, None, None), (2, "no address", "<p>12</p>"), (None, "http://u@h.de:8/x", None), (2, None, "<html lang=>"), (3, "http://", LONG)], "page_id long, url string, html string").withColumn("host", F.lit(1))
+    got = language_id.identify(language_id.page_rows(pages), model).collect()
+    assert len(got) == 5 and not any(r.accepted for r in got if r.id != 3)
+
+
 def test_op5_odd_rows(spark, sf_dir, odd, empty):
     model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     got = language_id.identify(language_id.as_rows(odd, "doc_id", odd["text"], odd["lang"], odd["source"]), model).collect()
@@ -462,6 +548,91 @@ def test_op8_learns_expressions(spark, odd, empty):
     assert {r.score for r in toxicity.scored(docs, [none]).collect()} == {0.0}
 
 
+def brute_kneser_ney(rows, labels):
+    """Evidence of a word by dictionaries: continuation counts of all words, class counts of labelled texts."""
+    order, shared_cut, class_cut = toxicity.ORDER, toxicity.SHARED_DISCOUNT, toxicity.CLASS_DISCOUNT
+    tokens = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+
+    def grams(word):
+        """(n-grams from the shortest to the longest) at each place; '^' is the word's beginning, '$' its end."""
+        marked = "^" + word + "$"
+        return [[marked[i + 1 - k : i + 1] for k in range(1, min(order, i + 1) + 1)] for i in range(1, len(marked))]
+
+    longer = defaultdict(set)
+    for w in {w for t in rows.values() for w in tokens(t)}:
+        for at in grams(w):
+            for g, h in zip(at, at[1:], strict=False):
+                longer[g].add(h)
+    n = {g: len(h) for g, h in longer.items()}
+    top = {0: defaultdict(int), 1: defaultdict(int)}
+    seen = {}
+    for d in sorted(rows):
+        if d in labels and zlib.crc32(str(d).encode()) % 4 != 2 and rows[d] not in seen:
+            seen[rows[d]] = d
+            for w in tokens(rows[d]):
+                for at in grams(w):
+                    top[labels[d]][at[-1]] += 1
+
+    def totals(counts):
+        sums = defaultdict(float)
+        for g, c in counts.items():
+            sums[len(g), g[:-1]] += c
+        return sums
+
+    def cuts(counts, cut):
+        return totals({g: min(c, cut) for g, c in counts.items()})
+
+    tables = [(n, totals(n), cuts(n, shared_cut), shared_cut), *((top[k], totals(top[k]), cuts(top[k], class_cut), class_cut) for k in (1, 0))]
+
+    def mixed(table, g, p):
+        counts, total, gone, cut = table
+        key = len(g), g[:-1]
+        if not total.get(key):
+            return p
+        return (counts.get(g, 0) - min(counts.get(g, 0), cut)) / total[key] + gone[key] / total[key] * p
+
+    def evidence(word):
+        out = 0.0
+        for at in grams(word):
+            p = toxicity.FLOOR
+            for g in at[:-1]:
+                p = mixed(tables[0], g, p)
+            toxic, ordinary = (mixed(t, at[-1], p) for t in tables[1:])
+            out += np.log(toxic / ordinary)
+        return float(np.clip(out, -toxicity.MOST, toxicity.MOST))
+
+    return n, evidence
+
+
+def test_op8_equals_kneser_ney_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_BITS", 21)  # so that no two n-grams meet in a cell
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["ba", "de", "ki", "lo", "é"]) for _ in range(rng.randrange(1, 5))) for _ in range(80)]
+    rows = {i: " ".join(rng.choice(words) + rng.choice(["", "", "grumf", " 7 "]) for _ in range(30)) for i in range(60)} | {60: None, 61: ""}
+    rows[62] = rows[3]
+    labels = {i: int(i % 4 == 0) for i in range(0, 63, 1) if i % 5}
+    model = toxicity.train(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    counts, evidence = brute_kneser_ney(rows, labels)
+    asked = sorted({w for t in rows.values() for w in toxicity.words_of(t)})[:60] + ["unheard", "x", "bagrumfde"]
+    assert np.allclose(model.evidence(asked), [evidence(w) for w in asked], atol=0.05)
+    # one continuation count by hand: what stands before "ba" anywhere, a word's beginning included
+    before = {w[i - 1] if i else "^" for t in rows.values() for w in toxicity.words_of(t) for i in range(len(w) - 1) if w[i : i + 2] == "ba"}
+    assert counts["ba"] == len(before)
+    listed = spark.createDataFrame([(w, -1, 1) for w in {w for t in rows.values() for w in toxicity.words_of(t)}], "word string, kind int, n long")
+    at = toxicity.Places(["ba"])
+    gram = int(toxicity.high(at.keys[1][1:2])[0])
+    assert toxicity.continuations(listed).filter((F.col("gram") == gram) & (F.shiftright("context", 32) == 2)).first().n == len(before)
+
+
+def test_op8_whole_query(spark, sf_dir):
+    rows, labels = texts(spark, sf_dir), {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = queries.queries()["op8_toxicity"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    toxic, clean = ([r.score for r in got if labels.get(r.doc_id) == k] for k in (1, 0))
+    assert np.mean(toxic) > np.mean(clean)
+
+
 PARA = "The quick article paragraph tells of things in several words, with commas."
 
 
@@ -475,6 +646,25 @@ def test_op9_templates(page, text):
     assert html_extract.main_text([page], html_extract.trained())[0] == text
 
 
+def test_op9_drops_nothing_else():
+    several = "Several words of the article stand here."
+    page = f"<body><article><noscript><p>{PARA}</p></noscript><p>{PARA} <math><mi>x</mi> = 2</math></p><object><p>{PARA}</p></object><template><p>{PARA}</p></template><p>{several}<svg><text>label</text></article></body>"
+    assert html_extract.main_text([page], html_extract.trained())[0] == f"{PARA}\n{PARA} x = 2\n{PARA}\n{several}label"
+
+
+def test_op9_long_pages_go_in_slices():
+    model = html_extract.trained()
+    page = "<body><nav><ul><li>Home</li></ul></nav><article>" + f"<p>{PARA}</p>" * 20_000 + "</article><footer>Imprint</footer></body>"
+    blocks = html_extract.blocks_of(page)
+    assert np.abs(model.streamed(blocks[:700], 64) - model.chances([html_extract.vectors(blocks[:700])])[0]).max() < 1e-4
+    assert html_extract.main_text(["", page, "<p>"], model) == ["", "\n".join([PARA] * 20_000), ""]
+
+
+def test_op9_empty_tables_and_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "u", f"<article><p>{PARA}</p></article>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract(frame).collect()] == [(1, "u", PARA)] and html_extract.extract(frame.limit(0)).count() == 0
+
+
 def test_op9_whole_table(spark, sf_dir):
     import html
 
@@ -566,7 +756,10 @@ def test_bm25_finds_neighbours():
     rng = np.random.default_rng(2)
     topics = [rng.integers(1000 * k, 1000 * k + 200, 400) for k in range(1, 6)]
     ids = [rng.choice(topics[i % 5], 120) for i in range(50)]
-    index = packing.Bm25Shard(ids)
+    df = np.bincount(packing.terms_of(ids)[1], minlength=packing.VOCABULARY)
+    index = packing.Bm25Shard(ids, packing.rarity(df, 50), 120.0)
+    brute = [[sum(packing.rarity(df, 50)[t] * (c := int((ids[d] == t).sum())) * 2.2 / (c + 1.2) for t in set(ids[s].tolist())) for d in range(50)] for s in (0, 7)]
+    assert np.allclose(index.scores(0), brute[0], rtol=1e-4) and np.allclose(index.scores(7), brute[1], rtol=1e-4)
     unused = np.ones(50, bool)
     for seed in range(50):
         unused[:] = True
