@@ -12,29 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrilake.llm import exact_dedup, language_id, minhash, packing, secret_scan
-from attrilake.llm.common import ROW, Scratch, numbered, ship
-
-
-_USED: set[str] = set()
-
-
-def begun(spark: SparkSession, docs: DataFrame) -> None:
-    """A stage starts: what earlier stages wrote for themselves goes, but for what ``docs`` still reads."""
-    ship(spark)
-    Scratch.sweep(_USED & Scratch.mark(), docs)
-    _USED.clear()
+from attrilake.llm.common import ROW, Scratch, numbered, owned, ship
 
 
 def stage(function):
-    """Notes the scratch folders that a stage makes, for the next one to delete."""
+    """The stage, with this package sent to the executors before it begins."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        begun(spark, docs)
-        before = Scratch.mark()
-        out = function(spark, docs, sf_dir)
-        _USED.update(Scratch.mark() - before)
-        return out
+        ship(spark)
+        return function(spark, docs, sf_dir)
 
     return run_stage
 
@@ -95,9 +82,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    """All stages over ``documents``; what lies between them is written to the shared folder.
+
+    A stage's own tables go as soon as its result is written; those of other runs are never touched.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
+    before = None
     for name, function in STAGES[:-1]:
-        docs = scratch.keep(function(spark, docs, sf_dir), name)
+        with owned() as made:
+            docs = scratch.keep(function(spark, docs, sf_dir), name)
+        for table in made:
+            table.end()
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
