@@ -183,20 +183,24 @@ def write_images(payloads: list[bytes]) -> list[bytes]:
         flat[: len(p)] = p
         blocks[at : at + used] = (flat - np.uint8(SHIFT)).view(np.int8).reshape(used, 64)
         at += n
-    parts = [encode_blocks(blocks[i : i + LANES]) for i in range(0, len(blocks), LANES)]
-    data, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    # a zero after each 0xFF, and a marker of two bytes after each interval: a restart, or the image's end
-    full = data == 0xFF
-    lane_end = np.cumsum(size)
-    place = np.arange(len(data)) + np.cumsum(full) - full + 2 * np.repeat(np.arange(len(size)), size)
-    ends = lane_end + np.r_[0, np.cumsum(full)][lane_end] + 2 * np.arange(len(size))
-    out = np.zeros(int(ends[-1]) + 2, np.uint8)
-    out[place] = data
     last = np.cumsum(counts) - 1
     first = np.r_[0, last[:-1] + 1]
-    marker = 0xD0 + (np.arange(len(size)) - np.repeat(first, counts)) % 8
+    marker = (0xD0 + (np.arange(len(blocks)) - np.repeat(first, counts)) % 8).astype(np.uint8)
     marker[last] = 0xD9
-    out[ends], out[ends + 1] = 0xFF, marker
+    # a zero after each 0xFF, and a marker of two bytes after each interval: a restart, or the image's end
+    chunks, ends, total = [], [], 0
+    for i in range(0, len(blocks), LANES):
+        data, size = encode_blocks(blocks[i : i + LANES])
+        full = data == 0xFF
+        lane_end = np.cumsum(size)
+        place = np.arange(len(data)) + np.cumsum(full) - full + 2 * np.repeat(np.arange(len(size)), size)
+        end = lane_end + np.r_[0, np.cumsum(full)][lane_end] + 2 * np.arange(len(size))
+        chunk = np.zeros(int(end[-1]) + 2, np.uint8)
+        chunk[place] = data
+        chunk[end], chunk[end + 1] = 0xFF, marker[i : i + LANES]
+        chunks.append(chunk), ends.append(end + total)
+        total += len(chunk)
+    out, ends = np.concatenate(chunks), np.concatenate(ends)
     begin = np.r_[0, ends[last][:-1] + 2]
     return [header(*shape, len(p)) + out[a : b + 2].tobytes() for shape, p, a, b in zip(shapes, payloads, begin, ends[last], strict=True)]
 
@@ -264,6 +268,10 @@ def _parse(raw: bytes) -> Image:
             return image
 
 
+#: Bytes of a scan whose windows are held at once.
+SLICE = 1 << 22
+
+
 def decode_blocks(images: list[Image]) -> list[list[np.ndarray]]:
     """Zigzag coefficients of images of one layout: for each image, an (n, 64) array a component.
 
@@ -276,17 +284,15 @@ def decode_blocks(images: list[Image]) -> list[list[np.ndarray]]:
     full = full[(scan[full + 1] <= 0xD7) | (scan[full + 1] == 0xD9)]
     stuffed = np.zeros(len(scan), bool)
     stuffed[1:] = (scan[:-1] == 0xFF) & (scan[1:] == 0)
-    shifted = np.cumsum(stuffed)
+    shifted = np.cumsum(stuffed, dtype=np.int32 if len(scan) < 1 << 31 else np.int64)
     lane_owner = owner[full]
     starts = np.r_[0, full[:-1] + 2]
     new = np.r_[True, lane_owner[1:] != lane_owner[:-1]]
     image_start = np.r_[0, np.cumsum([len(x.scan) for x in images])[:-1]]
     starts[new] = image_start[lane_owner[new]]
-    data = np.concatenate([scan[~stuffed], np.full(16, 0xFF, np.uint8)]).astype(np.uint64)
-    bit = 8 * (starts - np.r_[0, shifted][starts])
-    window = np.zeros(len(data) - 7, np.uint64)  # the 64 bits from each byte on
-    for i in range(8):
-        window |= data[i : len(data) - 7 + i] << np.uint64(56 - 8 * i)
+    data = np.concatenate([scan[~stuffed], np.full(16, 0xFF, np.uint8)])
+    bit = 8 * (starts - np.where(starts > 0, shifted[starts - 1], 0).astype(np.int64))
+    del stuffed, shifted
 
     wide, high = max(c[1] for c in like.components), max(c[2] for c in like.components)
     one = len(like.components) == 1
@@ -300,15 +306,23 @@ def decode_blocks(images: list[Image]) -> list[list[np.ndarray]]:
     begin = np.r_[0, np.cumsum(mcus)[:-1]][lane_owner] + rank * each
     out = [np.zeros((int(mcus.sum()) * n, 64), np.int16) for _, n, _, _ in per_mcu]
     before = np.zeros((len(per_mcu), lanes), np.int64)
-    for step in range(int(left.max())):
-        at = np.flatnonzero(left > step)
-        for i, n, dc, ac in per_mcu:
-            for part in range(n):
-                row = (begin[at] + step) * n + part
-                moved, difference = decode_lockstep(window, bit[at], dc, ac, out[i], row)
-                bit[at] = moved
-                before[i, at] += difference
-                out[i][row, 0] = before[i, at]
+    # lanes that begin within SLICE bytes go together: only their bytes are spread to windows
+    edges = np.flatnonzero(np.r_[True, np.diff(bit // (8 * SLICE)) > 0, True])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        low = int(bit[a]) >> 3
+        piece = data[low : (int(bit[b]) >> 3) + 16 if b < lanes else len(data)].astype(np.uint64)
+        window = np.zeros(len(piece) - 7, np.uint64)  # the 64 bits from each byte on
+        for i in range(8):
+            window |= piece[i : len(piece) - 7 + i] << np.uint64(56 - 8 * i)
+        here = bit[a:b] - 8 * low
+        for step in range(int(left[a:b].max())):
+            at = np.flatnonzero(left[a:b] > step)
+            for i, n, dc, ac in per_mcu:
+                for part in range(n):
+                    row = (begin[a + at] + step) * n + part
+                    here[at], difference = decode_lockstep(window, here[at], dc, ac, out[i], row)
+                    before[i, a + at] += difference
+                    out[i][row, 0] = before[i, a + at]
     cut = np.cumsum(mcus)[:-1]
     split = [np.split(out[i], cut * n) for i, n, _, _ in per_mcu]
     return [[s[k] for s in split] for k in range(len(images))]
