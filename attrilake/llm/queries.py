@@ -37,4 +37,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op7_unit_dedup": unit_dedup.OP7_SQL}

@@ -289,4 +289,22 @@ def without_runs(docs: DataFrame, least_words: int = 1) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of over 50 words that stand earlier; shorter repeats, as any two texts share, stay."""
-    return repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), PASSAGE).drop("row_id")
+    return repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), PASSAGE).select("doc_id", "start", "end", "n_words")
+
+
+#: Every window and line of every text, grouped; for small tables.
+OP7_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, regexp_split_to_array(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS g FROM documents),
+low AS (SELECT doc_id, w, g, string_split(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS l FROM texts WHERE len(w) > 0),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(l) AS l, unnest(w) AS w, unnest(g[1 : len(w)]) AS g FROM low),
+placed AS (SELECT doc_id, i, l, sum(length(g) + length(w)) OVER t AS stop, length(w) AS n, sum(CASE WHEN i = 1 OR regexp_matches(g, '[\x0A-\x0D]') THEN 1 ELSE 0 END) OVER t AS line
+  FROM words WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+lines AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b, string_agg(l, ' ' ORDER BY i) AS unit FROM placed GROUP BY doc_id, line),
+windows AS (SELECT doc_id, a, a + 51 AS b, md5(array_to_string(l[a : a + 50], ' ')) AS unit FROM (SELECT doc_id, l, unnest(range(1, len(l) - 49)) AS a FROM low)),
+marked AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) AS k FROM lines) WHERE k > 1
+  UNION ALL SELECT doc_id, a, b FROM (SELECT *, first_value(doc_id) OVER u AS d, first_value(a) OVER u AS f FROM windows WINDOW u AS (PARTITION BY unit ORDER BY doc_id, a)) WHERE doc_id <> d OR a >= f + 51),
+begun AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM marked),
+runs AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM begun) GROUP BY doc_id, run)
+SELECT runs.doc_id, CAST(p.stop - p.n AS BIGINT) AS start, CAST(q.stop AS BIGINT) AS "end", CAST(b - a AS BIGINT) AS n_words
+FROM runs JOIN placed p ON p.doc_id = runs.doc_id AND p.i = a JOIN placed q ON q.doc_id = runs.doc_id AND q.i = b - 1 WHERE b - a >= 51
+"""

@@ -768,6 +768,18 @@ def test_bm25_finds_neighbours():
         assert len(found) and all(d % 5 == seed % 5 for d in found[:5]) and seed not in found
 
 
+def test_operators_equal_their_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, sf_dir), con.sql(sql)
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(con.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in columns)} FROM ({sql})').fetchall()), name
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(200) if i % 50 != 49] + [(500, 501), (501, 500)]
