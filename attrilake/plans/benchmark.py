@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attrilake.operators.store import LongStore
 from attrilake.plans import workload
 from attrilake.plans.adaptive import AdaptiveRouting, key_part, recorded
+from attrilake.plans.popularity import Settings
 from attrilake.sources import synthetic
 
 RUNS = "run int, seq long, query string, millis double, servers int"
@@ -17,7 +18,7 @@ RUNS = "run int, seq long, query string, millis double, servers int"
 
 @dataclass(frozen=True)
 class Plan:
-    """The basic variant; the complete one draws 90 % hot queries, with threshold 5 and decay 0.05."""
+    """How many objects, warm-up and timed queries there are, and the share of hot ones; the basic variant."""
 
     objects: int = 1000
     warm_up: int = 500
@@ -26,6 +27,10 @@ class Plan:
     seed: int = 0
 
 
+#: The complete variant's queries and settings.
+COMPLETE, COMPLETE_SETTINGS = Plan(hot=0.9), Settings(base=1, most=5, threshold=5.0, decay=0.05)
+
+
 def drawn(spark: SparkSession, plan: Plan) -> DataFrame:
     """seq, query, ts: warm-up and timed queries, a second apart."""
     rows = synthetic.workload(spark, plan.warm_up + plan.timed, plan.hot, plan.seed)

@@ -16,6 +16,7 @@ from attrilake.plans import health, popularity, workload
 from attrilake.plans.adaptive import AdaptiveRouting, recorded, since_reset, trace
 from attrilake.plans.benchmark import Plan, drawn
 from attrilake.plans.placement import NODES, OFFSET_32, OFFSET_64, PLACES, PREFIXES, PRIME_32, PRIME_64, Placement, hash32, load_mapping, migration, replication_factor, save_mapping
+from attrilake.plans.service import MetadataService
 from attrilake.plans.sessions import ClientManager
 from attrilake.sources import checkpoint, results, synthetic
 from attrilake.sources.shared import fresh_folder
@@ -200,6 +201,20 @@ def server_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_checkpoint(spark, sf_dir).groupBy(F.col("server").alias("server_id")).agg(F.count_distinct(ID).alias("objects"), F.count("*").alias("pairs"))
 
 
+def service_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts come in, are checkpointed and half deleted; what is found before, after, and once recovered."""
+    service, path = MetadataService(spark, Placement(8), parts(spark, sf_dir).triples), fresh_folder(spark, "service")
+    states = [service.search("p_brand=Brand#2")]
+    service.checkpoint(path)
+    service.delete(service.store.triples.filter(F.col(ID) % 2 == 0))
+    states.append(service.search("p_brand=Brand#2"))
+    service.recover(path)
+    states.append(service.search("p_brand=Brand#2"))
+    service.shutdown()
+    rows = [s.agg(F.count("*").alias("n"), F.sum(ID).alias("total")).select(F.lit(i).alias("state"), "n", "total") for i, s in enumerate(states)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def results_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "results")
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("Query")).agg(F.max("value").alias("StandardTime"), F.min("value").alias("AdaptiveTime"), F.count("*").cast("double").alias("Popularity"))
@@ -362,6 +377,7 @@ SELECT count(*) AS moved FROM nodes_a a JOIN nodes_b b USING (node_id) WHERE a.s
     out["server_files"] = server_files, f"{owners} SELECT server_id, count(DISTINCT object_id) AS objects, count(*) AS pairs FROM {LONG} JOIN owners USING (key) GROUP BY server_id"
     for name, by_key in (("native_checkpoint", True), ("native_checkpoint_sorted", False)):
         out[name] = (lambda s, d, b=by_key: native_checkpoint(s, d, b)), f"{triple} WHERE ends_with(key, 'e') AND contains(value, '1')"
+    out["service_cycle"] = service_cycle, "SELECT CAST(s AS INT) AS state, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM part, range(3) r(s) WHERE p_brand = 'Brand#2' AND (s <> 1 OR p_partkey % 2 = 1) GROUP BY s"
     out["results_file"] = results_file, 'SELECT event_type AS "Query", max(value) AS "StandardTime", min(value) AS "AdaptiveTime", 0.5::DOUBLE AS "Improvement", 2::INT AS "ReplicationFactor", count(*)::DOUBLE AS "Popularity" FROM events GROUP BY event_type'
     out["report_totals"] = report_totals, 'SELECT round(sum(value), 3) AS "StandardTime", round(sum(value * 0.75), 3) AS "AdaptiveTime", round((sum(value) - sum(value * 0.75)) * 100 / sum(value), 3) AS "Improvement" FROM events'
     out["synthetic_shape"] = synthetic_shape, "SELECT * FROM " + values([(k, 1000, 1, 1000) for k in synthetic.COMMON_KEYS] + [("rare", 2500, 1, 1000)], "v(kind, n, least, most)")

@@ -248,3 +248,21 @@ def test_compaction_changes_no_triple(spark, tmp_path):
     ingest.compact(spark, f"{tmp_path}/s")
     assert sorted(map(tuple, ingest.current(spark, f"{tmp_path}/s").collect())) == want
     assert [f.name for f in (tmp_path / "s").iterdir() if f.name.startswith("batch")] == ["batch=2"]
+
+
+def test_service(spark, tmp_path):
+    from attrilake.plans.service import MetadataService
+
+    service = MetadataService(spark, placement.Placement(4))
+    service.create(spark.createDataFrame(TRIPLES, SCHEMA))
+    service.checkpoint(f"{tmp_path}/c")
+    service.delete(spark.createDataFrame(TRIPLES[:1], SCHEMA))
+    assert service.search("k").isEmpty() and service.search("other key").count() == 1
+    own = placement.Placement(4).nodes[placement.Placement(4).node_of("k")][2]
+    service.recover(f"{tmp_path}/c", server=own)
+    assert triples(service.store.triples)[:2] == TRIPLES[:2]
+    service.recover(f"{tmp_path}/c")
+    assert triples(service.store.triples) == sorted(TRIPLES)
+    service.shutdown()
+    with pytest.raises(RuntimeError):
+        service.search("k")
