@@ -9,13 +9,8 @@ from attrilake.operators.conditions import Condition, MultiQuery
 from attrilake.operators.pattern import Kind, Mode, Pattern, Query
 from attrilake.operators.ranges import RangeQuery
 from attrilake.operators.store import LongStore, TrieStore, WideStore
+from attrilake.plans.catalog_engine import DEMO as TRIPLES
 
-TRIPLES = [
-    (1001, "FILE_PATH", "/data/488nm.tif"), (1002, "FILE_PATH", "/data/561nm.tif"), (1001, "StageX", "100.00"), (1001, "StageY", "200.00"),
-    (1001, "StageZ", "50.00"), (1002, "StageX", "300.00"), (1002, "StageY", "400.00"), (1002, "StageZ", "75.00"),
-    (1001, "creation_date", "2023-05-26"), (1002, "creation_date", "2023-06-15"), (1001, "microscope", "LLSM-1"), (1002, "microscope", "LLSM-2"),
-    (1001, "AUXILIARY_FILE", "/data/488nm_metadata.json"), (1002, "AUXILIARY_FILE", "/data/561nm_metadata.json"),
-]
 SCHEMA = "object_id long, key string, value string"
 
 
@@ -32,6 +27,7 @@ def store(spark):
     return LongStore(frame(spark, TRIPLES))
 
 
+# The demo's queries and the ids they have to give.
 GOLDEN = {
     "StageX=300.00": [1002], "Stage*=*": [1001, 1002], "*PATH=*tif": [1001, 1002], "*FILE*=*metadata*": [1001, 1002], "Stage*=*00": [1001, 1002],
     "*=*488*": [1001], "*FILE*=*": [1001, 1002], "*=*.tif": [1001, 1002], "FILE_PATH=*": [1001, 1002], "FILE_PATH": [1001, 1002], "StageX=00.00": [],
