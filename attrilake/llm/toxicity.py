@@ -97,7 +97,7 @@ def pack(table: np.ndarray, rest: float) -> tuple[bytes, bytes]:
 
 
 def unpack(packed: tuple[bytes, bytes], rest: float, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, rest, np.float32)
+    out = np.full(1 << bits, rest, np.float16)
     out[np.cumsum(np.frombuffer(zlib.decompress(packed[0]), np.uint32), dtype=np.int64)] = np.frombuffer(packed[1], np.float16)
     return out
 
@@ -200,7 +200,7 @@ def count_words(rows: DataFrame, kind: Column) -> DataFrame:
     return rows.select("text", kind.cast("int").alias("kind")).mapInArrow(counted, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-def slices_of_words(batches, columns: list[str], most: int = 1 << 22):
+def slices_of_words(batches, columns: list[str], most: int = 1 << 20):
     """Words and the other columns, about ``most`` characters at a time."""
     held, size = [], 0
 
