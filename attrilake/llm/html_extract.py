@@ -35,6 +35,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "title", "textarea", "iframe")
 HIDDEN = ("template",)
+#: Elements that leave no mark in a tag path: what they hold is judged as if it stood there by itself.
+CLEAR = ("noscript", "object", "svg", "math", "template")
 #: Elements that a start tag closes when one of them is open, and what stops the search for them.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table select html body article section div main aside nav".split())
@@ -62,7 +64,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             raw = "".join(pieces)
             text = " ".join(html.unescape(raw).split())
             if text:
-                path = tuple(x[1] for x in stack)
+                path = tuple(x[1] for x in stack if x[1])
                 out.append((paths.setdefault(path, path), text, min(1.0, linked / max(1, len(raw)))))
             pieces, linked = [], 0
 
@@ -117,8 +119,8 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
                     if stack[depth][0] in STOPS:
                         break
         if name not in VOID and not m.group(3).endswith("/"):
-            marks = [name]
-            for a, b, c in NAMES.findall(m.group(3)):
+            marks = [] if name in CLEAR else [name]
+            for a, b, c in NAMES.findall(m.group(3)) if marks else ():
                 marks += ["." + x for x in PART.findall((a or b or c).lower())]
             stack.append((name, tuple(marks)))
             link += name == "a"
