@@ -18,6 +18,10 @@ def rows_of(df):
 
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # the smallest tables hold no secret: one more document, of another's words the other way round
+    one = max((r for r in docs.collect() if r.lang == "en"), key=lambda r: len(r.text))
+    text = f"{' '.join(reversed(one.text.split()))} password = 'Zx81kQ9w' and {'0a' * 16}"
+    docs = docs.unionByName(spark.createDataFrame([one.asDict() | {"doc_id": 10**6, "text": text, "n_chars": len(text)}], docs.schema))
     before, columns = rows_of(docs), docs.columns
     kept = []
     for name, stage in corpus_pipeline.STAGES:
@@ -41,7 +45,7 @@ def test_stages(spark, sf_dir, tmp_path):
     # secrets: every document stays, with a mark for each run of overlapping base spans and of what the models add
     found = {r.doc_id: r for r in secret_scan.scan(near).collect()}
     assert set(rows_of(secrets)) == set(rows_of(near)) == set(found)
-    assert any(r.spans for r in found.values())
+    assert [s.kind for s in found[10**6].base] == ["assign", "hex"]
     for d, r in rows_of(secrets).items():
         assert [(s.start, s.no, s.kind, s.end) for s in found[d].base] == base_spans(before[d].text)
         text, at = "", 0
