@@ -47,13 +47,26 @@ class AdaptiveRouting:
         found = popularity(log, now, self.settings)
         return found.withColumn("replicas", replicas(F.col("popularity"), self.settings) if self.enabled else F.lit(self.settings.base))
 
-    def route(self, queries: DataFrame, factors: DataFrame) -> DataFrame:
-        """``queries`` with ``servers``: where each is sent."""
+    def _sent(self, queries: DataFrame, factors: DataFrame | None) -> tuple[DataFrame, Column]:
+        """``queries``, with their factors where those count, and the servers of each as an expression."""
         if not self.enabled:
-            return queries.withColumn("servers", self.placement.query_column(F.col("query")))
+            return queries, self.placement.query_column(F.col("query"))
         rows = queries.withColumn("pattern", key_part(F.col("query"))).join(factors.select("pattern", "replicas"), "pattern", "left")
-        factor = F.coalesce("replicas", F.lit(self.settings.base))
-        return rows.withColumn("servers", self.placement.query_column(F.col("query"), factor)).drop("pattern", "replicas")
+        return rows, self.placement.query_column(F.col("query"), F.coalesce("replicas", F.lit(self.settings.base)))
+
+    def route(self, queries: DataFrame, factors: DataFrame | None) -> DataFrame:
+        """``queries`` with ``servers``: where each is sent."""
+        rows, servers = self._sent(queries, factors)
+        return rows.withColumn("servers", servers).drop("pattern", "replicas")
+
+    def routes(self, queries: DataFrame, factors: DataFrame | None) -> DataFrame:
+        """query, server_id: one row for each server that a query is sent to.
+
+        Of an exploded column Spark infers a filter and moves it below a ``distinct`` of the queries,
+        where it would place every row of the log; of an exploded expression it infers none.
+        """
+        rows, servers = self._sent(queries, factors)
+        return rows.select("query", F.explode(servers).alias("server_id"))
 
     def statistics(self, factors: DataFrame) -> DataFrame:
         """One row: patterns, accesses, patterns with more than the base, the mean and the most replicas, and the most popular."""

@@ -211,6 +211,26 @@ def test_placement_as_expressions(spark):
         assert sorted(r.s) == sorted(p.for_query(r.q)), r.q
 
 
+def test_places_at_the_ring_s_own_positions(spark):
+    p = placement.Placement(3)
+    keys = [f"server{s}_{i}" for s in range(3) for i in range(placement.PLACES)] + [f"k{i}" for i in range(60)]
+    got = {r.k: r.at for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", p.place_column(F.col("k")).alias("at")).collect()}
+    assert got == {k: p._place(k) for k in keys} and {0, len(p.ring) - 1} <= set(got.values())
+
+
+def test_routes_place_distinct_queries_only(spark, sf_dir):
+    from attrilake.plans import adaptive, catalog
+
+    for name in ("adaptive_routes", "adaptive_routes_off"):
+        plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan and not [line for line in plan.splitlines() if " Filter " in f" {line}" and "aggregate(" in line], name
+    queries = spark.createDataFrame([("a=1",), ("St*=1",), ("*x",)], "query string")
+    factors = spark.createDataFrame([("a", 2)], "pattern string, replicas int")
+    for routing in (adaptive.AdaptiveRouting(placement.Placement(30)), adaptive.AdaptiveRouting(placement.Placement(30), enabled=False)):
+        sent = sorted((r.query, s) for r in routing.route(queries, factors).collect() for s in r.servers)
+        assert sorted(map(tuple, routing.routes(queries, factors).collect())) == sent and len(sent) > 32
+
+
 def test_one_text_file_a_server(spark, tmp_path):
     df, p = spark.createDataFrame(TRIPLES, SCHEMA), placement.Placement(4)
     for plain in (False, True):
