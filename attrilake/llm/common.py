@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import gc
 import tempfile
 import uuid
 
@@ -73,11 +74,49 @@ _OWNER: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("o
 def owned():
     """Within it, the scratch folders that operators make belong to the caller, who ends them once their results are written."""
     made: list[Scratch] = []
+    outer = _OWNER.get()
     token = _OWNER.set(made)
     try:
         yield made
     finally:
         _OWNER.reset(token)
+        if outer is not None:
+            outer.extend(made)
+
+
+def readers(df: DataFrame) -> list:
+    """JVM weak references to what lists the files that ``df`` reads; every plan made from ``df`` holds the same objects."""
+    jvm, leaves = df.sparkSession.sparkContext._jvm, df._jdf.queryExecution().analyzed().collectLeaves()
+    relations = [leaf.relation() for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.getClass().getSimpleName() == "LogicalRelation"]
+    return [jvm.java.lang.ref.WeakReference(r.location()) for r in relations if r.getClass().getSimpleName() == "HadoopFsRelation"]
+
+
+#: Scratch folders with the references by which a returned DataFrame, or one made from it, can still be read.
+_LENT: list[tuple[list[Scratch], list]] = []
+
+
+def lend(out: DataFrame, made: list[Scratch]) -> DataFrame:
+    """``out``; ``made`` ends at a later ``reclaim`` by which neither it nor any DataFrame made from it is left.
+
+    An RDD made from it doesn't count.
+    """
+    refs = readers(out)
+    if refs and made:
+        _LENT.append((made, refs))
+    return out
+
+
+def reclaim(spark: SparkSession) -> None:
+    """End lent scratch folders that no DataFrame can read any more."""
+    if _LENT:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    for entry in list(_LENT):
+        made, refs = entry
+        if all(s.ended for s in made) or all(r.get() is None for r in refs):
+            for s in made:
+                s.end()
+            _LENT.remove(entry)
 
 
 #: Column that names a row where doc_ids may repeat or be null.

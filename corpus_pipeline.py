@@ -12,20 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrilake.llm import exact_dedup, language_id, minhash, packing, secret_scan
-from attrilake.llm.common import ROW, Scratch, numbered, owned, ship
+from attrilake.llm.common import ROW, Scratch, lend, numbered, owned, reclaim, ship
 
 
 def stage(function):
-    """The stage, with this package sent to the executors before it begins."""
+    """The stage, with this package sent to the executors before it begins.
+
+    Its tables go at the beginning of a later stage, if no DataFrame can read them any more by then.
+    """
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        return function(spark, docs, sf_dir)
+        reclaim(spark)
+        with owned() as made:
+            out = function(spark, docs, sf_dir)
+        return lend(out, made)
 
     return run_stage
 
 
+def rows_found(scratch: Scratch, find) -> DataFrame:
+    """What ``find()`` gives, a few columns a row, written; what its operators wrote on the way goes."""
+    with owned() as made:
+        found = scratch.keep(find(), "found")
+    for table in made:
+        table.end()
+    scratch.spark.sparkContext._jvm.System.gc()  # and the shuffle files with them
+    return found
+
+
 @stage
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the evidence agrees on; ``lang`` becomes that language.
@@ -33,25 +49,31 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The declared language is ``lang``, the host is ``source``. Texts without letters, with no
     likely language or unlike any known one go.
     """
-    rows = numbered(docs, Scratch(spark, "stage-language"))
-    found = language_id.identify(language_id.as_rows(rows, "doc_id", rows["text"], rows["lang"], rows["source"]), language_id.train(rows))
-    kept = found.filter("accepted").select(F.col("row_id").alias(ROW), F.col("language").alias("__language__"))
-    return rows.join(kept, ROW).withColumn("lang", F.col("__language__")).select(*docs.columns)
+    scratch = Scratch(spark, "stage-language")
+    rows = numbered(docs, scratch)
+
+    def accepted() -> DataFrame:
+        found = language_id.identify(language_id.as_rows(rows, "doc_id", rows["text"], rows["lang"], rows["source"]), language_id.train(rows))
+        return found.filter("accepted").select(F.col("row_id").alias(ROW), F.col("language").alias("__language__"))
+
+    return rows.join(rows_found(scratch, accepted), ROW).withColumn("lang", F.col("__language__")).select(*docs.columns)
 
 
 @stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space the longest stays."""
-    rows = numbered(docs, Scratch(spark, "stage-exact"))
-    kept = exact_dedup.exact_dedup(rows).filter("kept").select(F.col("row_id").alias(ROW))
+    scratch = Scratch(spark, "stage-exact")
+    rows = numbered(docs, scratch)
+    kept = rows_found(scratch, lambda: exact_dedup.exact_dedup(rows).filter("kept").select(F.col("row_id").alias(ROW)))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 @stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (similarity of 0.8 or more) the first document stays."""
-    rows = numbered(docs, Scratch(spark, "stage-near"))
-    kept = minhash.near_duplicates(rows, percent=80).filter("row_id = keep_row").select(F.col("row_id").alias(ROW))
+    scratch = Scratch(spark, "stage-near")
+    rows = numbered(docs, scratch)
+    kept = rows_found(scratch, lambda: minhash.near_duplicates(rows, percent=80).filter("row_id = keep_row").select(F.col("row_id").alias(ROW)))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 

@@ -1,7 +1,9 @@
 """The pipeline's stages against brute force."""
 
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -9,7 +11,8 @@ import public_tokenizers
 from tests.llm.test_llm_operators import ODD, DOCS, base_spans, brute_components, check_pieces
 from tokenizers import Tokenizer
 
-from attrilake.llm import secret_scan
+from attrilake.llm import common, secret_scan
+from attrilake.sources.shared import shared_dir
 
 
 def rows_of(df):
@@ -104,3 +107,32 @@ def test_odd_documents(spark, tmp_path):
     for name, data in (("odd", rows), ("none", [])):
         spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
+
+
+def test_a_stages_tables_go_once_nothing_can_read_them(spark, sf_dir, tmp_path):
+    """Stages that are called one by one, each result written, leave the tables of the last one."""
+    top = Path(shared_dir(spark).removeprefix("file://")) / "attrilake"
+    folders = lambda: {f.name for f in top.iterdir()}
+
+    def left(others, most):
+        for _ in range(50):  # what Spark's listeners still hold goes a little later
+            common.reclaim(spark)
+            if len(folders() - others) <= most:
+                return True
+            time.sleep(0.2)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.without_copies(spark, docs, sf_dir)
+    held = out.filter("doc_id % 2 = 0")
+    want = {r.doc_id for r in out.collect() if r.doc_id % 2 == 0}
+    del out
+    others = folders()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert left(others, 1), name
+    # what a DataFrame made from a result reads stays as long as that is there
+    assert {r.doc_id for r in held.collect()} == want
+    del held, out
+    assert left(others - {f for f in others if f.startswith("stage-exact")}, 0)
