@@ -37,9 +37,10 @@ PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequ
 
 def terms_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and occurrences of every distinct term of some documents, in this order."""
-    keys = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), [len(x) for x in ids]) << np.uint64(16) | np.concatenate([np.empty(0, "<u2"), *ids]).astype(np.uint64))
+    kind = np.uint32 if len(ids) <= 1 << 16 else np.uint64  # half the bytes to sort
+    keys = np.sort(np.repeat(np.arange(len(ids), dtype=kind), [len(x) for x in ids]) << kind(16) | np.concatenate([np.empty(0, "<u2"), *ids]).astype(kind))
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    return (keys[first] >> np.uint64(16)).astype(np.int64), (keys[first] & np.uint64(0xFFFF)).astype(np.int64), np.diff(np.r_[first, len(keys)])
+    return (keys[first] >> kind(16)).astype(np.int64), (keys[first] & kind(0xFFFF)).astype(np.int64), np.diff(np.r_[first, len(keys)])
 
 
 class Bm25Shard:

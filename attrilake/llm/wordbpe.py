@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from struct import pack
 
 import numpy as np
 import regex
@@ -33,6 +34,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Remembered(dict):
+    """Words' ids; what isn't there comes from ``miss``, which remembers it."""
+
+    def __init__(self, miss):
+        self.miss = miss
+
+    def __missing__(self, word: str) -> bytes:
+        return self.miss(word)
+
+
 class WordBpe:
     """Encodes texts to little-endian uint16 ids; ``words`` remembered encodings at most, twice."""
 
@@ -52,27 +63,43 @@ class WordBpe:
         if max(model["vocab"].values()) >= 1 << 16:
             raise ValueError("ids need 16 bits at most")
         self.piece = tiktoken.Encoding("word_end", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.limit, self.new, self.old = words, {}, {}
+        self.limit, self.new, self.old = words, Remembered(self.word), {}
+
+    def plain(self, low: str) -> bytes:
+        """Ids of a lower-cased word of ASCII and Latin letters."""
+        if low.isascii() and low[:-1].isalpha():
+            # one piece, or two if the last character is no letter; known without its end, perhaps
+            if low[-1].isalpha():
+                ids = self.piece(low.encode() + MARK)
+            else:
+                rest = self.new.get(low[:-1])
+                end = self.piece(low[-1].encode() + MARK)
+                if rest is not None:
+                    return rest + pack(f"<{len(end)}H", *end)
+                ids = self.piece(low[:-1].encode() + MARK) + end
+        else:
+            ids = []
+            for piece in PIECES.findall(low):
+                ids += self.piece(piece.encode() + MARK)
+        return pack(f"<{len(ids)}H", *ids)
 
     def word(self, word: str) -> bytes:
         """Ids of one word, remembered: at most ``limit`` recent ones and as many before them."""
         got = self.old.get(word)
         if got is None:
-            if word.isascii() or max(word) < "ɐ":
-                low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-                ids: list[int] = []
-                for piece in PIECES.findall(low):
-                    ids += self.piece(piece.encode() + MARK)
+            if word.isascii():
+                got = self.plain(word.lower())
+            elif max(word) < "ɐ":
+                got = self.plain(unicodedata.normalize("NFC", word).lower())
             else:
                 ids = self.slow.encode(word, add_special_tokens=False).ids
-            got = np.array(ids, "<u2").tobytes()
+                got = pack(f"<{len(ids)}H", *ids)
         if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
+            self.old, self.new = self.new, Remembered(self.word)
         self.new[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
         if "<|" in text and self.special.search(text) or ODD_SPACE.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        get, word = self.new.get, self.word
-        return b"".join([get(w) or word(w) for w in text.split()]) if text else b""
+        return b"".join(map(self.new.__getitem__, text.split()))

@@ -804,3 +804,32 @@ def test_the_filter_loses_nothing(spark):
     keys = rows.filter("id % 7 = 0").select("k")
     got = {r.id for r in common.likely(rows, keys, "k").collect()}
     assert got >= set(range(0, 5000, 7)) and len(got) < 1500
+
+
+def test_word_bpe_words_with_one_mark(tmp_path):
+    """Short cuts for words of letters with one other character give the file's own ids, whatever is remembered."""
+    from attrilake.llm import wordbpe
+
+    words = "Word word, word. WORD! word' word's don't a a. ab ab1 1 1a ab_ ab\x00 \x00 x\x7f ab-- ab-c é Été, été naïve. KK ét é. 日本. ''s 's s' <b> a<| ß ẞ. İ ı.".split(" ")
+    slow = Tokenizer.from_file(WORD_BPE)
+    for limit in (400_000, 3):
+        bpe = wordbpe.WordBpe(WORD_BPE, words=limit)
+        for w in (*words, *reversed(words)):
+            assert np.frombuffer(bpe.encode(w), "<u2").tolist() == slow.encode(w, add_special_tokens=False).ids, w
+        text = " ".join(words * 3)
+        assert np.frombuffer(bpe.encode(text), "<u2").tolist() == slow.encode(text, add_special_tokens=False).ids
+        assert max(len(bpe.new), len(bpe.old)) <= limit
+    # one look for all words of a text that are known, and none of them encoded again
+    bpe = wordbpe.WordBpe(WORD_BPE)
+    bpe.encode("one two. three")
+    asked = []
+    bpe.piece = asked.append
+    assert len(bpe.encode("three one two. one")) > 0 and asked == [] and isinstance(bpe.new, wordbpe.Remembered)
+
+
+def test_terms_of_many_documents():
+    """Keys of 32 bits up to 65,536 documents, of 64 beyond, say the same."""
+    ids = [np.array([i % 7, 65535, i % 7], "<u2") for i in range((1 << 16) + 1)]
+    small, large = packing.terms_of(ids[: 1 << 16]), packing.terms_of(ids)
+    assert all((a == b[: len(a)]).all() for a, b in zip(small, large, strict=True)) and (small[0][-1], large[0][-1]) == (65535, 65536)
+    assert [x[:4].tolist() for x in small] == [[0, 0, 1, 1], [0, 65535, 1, 65535], [2, 1, 2, 1]]
