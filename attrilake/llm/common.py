@@ -119,6 +119,19 @@ def reclaim(spark: SparkSession) -> None:
             _LENT.remove(entry)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What is run within it hands ``rows`` rows at a time to Python at most: wide rows then take less memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Column that names a row where doc_ids may repeat or be null.
 ROW = "__attrilake_row__"
 

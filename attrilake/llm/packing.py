@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrilake.llm.common import Scratch
+from attrilake.llm.common import Scratch, small_batches
 from attrilake.llm.shingles import slices
 
 #: Ids of a shard, shards that a task handles on average, and BM25's parameters.
@@ -175,7 +175,8 @@ def placed(rows: DataFrame, ranked: np.ndarray) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pieces of all documents; ``tokenizer`` is the path of a word-end BPE file."""
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.keep(tokenised(docs, tokenizer, end_id), "ids")
+    with small_batches(docs.sparkSession):
+        rows = scratch.keep(tokenised(docs, tokenizer, end_id), "ids")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 2).first()
     if not n:
         return docs.sparkSession.createDataFrame([], PIECE)

@@ -4,12 +4,14 @@ The file's normaliser turns white space into one space and its pre-tokeniser dro
 ids are its words' ids in a row, and a word needs to be encoded once. Words of ASCII and Latin
 letters go through the same merges in ``tiktoken``, where a marker byte stands for the word end;
 every other word, and every text in which Python and the file disagree on white space or special
-tokens, goes through ``tokenizers`` itself.
+tokens, goes through ``tokenizers`` itself. Texts of Latin-1 are lower-cased first, and full stops
+and commas that stand alone become words, so that fewer words need remembering.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from struct import pack
 
@@ -23,6 +25,8 @@ WORD_END = "</w>"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Python splits words at these and the file doesn't.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: A full stop or comma beside another mark; such runs are one piece.
+RUN = re.compile(r"[.,](?:(?<=[^\w\s][.,])|(?<=_[.,])|(?=[^\w\s]|_))")
 #: A byte that no UTF-8 text holds.
 MARK = b"\xff"
 
@@ -44,10 +48,24 @@ class Remembered(dict):
         return self.miss(word)
 
 
+#: Formats of some ids.
+FORMS = [f"<{n}H" for n in range(32)]
+
+
+def words_of(text: str) -> list[str]:
+    """Words whose pieces in a row are those of the text."""
+    try:
+        text.encode("latin-1")  # beyond it, a word's neighbours matter to its lower case and to its normal form
+    except UnicodeEncodeError:
+        return text.split()
+    low = text.lower()
+    return low.split() if RUN.search(low) else low.replace(".", " .").replace(",", " ,").split()
+
+
 class WordBpe:
     """Encodes texts to little-endian uint16 ids; ``words`` remembered encodings at most, twice."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 200_000):
         self.slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -67,21 +85,20 @@ class WordBpe:
 
     def plain(self, low: str) -> bytes:
         """Ids of a lower-cased word of ASCII and Latin letters."""
-        if low.isascii() and low[:-1].isalpha():
-            # one piece, or two if the last character is no letter; known without its end, perhaps
-            if low[-1].isalpha():
-                ids = self.piece(low.encode() + MARK)
-            else:
-                rest = self.new.get(low[:-1])
-                end = self.piece(low[-1].encode() + MARK)
-                if rest is not None:
-                    return rest + pack(f"<{len(end)}H", *end)
-                ids = self.piece(low[:-1].encode() + MARK) + end
+        if low.isalpha():
+            ids = self.piece(low.encode() + MARK)
+        elif low[:-1].isalpha() and low[-1].isascii():
+            # two pieces; the first is known without its end, perhaps
+            rest = self.new.get(low[:-1])
+            end = self.piece(low[-1].encode() + MARK)
+            if rest is not None:
+                return rest + pack(f"<{len(end)}H", *end)
+            ids = self.piece(low[:-1].encode() + MARK) + end
         else:
             ids = []
             for piece in PIECES.findall(low):
                 ids += self.piece(piece.encode() + MARK)
-        return pack(f"<{len(ids)}H", *ids)
+        return pack(FORMS[len(ids)] if len(ids) < len(FORMS) else f"<{len(ids)}H", *ids)
 
     def word(self, word: str) -> bytes:
         """Ids of one word, remembered: at most ``limit`` recent ones and as many before them."""
@@ -102,4 +119,4 @@ class WordBpe:
     def encode(self, text: str) -> bytes:
         if "<|" in text and self.special.search(text) or ODD_SPACE.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(map(self.new.__getitem__, text.split()))
+        return b"".join(map(self.new.__getitem__, words_of(text)))

@@ -833,3 +833,18 @@ def test_terms_of_many_documents():
     small, large = packing.terms_of(ids[: 1 << 16]), packing.terms_of(ids)
     assert all((a == b[: len(a)]).all() for a, b in zip(small, large, strict=True)) and (small[0][-1], large[0][-1]) == (65535, 65536)
     assert [x[:4].tolist() for x in small] == [[0, 0, 1, 1], [0, 65535, 1, 65535], [2, 1, 2, 1]]
+
+
+def test_word_bpe_remembers_words_without_case_and_stops():
+    """Words that differ by case or by a full stop or comma behind them are encoded once, and runs of marks stay one piece."""
+    from attrilake.llm import wordbpe
+
+    slow, bpe = Tokenizer.from_file(WORD_BPE), wordbpe.WordBpe(WORD_BPE)
+    text = "Word, word. WORD Été. été, ÉTÉ."
+    assert np.frombuffer(bpe.encode(text), "<u2").tolist() == slow.encode(text, add_special_tokens=False).ids
+    assert set(bpe.new) == {"word", "été", ".", ","}
+    rng = random.Random(11)
+    letters = [*"aAbzZéÉßÿÆµªº×÷", *"09²½¹", *".,.,.,", *"_-'\"()$\xad\xa8", *"  \n\t\xa0\x85\x00\x7f", "'s", "'LL", "Ÿ", "İ", "Σ", "̇", "日"]
+    for k in range(4000):
+        text = "".join(rng.choices(letters[: -5 if k % 2 else None], k=rng.randrange(1, 25)))
+        assert np.frombuffer(bpe.encode(text), "<u2").tolist() == slow.encode(text, add_special_tokens=False).ids, repr(text)
