@@ -212,12 +212,32 @@ def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def passing(rows: DataFrame, bitmap: DataFrame, key: str) -> DataFrame:
     """The rows that a ``key_filter`` lets through; it is broadcast."""
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return marked(rows, bitmap, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
+
+
+def marked(rows: DataFrame, bitmap: DataFrame, bit: Column) -> DataFrame:
+    """The rows whose ``bit`` is set in ``bitmap``, which has a row for each slot of 32,768 bits and is broadcast."""
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10)
     found = rows.join(F.broadcast(bitmap), F.col("_slot") == F.shiftright(bit, 15))
     return found.filter(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop("_slot", "_bits")
 
 
+#: Bytes of the bitmaps of row numbers that ``chosen`` broadcasts at most; past that it joins.
+MARK_BYTES = 64 << 20
+
+
+def chosen(rows: DataFrame, found: DataFrame, most: int = MARK_BYTES) -> DataFrame:
+    """The ``rows`` whose ROW is one of ``found``'s, without a shuffle of ``rows``.
+
+    A scan numbers its rows one after the other, so a slot of 4 KB marks up to 32,768 rows of a
+    partition. The marks are exact; if there are more bytes of them than ``most``, rows are joined.
+    """
+    marks = found.groupBy(F.shiftright(ROW, 15).alias("_slot")).agg(F.bitmap_construct_agg(F.col(ROW) % 32768).alias("_bits"))
+    if marks.count() * 4096 > most:
+        return rows.join(found.select(ROW), ROW, "left_semi")
+    return marked(rows, marks, F.col(ROW))
+
+
 #: Edges that one task of a round of ``components`` handles at least.
 EDGES_A_TASK = 1_000_000
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrilake.llm import exact_dedup, language_id, minhash, packing, secret_scan
-from attrilake.llm.common import ROW, Scratch, lend, numbered, owned, reclaim, ship
+from attrilake.llm.common import ROW, Scratch, chosen, lend, numbered, owned, reclaim, ship, small_batches
 
 
 def stage(function):
@@ -34,7 +34,7 @@ def stage(function):
 
 def rows_found(scratch: Scratch, find) -> DataFrame:
     """What ``find()`` gives, a few columns a row, written; what its operators wrote on the way goes."""
-    with owned() as made:
+    with owned() as made, small_batches(scratch.spark):
         found = scratch.keep(find(), "found")
     for table in made:
         table.end()
@@ -54,9 +54,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def accepted() -> DataFrame:
         found = language_id.identify(language_id.as_rows(rows, "doc_id", rows["text"], rows["lang"], rows["source"]), language_id.train(rows))
-        return found.filter("accepted").select(F.col("row_id").alias(ROW), F.col("language").alias("__language__"))
+        found = found.filter("accepted").select(F.col("row_id").alias(ROW), F.col("language").alias("__language__"))
+        return found.join(rows.select(ROW, F.col("lang").alias("__declared__")), ROW).select(ROW, "__language__", F.expr("__language__ <=> __declared__").alias("__same__"))
 
-    return rows.join(rows_found(scratch, accepted), ROW).withColumn("lang", F.col("__language__")).select(*docs.columns)
+    found = rows_found(scratch, accepted)
+    same, other = found.filter("__same__"), found.filter("NOT __same__")
+    # only rows that get another language than the declared one meet it in a shuffle, which deals them to few files
+    renamed = chosen(rows, other).join(other.hint("merge"), ROW).withColumn("lang", F.col("__language__"))
+    return chosen(rows, same).select(*docs.columns).unionByName(renamed.select(*docs.columns))
 
 
 @stage
@@ -65,7 +70,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     scratch = Scratch(spark, "stage-exact")
     rows = numbered(docs, scratch)
     kept = rows_found(scratch, lambda: exact_dedup.exact_dedup(rows).filter("kept").select(F.col("row_id").alias(ROW)))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return chosen(rows, kept).select(*docs.columns)
 
 
 @stage
@@ -74,7 +79,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     scratch = Scratch(spark, "stage-near")
     rows = numbered(docs, scratch)
     kept = rows_found(scratch, lambda: minhash.near_duplicates(rows, percent=80).filter("row_id = keep_row").select(F.col("row_id").alias(ROW)))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return chosen(rows, kept).select(*docs.columns)
 
 
 @stage

@@ -8,6 +8,8 @@ from pathlib import Path
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.llm.test_llm_operators import ODD, DOCS, base_spans, brute_components, check_pieces
 from tokenizers import Tokenizer
 
@@ -75,6 +77,54 @@ def test_run_gives_the_last_stages_rows(spark, sf_dir):
     assert len({p.doc_id for p in pieces}) < len(before)
 
 
+def test_no_stage_shuffles_the_texts_it_keeps(spark, sf_dir, tmp_path):
+    """Whatever size a table may have to be broadcast, kept rows are found by their numbers; only renamed languages are joined."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wrong = {r.doc_id for r in docs.select("doc_id").collect() if r.doc_id % 50 == 7}
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 7, F.lit(None).cast("string")).otherwise(F.col("lang")))
+    docs.unionByName(docs.limit(30)).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = sorted((r.doc_id, r.text) for r in docs.collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            out = stage(spark, docs, sf_dir)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+            got = sorted((r.doc_id, r.text) for r in out.collect())
+            if name == "language_id":
+                assert got == before and all(r.lang for r in out.collect() if r.doc_id in wrong)
+                same, _, renamed = plan.partition("SortMergeJoin")
+                assert renamed and "BroadcastHashJoin" in same
+            else:
+                assert 0 < len(got) < len(before) and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_chosen_rows_by_marks_and_by_join(spark):
+    ids = [0, 7, 8, 32767, 32768, 100_000, (5 << 33) + 3, (5 << 33) + 70_000]
+    rows = spark.createDataFrame([(i, str(i)) for i in ids], f"{common.ROW} long, text string").repartition(3)
+    for some in ([], ids[::2], ids[1::2], ids):
+        found = spark.createDataFrame([(i,) for i in some], f"{common.ROW} long")
+        for most in (common.MARK_BYTES, 0):
+            got = common.chosen(rows, found, most)
+            assert got.columns == rows.columns and sorted(r.text for r in got.collect()) == sorted(map(str, some))
+
+
+def test_small_batches_for_python(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def most(rows):
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        with common.small_batches(spark, rows):
+            return max(r.n for r in sizes.collect())
+
+    assert most(1000) <= 1000 and most(100) <= 100 and spark.conf.get(key) == before
+
+
 def test_a_lazy_result_outlives_later_stages_of_others(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = corpus_pipeline.without_copies(spark, docs, sf_dir)
